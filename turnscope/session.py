@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -46,6 +45,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is ever reused or deleted."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-
-def is_local_path(path: str) -> bool:
-    return os.path.isabs(path)
