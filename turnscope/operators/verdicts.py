@@ -41,14 +41,11 @@ def judged(writes: DataFrame) -> DataFrame:
 
 def verdict_agreement(writes: DataFrame) -> DataFrame:
     """Confusion counts of verdict against wording, with each cell's share and the agreement."""
-    cells = judged(writes).groupBy("verdict", "regex").agg(F.count("*").alias("n"))
-    totals = judged(writes).agg(
-        F.count("*").alias("total"),
-        F.count_if(F.col("verdict") == F.col("regex")).alias("same"),
-    )
-    return cells.join(F.broadcast(totals)).select(  # one-row side
-        "verdict", "regex", "n", (100.0 * F.col("same") / F.col("total")).alias("agreement_pct")
-    )
+    rows = judged(writes)
+    total = rows.agg(F.count("*")).scalar()
+    same = rows.agg(F.count_if(F.col("verdict") == F.col("regex"))).scalar()
+    cells = rows.groupBy("verdict", "regex").agg(F.count("*").alias("n"))
+    return cells.select("verdict", "regex", "n", (100.0 * same / total).alias("agreement_pct"))
 
 
 def verdict_disagreements(writes: DataFrame, limit: int = 12) -> DataFrame:

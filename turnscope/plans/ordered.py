@@ -22,10 +22,16 @@ def hot_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("turnscope.hotRows", str(HOT_ROWS)))
 
 
-def with_chunks(df: DataFrame, key: str = "sid", order: str = "ts") -> DataFrame:
+ISO_WIDTHS = (16, 19, 23)  # minute, second and millisecond prefixes of an ISO timestamp
+
+
+def with_chunks(
+    df: DataFrame, key: str = "sid", order: str = "ts", widths: tuple[int, int, int] = ISO_WIDTHS
+) -> DataFrame:
     """Add ``chunk``: NULL for ordinary groups, a prefix of the order string for hot ones.
 
-    A prefix of a string is monotone in that string, so chunks never interleave. The broadcast
+    A prefix of a string is monotone in that string, so chunks never interleave; the hotter the
+    group, the longer the prefix. The broadcast
     side is at most MAX_HOT_GROUPS rows whatever the data size: a group outside the largest
     10,000 holds less than a ten-thousandth of all rows and needs no cutting.
     """
@@ -36,10 +42,11 @@ def with_chunks(df: DataFrame, key: str = "sid", order: str = "ts") -> DataFrame
         .where(F.col("_n") > limit)
         .orderBy(F.desc("_n"), key)
         .limit(MAX_HOT_GROUPS)
-        # minute, second, millisecond prefixes of an ISO timestamp
         .select(
             key,
-            F.when(F.col("_n") > 1000 * limit, 23).when(F.col("_n") > 10 * limit, 19).otherwise(16).alias("_width"),
+            F.when(F.col("_n") > 1000 * limit, widths[2])
+            .when(F.col("_n") > 10 * limit, widths[1])
+            .otherwise(widths[0]).alias("_width"),
         )
     )
     return (
