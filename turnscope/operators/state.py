@@ -108,7 +108,7 @@ def question_versions(log: DataFrame) -> DataFrame:
         "sid", F.col("ref").alias("question"), F.struct(*ORDER).alias("asked_at"),
         "ts", "seq", "chunk", "messages_before", "n_messages", F.lit("answered").alias("outcome"),
     )
-    denied = marks.where(is_kind("denial") & F.col("ref").isNotNull()).select(
+    denied = marks.where(is_kind("denial", "question_denial") & F.col("ref").isNotNull()).select(
         "sid", F.col("ref").alias("question"), "ts", "seq", "chunk", "messages_before", "n_messages",
         F.col("op").alias("outcome"),
     )

@@ -122,7 +122,7 @@ def directive_contract(writes: DataFrame) -> DataFrame:
 
 def previous_turns(log: DataFrame) -> DataFrame:
     """Per human message: the latest non-blank assistant text before it, '' if none."""
-    spoke = state.is_kind("launch") & (X.strip(F.coalesce("text", F.lit(""))) != "")
+    spoke = state.is_kind("launch", "assistant") & (X.strip(F.coalesce("text", F.lit(""))) != "")
     rows = scan(
         log, ["sid"], state.ORDER,
         sums={"_before": F.when(state.is_kind("message"), 1).otherwise(0)},

@@ -271,3 +271,216 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(EPOCH_US) + conv * 60_000_000 + turn * 1_000_000).alias("captured_us"),
         F.encode(content, "UTF-8").alias("content"),
     )
+
+
+# ---- raw transcript lines ---------------------------------------------------------------------
+
+def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log as JSON lines in the raw file shape: sid, file_size, path, place, line.
+
+    Every session has a large file and a smaller partial copy; lines that carry no fact (platform
+    notices, interrupt notices, own injections, broken lines) are mixed in.
+    """
+    f = session_log(spark, sf_dir)
+    seq, ts, ref, text = F.col("seq"), F.col("ts"), F.col("ref"), F.coalesce("text", F.lit(""))
+    bare = F.substring(F.coalesce(ref, F.lit("")), 2, 20)
+
+    def obj(**fields: Column) -> Column:
+        return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+    def user(suffix: str, **fields: Column) -> Column:
+        return obj(type=F.lit("user"), uuid=F.concat(F.lit("u"), seq, F.lit(suffix)), timestamp=ts, **fields)
+
+    def assistant(suffix: str, blocks: Column, **fields: Column) -> Column:
+        return obj(
+            type=F.lit("assistant"), uuid=F.concat(F.lit("u"), seq, F.lit(suffix)), timestamp=ts,
+            message=F.struct(blocks.alias("content")), **fields)
+
+    def said(t: Column) -> Column:
+        return F.struct(t.alias("content"))
+
+    def tool_use(id_: Column, name: str, **inputs: Column) -> Column:
+        given = F.struct(*[c.alias(n) for n, c in inputs.items()]) if inputs else F.struct(F.lit(1).alias("n"))
+        return F.array(F.struct(
+            F.lit("tool_use").alias("type"), id_.alias("id"), F.lit(name).alias("name"), given.alias("input")))
+
+    def result(id_: Column, body: Column, error: Column) -> Column:
+        return F.struct(F.array(F.struct(
+            F.lit("tool_result").alias("type"), id_.alias("tool_use_id"),
+            F.when(error, True).alias("is_error"), body.alias("content"))).alias("content"))
+
+    no = F.lit(False)
+    note = F.concat(
+        F.lit(V.NOTIFICATION_TAG),
+        F.when(ref.isNotNull(), F.concat(
+            F.lit("<task-id>bg"), bare, F.lit("</task-id><tool-use-id>"), ref, F.lit("</tool-use-id>"))).otherwise(""),
+        F.lit("</task-notification>"))
+    blocks_text = F.struct(F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))).alias("content"))
+    message_lines = F.array(
+        F.when(seq % 37 == 0, user("m", isMeta=F.lit(True), message=said(F.lit("platform notice")))),
+        F.when(seq % 41 == 0, user("i", message=said(F.lit("[Request interrupted by user]")))),
+        F.when(seq % 43 == 0, user("s", message=said(F.lit("<system-reminder>x</system-reminder>")))),
+        F.when(seq % 47 == 0, F.lit('{"type":"user","uuid":')),
+        F.when(seq % 53 == 0, obj(
+            type=F.lit("attachment"), uuid=F.concat(F.lit("u"), seq, F.lit("h")), timestamp=ts,
+            attachment=F.struct(F.lit(V.OWN_ATTACHMENTS[0]).alias("type"), F.lit("x").alias("prompt")))),
+        F.when(seq % 5 == 0, obj(
+            type=F.lit("attachment"), uuid=F.concat(F.lit("u"), seq, F.lit("p")), timestamp=ts,
+            attachment=F.struct(
+                F.lit("command_permissions").alias("type"),
+                F.array(F.lit("Read"), F.concat(F.lit("T"), seq % 7)).alias("allowedTools")))),
+        F.when(seq % 3 == 0, user("", message=blocks_text, cwd=F.lit("/work")))
+        .otherwise(user("", message=said(text), cwd=F.lit("/work"))),
+    )
+    stop_id = F.concat(F.lit("S"), seq)
+    lines = (
+        F.when(F.col("kind") == "message", message_lines)
+        .when(F.col("kind") == "queue", F.array(obj(
+            type=F.lit("queue-operation"), timestamp=ts, operation=F.col("op"), content=text)))
+        .when(F.col("kind") == "launch", F.array(
+            assistant("t", F.array(F.struct(F.lit("text").alias("type"), text.alias("text")))),
+            assistant("", tool_use(ref, "Bash", run_in_background=F.lit(True))),
+            user("r", message=result(ref, F.concat(
+                F.lit("Command running in background with ID: bg"), seq, F.lit(". Output follows.")), no))))
+        .when(F.col("kind") == "question", F.array(assistant("", tool_use(ref, "AskUserQuestion"))))
+        .when(F.col("kind") == "notified", F.array(
+            F.when(seq % 2 == 0, obj(
+                type=F.lit("attachment"), uuid=F.concat(F.lit("u"), seq), timestamp=ts,
+                attachment=F.struct(F.lit("queued_command").alias("type"), note.alias("prompt"), ts.alias("timestamp"))))
+            .otherwise(user("", message=said(note)))))
+        .when(F.col("kind").isin("ended", "stop_failed"), F.array(
+            assistant("", tool_use(stop_id, "TaskStop", task_id=F.when(ref.isNotNull(), F.concat(F.lit("bg"), bare)).otherwise(""))),
+            user("r", message=result(stop_id, F.lit("stopped"), F.col("kind") == "stop_failed"))))
+        .when(F.col("kind") == "denial", F.array(
+            F.when(ref.isNull(), user("", toolDenialKind=F.lit("user-rejected"), message=said(F.lit(""))))
+            .when(F.col("op") == "clarify", user(
+                "", toolDenialKind=F.lit("user-rejected"), userFeedback=F.lit("say more"),
+                message=result(ref, F.lit("denied"), F.lit(True))))
+            .otherwise(user(
+                "", toolDenialKind=F.lit("user-rejected"), message=result(ref, F.lit("denied"), F.lit(True))))))
+        .otherwise(F.array(obj(
+            type=F.lit("assistant"), uuid=F.concat(F.lit("u"), seq), timestamp=ts, apiErrorStatus=F.lit(500),
+            message=F.struct(F.array().cast("array<struct<type:string>>").alias("content")))))
+    )
+    copies = F.when(seq % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return (
+        f.select("sid", "seq", F.posexplode(F.array_compact(lines)).alias("pos", "line"), copies.alias("copies"))
+        .select("sid", "seq", "pos", "line", F.explode("copies").alias("copy"))
+        .select(
+            "sid", F.when(F.col("copy") == 0, 2000).otherwise(1000).cast("long").alias("file_size"),
+            F.concat("sid", F.lit(".epoch"), F.col("copy").cast("string"), F.lit(".jsonl")).alias("path"),
+            (F.col("seq") * 10 + F.col("pos")).alias("place"), "line",
+        )
+    )
+
+
+def parsed_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        transcript_lines(spark, sf_dir)
+        .select("sid", "file_size", "path", "place", F.try_parse_json("line").alias("v"))
+        .where("v IS NOT NULL")
+    )
+
+
+# ---- capture files and event logs -------------------------------------------------------------
+
+def conversation(sid: str = "sid") -> Column:
+    return F.expr(f"cast(split({sid}, '-')[0] as bigint)")
+
+
+def capture_files(captures: DataFrame) -> DataFrame:
+    """The corpus as a file listing: path, length, modified_us (snapshots, event logs, strays)."""
+    root = F.lit("corpus/")
+    snaps = captures.where("content IS NOT NULL").select(
+        F.concat(root, "sid", F.lit("."), F.col("count").cast("string"), F.lit(".transcript.jsonl")).alias("path"),
+        F.octet_length("content").cast("long").alias("length"), F.col("captured_us").alias("modified_us"))
+    logs = captures.where(conversation() % 3 != 0).groupBy("sid").agg(
+        (F.count("*") * 100).alias("length"), F.max("captured_us").alias("modified_us")
+    ).select(F.concat(root, "sid", F.lit(".events.jsonl")).alias("path"), "length", "modified_us")
+    strays = captures.where("count = 1").select(
+        F.concat(root, "sid", F.lit(".count")).alias("path"), F.lit(2).cast("long").alias("length"),
+        F.col("captured_us").alias("modified_us"))
+    return snaps.unionByName(logs).unionByName(strays)
+
+
+def capture_event_rows(captures: DataFrame) -> DataFrame:
+    """Event records; one capture in six was never recorded."""
+    return captures.where((conversation() + F.col("count")) % 6 != 0).select(
+        "sid", "count", "event", "captured_us",
+        F.concat("sid", F.lit("."), F.col("count").cast("string"), F.lit(".transcript.jsonl")).alias("snapshot"),
+        F.lit(0).cast("long").alias("snapshot_bytes"))
+
+
+def capture_lengths(captures: DataFrame) -> DataFrame:
+    return captures.where("content IS NOT NULL").select("sid", "count", F.octet_length("content").alias("length"))
+
+
+def payloads(captures: DataFrame) -> DataFrame:
+    """Compaction payloads as the event records carry them."""
+    n = conversation() + F.col("count")
+    return captures.where("event IN ('PreCompact', 'PostCompact')").select(
+        "sid", "count", F.to_json(F.struct(
+            F.when(n % 2 == 0, "manual").alias("trigger"),
+            F.when(n % 3 == 0, "keep names").when(n % 3 == 1, "").alias("custom_instructions"),
+            F.when(F.col("event") == "PostCompact", F.concat(F.lit("summary of "), F.col("count").cast("string"))).alias("compact_summary"),
+        )).alias("payload"))
+
+
+def event_lines(captures: DataFrame) -> DataFrame:
+    """Event records as JSON lines, with repeats, a non-integer count, blank and broken lines."""
+    n = conversation() + F.col("count")
+    record = F.to_json(F.struct(
+        F.col("sid").alias("session_id"), "count", "event",
+        iso(F.col("captured_us")).alias("captured_at"),
+        F.octet_length("content").alias("snapshot_bytes"),
+        F.struct((n % 4).alias("n")).alias("payload")))
+    again = F.to_json(F.struct(F.col("sid").alias("session_id"), "count", F.lit("Repeat").alias("event")))
+    lines = F.array_compact(F.array(
+        record, F.when(n % 4 == 0, again), F.when(n % 5 == 0, ""), F.when(n % 7 == 0, '{"count": 3, "sess'),
+        F.when(n % 9 == 0, '{"session_id": "x", "count": "seven"}')))
+    return captures.select("sid", "count", F.posexplode(lines).alias("pos", "line"))
+
+
+def event_logs(captures: DataFrame) -> DataFrame:
+    """Each session's event log as bytes; a session has at most CAPTURES_PER_SESSION events."""
+    return captures.groupBy("sid").agg(F.encode(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("count", "event"))),
+        lambda r: F.concat(r["count"].cast("string"), F.lit(":"), r["event"], F.lit("\n"))), ""), "UTF-8").alias("content"))
+
+
+def event_log_copies(logs: DataFrame) -> DataFrame:
+    """Copies of the event logs: most equal, some shorter, some damaged, some never made."""
+    conv = conversation()
+    return logs.where(conv % 19 != 7).select("sid", F.when(
+        conv % 8 == 1, F.substring(F.col("content"), F.lit(1), F.octet_length("content") - 2)
+    ).when(conv % 17 == 3, F.encode(F.lit("0:Other\n"), "UTF-8")).otherwise(F.col("content")).alias("content"))
+
+
+def compaction_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures whose content is JSON lines, some with compaction records naming earlier lines."""
+    turns = table(spark, sf_dir, "conversations")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    plain = F.to_json(F.struct(F.lit("user").alias("type"), F.concat(F.lit("c"), conv, F.lit("-"), turn).alias("uuid")))
+    named = F.array(*[F.concat(F.lit("c"), conv, F.lit("-"), turn - d) for d in (1, 2, 9)])
+    compact = F.to_json(F.struct(
+        F.lit("system").alias("type"), F.lit("compact_boundary").alias("subtype"),
+        F.struct(
+            (conv * 10 + turn).alias("preTokens"), turn.alias("postTokens"), conv.alias("cumulativeDroppedTokens"),
+            F.when(turn % 2 == 0, turn * 5).alias("durationMs"),
+            F.struct(named.alias("allUuids")).alias("preservedMessages")).alias("compactMetadata")))
+    line = F.when((conv + turn) % 3 == 2, compact).otherwise(plain)
+    return turns.select(
+        F.concat_ws("-", conv, F.expr(f"turn div {CAPTURES_PER_SESSION}")).alias("sid"), "turn",
+        F.concat(line, F.lit("\n")).alias("line"))
+
+
+def compaction_demo(spark: SparkSession, sf_dir: str, reduction) -> DataFrame:
+    """Annotations of one base per session, holding that session's lines (at most 32)."""
+    rows = compaction_captures(spark, sf_dir).groupBy("sid").agg(
+        F.encode(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda r: r["line"]), ""), "UTF-8").alias("content"))
+    captures = rows.select("sid", F.lit(1).cast("long").alias("count"), F.lit("Stop").alias("event"),
+                           F.lit(EPOCH_US).alias("captured_us"), "content")
+    index = reduction.reduction_index(captures)
+    return reduction.compaction_annotations(index, reduction.reduced_store(index, captures)).select(
+        "sid", "line_index", "pre_tokens", "post_tokens", "dropped_tokens", "duration_ms", "preserved", "resolved", "unresolved")
