@@ -188,6 +188,14 @@ def check_counts(checks: DataFrame) -> DataFrame:
     return checks.groupBy("source", F.coalesce("failure", F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
+def compaction_rows(t: Tables) -> DataFrame:
+    captures = views.compaction_captures(t.spark, t.sf_dir)
+    index = reduction.reduction_index(captures)
+    return reduction.compaction_annotations(index, reduction.reduced_store(index, captures)).select(
+        "sid", "line_index", "pre_tokens", "post_tokens", "dropped_tokens", "duration_ms",
+        "preserved", "resolved", "unresolved")
+
+
 def stale_sessions(t: Tables) -> DataFrame:
     logs = views.event_logs(t.captures)
     return reduction.staleness(
@@ -207,10 +215,6 @@ def page_urls(t: Tables) -> DataFrame:
     return pages.select("page_id", F.explode(X.references(F.concat_ws(" ", "url", "html"), V.URL)).alias("url"))
 
 
-def window_counts(rows: DataFrame) -> DataFrame:
-    return jobs.windows(rows)
-
-
 SOURCES: dict[str, Callable[[Tables], DataFrame]] = {
     "scan_capture_events": lambda t: raw.scan_capture_events(t.spark, jobs.write_event_lines(t.spark, t.captures)).select(
         "sid", "count", "event", "captured_at", "snapshot_bytes", "payload"),
@@ -355,7 +359,7 @@ REDUCTION: dict[str, Callable[[Tables], DataFrame]] = {
         "sid", "epoch", "count", "kind", F.octet_length("content").alias("bytes"), F.sha2("content", 256).alias("sha256")),
     "reconstruct_capture": lambda t: reduction.reconstruct_capture(t.index, t.store).select(
         "sid", "count", "source", F.sha2("content", 256).alias("sha256")),
-    "compaction_annotations": lambda t: views.compaction_demo(t.spark, t.sf_dir, reduction),
+    "compaction_annotations": compaction_rows,
     "verify_roundtrip": lambda t: check_counts(reduction.verify_roundtrip(tampered_index(t), t.store)),
     "verify_against_source": lambda t: reduction.verify_against_source(tampered_index(t), t.captures),
     "staleness": stale_sessions,
@@ -388,7 +392,6 @@ STREAMING: dict[str, Callable[[Tables], DataFrame]] = {
     "stream_rules": jobs.stream_rules,
     "stream_routing": jobs.stream_routing,
     "stream_verdicts": jobs.stream_verdicts,
-    "stream_windows": lambda t: window_counts(t.log),
 }
 
 GROUPS = (SOURCES, SHAPE, STATE, RULES, ROUTING, LABELS, COVERAGE, VERDICTS, TRACE, REDUCTION, OPLOG, STREAMING)

@@ -469,18 +469,11 @@ def compaction_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(turn % 2 == 0, turn * 5).alias("durationMs"),
             F.struct(named.alias("allUuids")).alias("preservedMessages")).alias("compactMetadata")))
     line = F.when((conv + turn) % 3 == 2, compact).otherwise(plain)
-    return turns.select(
-        F.concat_ws("-", conv, F.expr(f"turn div {CAPTURES_PER_SESSION}")).alias("sid"), "turn",
-        F.concat(line, F.lit("\n")).alias("line"))
-
-
-def compaction_demo(spark: SparkSession, sf_dir: str, reduction) -> DataFrame:
-    """Annotations of one base per session, holding that session's lines (at most 32)."""
-    rows = compaction_captures(spark, sf_dir).groupBy("sid").agg(
-        F.encode(F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda r: r["line"]), ""), "UTF-8").alias("content"))
-    captures = rows.select("sid", F.lit(1).cast("long").alias("count"), F.lit("Stop").alias("event"),
-                           F.lit(EPOCH_US).alias("captured_us"), "content")
-    index = reduction.reduction_index(captures)
-    return reduction.compaction_annotations(index, reduction.reduced_store(index, captures)).select(
-        "sid", "line_index", "pre_tokens", "post_tokens", "dropped_tokens", "duration_ms", "preserved", "resolved", "unresolved")
+    rows = turns.select(
+        F.concat_ws("-", conv, F.expr(f"turn div {CAPTURES_PER_SESSION}")).alias("sid"),
+        F.struct("turn", F.concat(line, F.lit("\n")).alias("line")).alias("r"))
+    # at most CAPTURES_PER_SESSION lines per session
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "")
+    return rows.groupBy("sid").agg(F.encode(body, "UTF-8").alias("content")).select(
+        "sid", F.lit(1).cast("long").alias("count"), F.lit("Stop").alias("event"),
+        F.lit(EPOCH_US).alias("captured_us"), "content")
