@@ -3,8 +3,8 @@
 A plain window over ``partitionBy(session)`` puts a whole session into one task. Here a session
 above ``turnscope.hotRows`` rows is cut into time chunks: windows run inside (session, chunk), each
 chunk is pre-aggregated to one row, and what earlier chunks contribute is added by an equi join.
-Ordinary sessions have ``chunk IS NULL`` and behave as under a plain window; when no session is
-hot, the carry branch is empty and adaptive execution drops it.
+Ordinary sessions have ``chunk IS NULL`` and behave as under a plain window. When a count per
+session shows that none is hot, ``chunk`` has type VOID and every later scan is a plain window.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOT_ROWS = 1_000_000
 MAX_HOT_GROUPS = 10_000
@@ -26,18 +27,23 @@ ISO_WIDTHS = (16, 19, 23)  # minute, second and millisecond prefixes of an ISO t
 
 
 def with_chunks(
-    df: DataFrame, key: str = "sid", order: str = "ts", widths: tuple[int, int, int] = ISO_WIDTHS
+    df: DataFrame,
+    key: str = "sid",
+    order: str = "ts",
+    widths: tuple[int, int, int] = ISO_WIDTHS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``chunk``: NULL for ordinary groups, a prefix of the order string for hot ones.
 
     A prefix of a string is monotone in that string, so chunks never interleave; the hotter the
-    group, the longer the prefix. The broadcast
+    group, the longer the prefix. One count per group is run here to learn whether any group is
+    hot; ``sizes`` may name a cheaper frame with the same key column and row counts. The broadcast
     side is at most MAX_HOT_GROUPS rows whatever the data size: a group outside the largest
     10,000 holds less than a ten-thousandth of all rows and needs no cutting.
     """
     limit = hot_rows(df)
     hot = (
-        df.groupBy(key)
+        (df if sizes is None else sizes).groupBy(key)
         .agg(F.count("*").alias("_n"))
         .where(F.col("_n") > limit)
         .orderBy(F.desc("_n"), key)
@@ -49,6 +55,8 @@ def with_chunks(
             .otherwise(widths[0]).alias("_width"),
         )
     )
+    if hot.isEmpty():
+        return df.withColumn("chunk", F.lit(None))
     return (
         df.join(F.broadcast(hot), key, "left")
         .withColumn("chunk", F.expr(f"substring({order}, 1, _width)"))
@@ -56,6 +64,10 @@ def with_chunks(
     )
 
 
+def is_chunked(df: DataFrame, chunk: str = "chunk") -> bool:
+    return not isinstance(df.schema[chunk].dataType, T.NullType)
+
+
 def scan(
     df: DataFrame,
     by: Sequence[str],
@@ -81,7 +93,8 @@ def scan(
     """
     sums, lasts, nexts = dict(sums or {}), dict(lasts or {}), dict(nexts or {})
     peers, totals, maxes = dict(peers or {}), dict(totals or {}), dict(maxes or {})
-    keys = [*by, chunk]
+    chunked = is_chunked(df, chunk)
+    keys = [*by, chunk] if chunked else [*by]
     asc = Window.partitionBy(*keys).orderBy(*order)
     desc = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     before = asc.rowsBetween(Window.unboundedPreceding, -1)
@@ -102,6 +115,13 @@ def scan(
         *[F.max(e).over(whole).alias(f"_m_{n}") for n, e in maxes.items()],
     )
 
+    if not chunked:
+        return local.select(
+            *df.columns,
+            *[F.col(f"_{p}_{n}").alias(n) for p, names in
+              (("s", sums), ("p", peers), ("l", lasts), ("n", nexts), ("t", totals), ("m", maxes)) for n in names],
+        )
+
     position = F.struct(*order)
 
     def present(e: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from turnscope.functions import text as X
 from turnscope.functions import vocab as V
+from turnscope.session import materialize
 from turnscope.operators import coverage, labels, oplog, reduction, routing, rules, shape, state, trace, verdicts
 from turnscope.sources import catalogue as C
 from turnscope.sources import raw, views
@@ -37,25 +38,32 @@ class Tables:
     def inputs(self) -> rules.Inputs:
         return rules.Inputs(self.log, views.known_refs(self.messages), views.url_probes(self.log))
 
+    def share(self) -> Tables:
+        """For queries that run many rules: write the log once instead of deriving it per rule."""
+        self.log = materialize(self.log, "log")
+        return self
+
     @cached_property
     def fires(self) -> DataFrame:
-        return rules.evaluate(self.inputs, SQL_RULES)
+        """Fires written once: routing, labels and statistics read them many times."""
+        return materialize(rules.evaluate(self.share().inputs, SQL_RULES), "fires")
 
     @cached_property
     def first_fires(self) -> DataFrame:
-        return rules.first_cause(self.fires, C.deduped_rules())
+        return materialize(rules.first_cause(self.fires, C.deduped_rules()), "causes")
 
     @cached_property
     def all_first_fires(self) -> DataFrame:
-        return rules.first_cause(rules.evaluate(self.inputs), C.deduped_rules())
+        fires = rules.evaluate(self.share().inputs)
+        return materialize(rules.first_cause(fires, C.deduped_rules()), "causes")
 
     @cached_property
     def facts(self) -> DataFrame:
-        return state.state_facts(self.log)
+        return materialize(state.state_facts(self.log), "facts")
 
     @cached_property
     def active(self) -> DataFrame:
-        return trace.active_rules(self.inputs, SQL_RULES)
+        return materialize(trace.active_rules(self.share().inputs, SQL_RULES), "active")
 
     @cached_property
     def desync(self) -> DataFrame:
@@ -79,7 +87,8 @@ class Tables:
 
     @cached_property
     def labelled(self) -> DataFrame:
-        return labels.labelled_fires(self.first_fires, self.messages, self.markers, self.label_rows)
+        fires = self.first_fires  # shares the log before the other inputs are planned
+        return labels.labelled_fires(fires, self.messages, self.markers, self.label_rows)
 
     @cached_property
     def precision(self) -> DataFrame:
@@ -89,7 +98,7 @@ class Tables:
     def refreshed(self) -> DataFrame:
         """The catalogue with this run's results; rules the run did not evaluate keep theirs."""
         evaluated = self.precision.where(F.col("rule").isin(*SQL_RULES))
-        return C.with_metrics(self.catalogue, evaluated)
+        return materialize(C.with_metrics(self.catalogue, evaluated), "catalogue")
 
     @cached_property
     def routed(self) -> DataFrame:
@@ -97,7 +106,8 @@ class Tables:
 
     @cached_property
     def fire_log(self) -> DataFrame:
-        return routing.fire_log(self.routed, self.log)
+        routed = self.routed  # shares the log before it is read again
+        return routing.fire_log(routed, self.log)
 
     @cached_property
     def normalise(self) -> DataFrame:
@@ -133,7 +143,7 @@ class Tables:
 
     @cached_property
     def index(self) -> DataFrame:
-        return reduction.reduction_index(self.captures)
+        return materialize(reduction.reduction_index(self.captures), "index")
 
     @cached_property
     def store(self) -> DataFrame:
@@ -278,8 +288,8 @@ RULES: dict[str, Callable[[Tables], DataFrame]] = {
     **{f"rule_{r.lower()}": rule_query(r) for r in rules.RULES if r not in ("R07", "R09")},
     "rule_r07": lambda t: rules.rule_r07(t.inputs).select("sid", "idx", "rule", "key", "why"),
     "near_dup_candidates": lambda t: rules.near_dup_candidates(t.inputs).select("sid", "idx", "a", "b"),
-    "evaluate_rules": lambda t: shown(t.fires),
-    "evaluate_all_rules": lambda t: shown(rules.evaluate(t.inputs)),
+    "evaluate_rules": lambda t: shown(rules.evaluate(t.share().inputs, SQL_RULES)),
+    "evaluate_all_rules": lambda t: shown(rules.evaluate(t.share().inputs)),
     "fires_first_cause": lambda t: shown(t.first_fires),
 }
 

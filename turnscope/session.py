@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -36,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    local = tempfile.mkdtemp(prefix="turnscope-")
+    local = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     return local
 
@@ -45,3 +47,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is ever reused or deleted."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table read by many branches once, and continue from the files.
+
+    The lineage ends at the shared folder, so a lost executor costs a re-read, and every branch
+    still gets column pruning and pushed filters. VOID columns are put back after reading.
+    """
+    void = [f.name for f in df.schema if isinstance(f.dataType, T.NullType)]
+    kept = df.drop(*void)
+    path = scratch_path(df.sparkSession, name)
+    kept.write.parquet(path)
+    back = df.sparkSession.read.schema(kept.schema).parquet(path)
+    return back.select(*[F.lit(None).alias(c) if c in void else F.col(c) for c in df.columns])

@@ -100,7 +100,8 @@ def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     denial kind), text, elapsed_ms.
     """
     seq, kind = F.col("seq"), F.col("kind")
-    rows = with_chunks(events(spark, sf_dir)).withColumn("kind", fact_kind())
+    users = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("sid"))
+    rows = with_chunks(events(spark, sf_dir), sizes=users).withColumn("kind", fact_kind())
     rows = rows.withColumn("op", (
         F.when(kind == "queue", F.element_at(F.array(F.lit("enqueue"), F.lit("remove"), F.lit("dequeue")), (seq % 3 + 1).cast("int")))
         .when(kind == "denial", F.when(seq % 2 == 0, "clarify").otherwise("user-rejected"))
