@@ -18,6 +18,25 @@ def col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def sql_array(values) -> str:
+    """An array literal: one expression instead of a call per element."""
+    return "array(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ")"
+
+
+def iso_sql(us: str) -> str:
+    """SQL for ISO-8601 text of epoch microseconds, independent of the session time zone."""
+    rest = f"({us} % 86400000000)"
+    return (
+        f"concat(CAST(date_add(DATE'1970-01-01', CAST({us} div 86400000000 AS INT)) AS STRING), "
+        f"format_string('T%02d:%02d:%02d.%06dZ', {rest} div 3600000000, {rest} div 60000000 % 60, "
+        f"{rest} div 1000000 % 60, {us} % 1000000))"
+    )
+
+
+def iso(us: str) -> Column:
+    return F.expr(iso_sql(us))
+
+
 def find_all(c: ColumnOrName, pattern: str) -> Column:
     return F.regexp_extract_all(col(c), F.lit(pattern), F.lit(0))
 
@@ -29,7 +48,7 @@ def count_matches(c: ColumnOrName, pattern: str) -> Column:
 def tokens(c: ColumnOrName) -> Column:
     """Sorted distinct vocabulary items of four or more characters."""
     words = find_all(F.lower(F.coalesce(col(c), F.lit(""))), V.TOKEN)
-    stop = F.array(*[F.lit(w) for w in V.STOP_WORDS])
+    stop = F.expr(sql_array(V.STOP_WORDS))
     return F.array_sort(F.array_except(F.array_distinct(words), stop))
 
 
@@ -105,9 +124,8 @@ def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
-def reaches(a: str, b: str, threshold: float) -> bool:
-    """Whether ratio(a, b) >= threshold, trying the two cheap upper bounds first."""
-    m = difflib.SequenceMatcher(None, a, b)
+def reaches(m: difflib.SequenceMatcher, threshold: float) -> bool:
+    """Whether the ratio is at least the threshold, trying two cheap upper bounds first."""
     return (
         m.real_quick_ratio() >= threshold
         and m.quick_ratio() >= threshold
@@ -115,6 +133,27 @@ def reaches(a: str, b: str, threshold: float) -> bool:
     )
 
 
+@F.pandas_udf(T.BooleanType())
+def _resembles(a: pd.Series, b: pd.Series, threshold: pd.Series) -> pd.Series:
+    """Whether similarity(a, b) >= threshold. Second texts are prepared once each per batch."""
+    out = [False] * len(a)
+    matcher, last = difflib.SequenceMatcher(), None
+    for i in sorted(range(len(a)), key=b.to_numpy().__getitem__):
+        if b.iat[i] != last:
+            last = b.iat[i]
+            matcher.set_seq2(last)
+        if a.iat[i] == last:
+            out[i] = True
+            continue
+        matcher.set_seq1(a.iat[i])
+        out[i] = reaches(matcher, threshold.iat[i])
+    return pd.Series(out)
+
+
+# declared nondeterministic so that the optimizer leaves it above the repartition that feeds it
+resembles = _resembles.asNondeterministic()
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio of two short texts; argument order matters."""

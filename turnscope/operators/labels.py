@@ -122,14 +122,12 @@ def label_r10(fires: DataFrame, msgs: DataFrame, threshold: float = 0.7, n_chars
     family = msgs.where(F.col("text").rlike(V.NO_CRITERION)).select(
         "sid", "idx", F.substring("text", 1, n_chars).alias("b")
     )
-    pool = family.groupBy("sid", "b").agg(F.count("*").alias("n"), F.lit(0).alias("first_idx"))
-    again = similar.matched(
-        pool.select("sid", F.col("b").alias("a"), F.lit(0).alias("upto")),
-        pool.drop("n"), threshold,
-    ).select("sid", F.col("a").alias("b"), F.lit(True).alias("_again"))
-    verdicts = pool.join(again, ["sid", "b"], "left").select(
-        "sid", "b", (F.coalesce("_again", F.lit(False)) | (F.col("n") > 1)).alias("auto_label")
-    )
+    texts = family.groupBy("sid", "b").agg(F.count("*").alias("n"), F.lit(0).alias("first_idx"))
+    probes = texts.select("sid", F.col("b").alias("a"), F.lit(0).alias("upto"), "n")
+    # a text always resembles itself: a second hit, or a second message with it, is "another"
+    found = similar.with_resemblance(probes, texts.drop("n"), threshold)
+    verdicts = found.select(
+        "sid", F.col("a").alias("b"), ((F.col("n") > 1) | (F.col("hits") > 1)).alias("auto_label"))
     return (
         fires.where("rule = 'R10'").select("sid", "idx", "rule", "key")
         .join(family, ["sid", "idx"]).join(verdicts, ["sid", "b"])

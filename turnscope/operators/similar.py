@@ -1,9 +1,9 @@
 """Exact similarity search inside a session.
 
-Pairs are never listed for their own sake: texts are made distinct first, equal texts are settled
-by an equi join, and the rest meet only inside neighbouring length buckets, where a bound from
-character counts discards most pairs before the Arrow function runs. Every discarded pair is proven
-below the threshold, so no match is lost.
+Pairs are never listed for their own sake: texts are made distinct first and meet only inside
+neighbouring length buckets, a bound from the lengths is checked in the join, and one from
+character counts before the full comparison. Every discarded pair is proven below the threshold,
+so no match is lost.
 """
 
 from __future__ import annotations
@@ -15,25 +15,9 @@ from pyspark.sql import functions as F
 
 from turnscope.functions import text as X
 
-LETTERS = "etaoinsrhldcumfpgwybvkxjqz "
 BUCKET_BASE = 1.25
 
 
-def profile(c: str) -> Column:
-    """Counts of common letters plus one count for everything else."""
-    counts = [F.length(c) - F.length(F.replace(F.col(c), F.lit(ch), F.lit(""))) for ch in LETTERS]
-    rest = F.length(c) - sum(counts[1:], counts[0])
-    return F.array(*counts, rest)
-
-
-def overlap_bound(pa: str, pb: str, la: str, lb: str) -> Column:
-    """2 * shared characters / total length: never below the true ratio."""
-    shared = F.aggregate(
-        F.zip_with(pa, pb, lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x
-    )
-    return 2.0 * shared / (F.col(la) + F.col(lb))
-
-
 def bucket(c: str) -> Column:
     return F.floor(F.log(F.greatest(F.length(c), F.lit(1))) / math.log(BUCKET_BASE))
 
@@ -43,37 +27,34 @@ def reach(threshold: float) -> int:
     return math.ceil(math.log((2 - threshold) / threshold) / math.log(BUCKET_BASE))
 
 
-def matched(probes: DataFrame, pool: DataFrame, threshold: float) -> DataFrame:
-    """Probes that some pool text resembles.
+def resemblance(probes: DataFrame, pool: DataFrame, threshold: float, early_only: bool) -> DataFrame:
+    """Per probe: ``hit_idx``, the earliest pool entry that equals or resembles it, and ``hits``,
+    how many do. Probes without any are absent.
 
-    probes: sid, a, upto   distinct; ``upto`` limits the pool to entries with first_idx <= upto
-    pool:   sid, b, first_idx   distinct per (sid, b); entries equal to the probe are not compared
+    probes: sid, a, upto (distinct); pool: sid, b, first_idx (distinct per sid, b).
+    ``early_only`` looks no further than first_idx <= upto. Pairs are tested where they are joined
+    and only the minimum per probe is shuffled.
     """
     steps = reach(threshold)
     left = probes.select(
-        "*", F.length("a").alias("la"), profile("a").alias("pa"),
-        F.explode(F.sequence(bucket("a") - steps, bucket("a") + steps)).alias("bucket"),
-    )
-    right = pool.select("*", F.length("b").alias("lb"), profile("b").alias("pb"), bucket("b").alias("bucket"))
-    candidates = (
-        left.join(right, ["sid", "bucket"])
-        .where((F.col("first_idx") <= F.col("upto")) & (F.col("a") != F.col("b")))
-        .where(X.length_bound(F.col("la"), F.col("lb")) >= threshold)
-        .where(overlap_bound("pa", "pb", "la", "lb") >= threshold)
-    )
-    return (
-        candidates.where(X.similarity("a", "b") >= threshold)
-        .select("sid", "a", "upto")
-        .distinct()
-    )
-
-
-def without_match(probes: DataFrame, pool: DataFrame, threshold: float) -> DataFrame:
-    """Probes that nothing in the pool equals or resembles."""
-    equal = pool.select("sid", F.col("b").alias("a"), "first_idx")
-    open_ = (
-        probes.join(equal, ["sid", "a"], "left")
-        .where("first_idx IS NULL OR first_idx > upto")
-        .drop("first_idx")
+        "*", F.explode(F.sequence(bucket("a") - steps, bucket("a") + steps)).alias("bucket")
     )
-    return open_.join(matched(open_, pool, threshold), ["sid", "a", "upto"], "left_anti")
+    right = pool.select("sid", "b", "first_idx", bucket("b").alias("bucket"))
+    pairs = left.join(right, ["sid", "bucket"])
+    if early_only:
+        pairs = pairs.where("first_idx <= upto")
+    near = pairs.where(X.length_bound(F.length("a"), F.length("b")) >= threshold).select(
+        "sid", "a", "upto", "b", "first_idx")
+    # scoring costs far more than moving a pair, so pairs are spread evenly: one hot session's
+    # pairs then use every core
+    spread = near.repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hits = spread.where(X.resembles("a", "b", F.lit(threshold)))
+    return hits.groupBy("sid", "a", "upto").agg(
+        F.min("first_idx").alias("hit_idx"), F.count("*").alias("hits"))
+
+
+def with_resemblance(rows: DataFrame, pool: DataFrame, threshold: float, early_only: bool = True) -> DataFrame:
+    """Rows (sid, a, upto, ...) with ``hit_idx`` and ``hits``, NULL where nothing resembles."""
+    probes = rows.select("sid", "a", "upto").distinct()
+    hits = resemblance(probes, pool, threshold, early_only)
+    return rows.join(hits, ["sid", "a", "upto"], "left")

@@ -27,16 +27,32 @@ def human_queue_op():
     return is_kind("queue") & (F.length("text") > 0) & ~X.is_system_text("text")
 
 
+MARKS = ("messages_before", "ops_before", "messages_upto", "n_messages")
+
+
+def is_marked(log: DataFrame) -> bool:
+    return set(MARKS) <= set(log.columns)
+
+
 def messages(log: DataFrame) -> DataFrame:
     """Human messages with ordinal ``idx`` (from 1) within the session."""
-    rows = log.where(is_kind("message")).select("sid", "ts", "seq", "us", "chunk", "text")
-    return scan(rows, ["sid"], ORDER, sums={"_before": F.lit(1)}).select(
-        "sid", "ts", "seq", "us", "chunk", (F.col("_before") + 1).alias("idx"), "text"
-    )
+    rows = log.where(is_kind("message"))
+    if not is_marked(log):
+        rows = scan(
+            rows.select("sid", "ts", "seq", "us", "chunk", "text"), ["sid"], ORDER,
+            sums={"messages_before": F.lit(1)},
+        )
+    return rows.select("sid", "ts", "seq", "us", "chunk", F.expr("messages_before + 1 AS idx"), "text")
 
 
 def marked(log: DataFrame) -> DataFrame:
-    """The fact stream with each fact's place among the session's messages and queue operations."""
+    """The fact stream with each fact's place among the session's messages and queue operations.
+
+    A log that already carries the marks is returned as it is, so a marked log written once
+    serves every rule without another scan.
+    """
+    if is_marked(log):
+        return log
     said = flag(is_kind("message"))
     return scan(
         log, ["sid"], ORDER,

@@ -29,7 +29,7 @@ def active_rules(inputs: rules.Inputs, only=tuple(rules.RULES)) -> DataFrame:
 
 def until_hidden(causes: DataFrame, inputs: rules.Inputs) -> DataFrame:
     """End a cause's run when its queue operation leaves the newest 400."""
-    marks = state.marked(inputs.log)
+    marks = inputs.marked
     hiding = marks.where("kind = 'queue'").select(
         "sid", (F.col("ops_before") - V.MAX_QUEUE_OPS).alias("ops_before"),
         (F.col("messages_before") + 1).alias("_hidden"),
@@ -40,9 +40,9 @@ def until_hidden(causes: DataFrame, inputs: rules.Inputs) -> DataFrame:
 
 def delivery_runs(inputs: rules.Inputs) -> DataFrame:
     fires = rules.rule_r12(inputs).select("sid", F.col("idx").alias("first_idx"), "key")
-    stamp = F.concat(F.lit("lost:"), rules.iso_offset(F.col("us")))
+    stamp = F.concat(F.lit("lost:"), rules.iso_offset("us"))
     ops = (
-        state.marked(inputs.log).where("kind = 'queue' AND op = 'dequeue' AND us IS NOT NULL")
+        inputs.marked.where("kind = 'queue' AND op = 'dequeue' AND us IS NOT NULL")
         .groupBy("sid", stamp.alias("key"))
         .agg(F.max("ops_before").alias("ops_before"), F.max("n_messages").alias("n_messages"))
     )
@@ -54,21 +54,8 @@ def draft_runs(inputs: rules.Inputs) -> DataFrame:
     """A withdrawn draft stays unresolved until the first message resembling it."""
     threshold = inputs.param("R01", "similarity")
     lost = rules.unresolved_retractions(inputs)
-    probes = lost.select("sid", "a", "upto").distinct()
-    pool = rules.sent_texts(inputs)
-    steps = similar.reach(threshold)
-    left = probes.select("*", F.explode(
-        F.sequence(similar.bucket("a") - steps, similar.bucket("a") + steps)).alias("bucket"))
-    hits = (
-        left.join(pool.withColumn("bucket", similar.bucket("b")), ["sid", "bucket"])
-        .where(X.length_bound(F.length("a"), F.length("b")) >= threshold)
-        .withColumn("pa", similar.profile("a")).withColumn("pb", similar.profile("b"))
-        .withColumn("la", F.length("a")).withColumn("lb", F.length("b"))
-        .where(similar.overlap_bound("pa", "pb", "la", "lb") >= threshold)
-        .where(X.similarity("a", "b") >= threshold)
-        .groupBy("sid", "a", "upto").agg(F.min("first_idx").alias("end_idx"))
-    )
-    causes = lost.join(hits, ["sid", "a", "upto"], "left").withColumn("first_idx", F.col("upto"))
+    found = similar.with_resemblance(lost, rules.sent_texts(inputs), threshold, early_only=False)
+    causes = found.withColumn("first_idx", F.col("upto")).withColumnRenamed("hit_idx", "end_idx")
     return until_hidden(causes, inputs).select("sid", "first_idx", "last_idx")
 
 

@@ -104,23 +104,19 @@ def scan(
     )
     whole = Window.partitionBy(*keys)
     zero = F.lit(0)
+    mark = "_{}_{}" if chunked else "{1}"
 
     local = df.select(
         "*",
-        *[F.coalesce(F.sum(e).over(before), zero).alias(f"_s_{n}") for n, e in sums.items()],
-        *[F.coalesce(F.sum(e).over(upto), zero).alias(f"_p_{n}") for n, e in peers.items()],
-        *[F.last(e, True).over(before).alias(f"_l_{n}") for n, e in lasts.items()],
-        *[F.last(e, True).over(after).alias(f"_n_{n}") for n, e in nexts.items()],
-        *[F.coalesce(F.sum(e).over(whole), zero).alias(f"_t_{n}") for n, e in totals.items()],
-        *[F.max(e).over(whole).alias(f"_m_{n}") for n, e in maxes.items()],
+        *[F.coalesce(F.sum(e).over(before), zero).alias(mark.format("s", n)) for n, e in sums.items()],
+        *[F.coalesce(F.sum(e).over(upto), zero).alias(mark.format("p", n)) for n, e in peers.items()],
+        *[F.last(e, True).over(before).alias(mark.format("l", n)) for n, e in lasts.items()],
+        *[F.last(e, True).over(after).alias(mark.format("n", n)) for n, e in nexts.items()],
+        *[F.coalesce(F.sum(e).over(whole), zero).alias(mark.format("t", n)) for n, e in totals.items()],
+        *[F.max(e).over(whole).alias(mark.format("m", n)) for n, e in maxes.items()],
     )
-
     if not chunked:
-        return local.select(
-            *df.columns,
-            *[F.col(f"_{p}_{n}").alias(n) for p, names in
-              (("s", sums), ("p", peers), ("l", lasts), ("n", nexts), ("t", totals), ("m", maxes)) for n in names],
-        )
+        return local
 
     position = F.struct(*order)
 

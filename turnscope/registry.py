@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from turnscope.functions import text as X
 from turnscope.functions import vocab as V
-from turnscope.session import materialize
 from turnscope.operators import coverage, labels, oplog, reduction, routing, rules, shape, state, trace, verdicts
+from turnscope.session import materialize
 from turnscope.sources import catalogue as C
 from turnscope.sources import raw, views
 from turnscope.streaming import jobs
@@ -39,8 +39,10 @@ class Tables:
         return rules.Inputs(self.log, views.known_refs(self.messages), views.url_probes(self.log))
 
     def share(self) -> Tables:
-        """For queries that run many rules: write the log once instead of deriving it per rule."""
-        self.log = materialize(self.log, "log")
+        """For queries with many branches: write the marked log once instead of deriving it each
+        time."""
+        if not state.is_marked(self.log):
+            self.log = materialize(state.marked(self.log), "log")
         return self
 
     @cached_property
@@ -59,7 +61,7 @@ class Tables:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return materialize(state.state_facts(self.log), "facts")
+        return materialize(state.state_facts(self.share().log), "facts")
 
     @cached_property
     def active(self) -> DataFrame:
@@ -159,7 +161,8 @@ def shown(fires: DataFrame) -> DataFrame:
 
 
 def rule_query(rule: str) -> Callable[[Tables], DataFrame]:
-    return lambda t: shown(rules.RULES[rule](t.inputs))
+    many_passes = rule in ("R01", "R02", "R04", "R12")
+    return lambda t: shown(rules.RULES[rule]((t.share() if many_passes else t).inputs))
 
 
 def runs_summary(runs: DataFrame, *names: str) -> DataFrame:
@@ -238,7 +241,6 @@ SOURCES: dict[str, Callable[[Tables], DataFrame]] = {
     ).select("sid", "count", "event", "snapshot", "bytes", "exists"),
     "scan_catalogue": lambda t: jobs.catalogue_roundtrip(t.spark, t.refreshed).select(
         "rule", "action", "suspended", "precision", "basis", "refuted", "hand_labelled", "template"),
-    "catalogue_params": lambda t: C.rule_params(t.refreshed),
     "sink_append_log": lambda t: jobs.append_and_read(t.spark, t.fire_log),
     "sink_catalogue_metrics": lambda t: t.refreshed.select(
         "rule", "action", "suspended", "precision", "basis", "refuted", "hand_labelled", "template"),

@@ -42,22 +42,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def iso(us: Column) -> Column:
-    """ISO-8601 text of compressed microseconds, independent of the session time zone."""
-    day = F.floor(us / 86_400_000_000)
-    rest = us % 86_400_000_000
-    return F.concat(
-        F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int")).cast("string"),
-        F.format_string(
-            "T%02d:%02d:%02d.%06dZ",
-            F.floor(rest / 3_600_000_000),
-            F.floor(rest / 60_000_000) % 60,
-            F.floor(rest / 1_000_000) % 60,
-            rest % 1_000_000,
-        ),
-    )
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Driver events with session id, compressed time and number ``k``."""
     offset = "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz))"
@@ -69,28 +53,34 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("elapsed_ms"),
         F.get_json_object("props", "$.k").alias("k"),
     )
-    return raw.withColumn("ts", iso(F.col("us")))
+    return raw.withColumn("ts", X.iso("us"))
 
 
 def template_text(seq: Column, k: Column) -> Column:
-    bodies = F.array(*[F.lit(t) for t in TEMPLATES])
+    bodies = F.expr(X.sql_array(TEMPLATES))
     return F.replace(F.element_at(bodies, (seq % 16 + 1).cast("int")), F.lit("#"), F.coalesce(k, F.lit("")))
 
 
-def fact_kind() -> Column:
-    seq = F.col("seq")
-    kind = F.col("event_type")
-    return (
-        F.when(kind == "view", "message")
-        .when(kind == "click", "queue")
-        .when(kind == "error", "api_error")
-        .when((kind == "signup") & (seq % 2 == 0), "launch")
-        .when(kind == "signup", "question")
-        .when(seq % 3 == 0, "denial")
-        .when(seq % 3 == 1, "notified")
-        .when(seq % 5 == 0, "stop_failed")
-        .otherwise("ended")
-    )
+FACT_KIND = """
+CASE event_type WHEN 'view' THEN 'message' WHEN 'click' THEN 'queue' WHEN 'error' THEN 'api_error'
+  WHEN 'signup' THEN CASE WHEN seq % 2 = 0 THEN 'launch' ELSE 'question' END
+  ELSE CASE WHEN seq % 3 = 0 THEN 'denial' WHEN seq % 3 = 1 THEN 'notified'
+    WHEN seq % 5 = 0 THEN 'stop_failed' ELSE 'ended' END END
+"""
+FACT_OP = """
+CASE kind WHEN 'queue' THEN element_at(array('enqueue', 'remove', 'dequeue'), CAST(seq % 3 + 1 AS INT))
+  WHEN 'denial' THEN CASE WHEN seq % 2 = 0 THEN 'clarify' ELSE 'user-rejected' END END
+"""
+FACT_TEXT = """
+CASE kind WHEN 'message' THEN template WHEN 'launch' THEN concat('working on item ', k)
+  WHEN 'queue' THEN CASE WHEN seq % 7 = 0 THEN '' WHEN seq % 7 = 1
+    THEN '<system-reminder>note</system-reminder>' ELSE template END END
+"""
+FACT_REF = """
+CASE WHEN kind = 'launch' THEN concat('L', seq) WHEN kind = 'question' THEN concat('Q', seq)
+  WHEN kind IN ('notified', 'ended', 'stop_failed') THEN concat('L', _launch)
+  WHEN kind = 'denial' THEN concat('Q', _question) END
+"""
 
 
 def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,37 +89,21 @@ def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns: sid, ts, seq, us, chunk, kind, ref (task or question id), op (queue operation or
     denial kind), text, elapsed_ms.
     """
-    seq, kind = F.col("seq"), F.col("kind")
-    users = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("sid"))
-    rows = with_chunks(events(spark, sf_dir), sizes=users).withColumn("kind", fact_kind())
-    rows = rows.withColumn("op", (
-        F.when(kind == "queue", F.element_at(F.array(F.lit("enqueue"), F.lit("remove"), F.lit("dequeue")), (seq % 3 + 1).cast("int")))
-        .when(kind == "denial", F.when(seq % 2 == 0, "clarify").otherwise("user-rejected"))
-    )).withColumn("text", (
-        F.when(kind == "message", template_text(seq, F.col("k")))
-        .when(
-            kind == "queue",
-            F.when(seq % 7 == 0, "")
-            .when(seq % 7 == 1, "<system-reminder>note</system-reminder>")
-            .otherwise(template_text(seq, F.col("k"))),
-        )
-        .when(kind == "launch", F.concat(F.lit("working on item "), F.col("k")))
-    ))
+    users = table(spark, sf_dir, "events").select(F.expr("CAST(user_id AS STRING) AS sid"))
+    rows = (
+        with_chunks(events(spark, sf_dir), sizes=users)
+        .select("*", F.expr(FACT_KIND).alias("kind"), template_text(F.col("seq"), F.col("k")).alias("template"))
+        .select("*", F.expr(FACT_OP).alias("op"), F.expr(FACT_TEXT).alias("text"))
+    )
     linked = scan(
         rows, ["sid"], ["ts", "seq"],
         lasts={
-            "_launch": F.when(kind == "launch", seq),
-            "_question": F.when(kind == "question", seq),
+            "_launch": F.expr("CASE WHEN kind = 'launch' THEN seq END"),
+            "_question": F.expr("CASE WHEN kind = 'question' THEN seq END"),
         },
     )
-    ref = (
-        F.when(kind == "launch", F.concat(F.lit("L"), seq))
-        .when(kind == "question", F.concat(F.lit("Q"), seq))
-        .when(kind.isin("notified", "ended", "stop_failed"), F.concat(F.lit("L"), F.col("_launch")))
-        .when(kind == "denial", F.concat(F.lit("Q"), F.col("_question")))
-    )
     return linked.select(
-        "sid", "ts", "seq", "us", "chunk", "kind", ref.alias("ref"), "op", "text", "elapsed_ms"
+        "sid", "ts", "seq", "us", "chunk", "kind", F.expr(FACT_REF).alias("ref"), "op", "text", "elapsed_ms"
     )
 
 
@@ -161,8 +135,8 @@ def desync_verdicts(messages: DataFrame) -> DataFrame:
         F.when(seq % 9 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     ).alias("write"))
     yes = (seq + F.col("write")) % 5 == 0
-    kinds = F.array(*[F.lit(k) for k in V.DESYNC_KINDS[:-1]])
-    levels = F.array(*[F.lit(c) for c in V.CONFIDENCE])
+    kinds = F.expr(X.sql_array(V.DESYNC_KINDS[:-1]))
+    levels = F.expr(X.sql_array(V.CONFIDENCE))
     return writes.select(
         X.message_key("sid", "text").alias("key"),
         "sid",
@@ -186,7 +160,7 @@ def directive_verdicts(messages: DataFrame) -> DataFrame:
     def bit(n: int) -> Column:
         return flags & (F.expr(f"(seq div {n}) % 2") == 1)
 
-    levels = F.array(*[F.lit(c) for c in V.CONFIDENCE])
+    levels = F.expr(X.sql_array(V.CONFIDENCE))
     return messages.select(
         X.message_key("sid", "text").alias("key"),
         "sid",
@@ -432,7 +406,7 @@ def event_lines(captures: DataFrame) -> DataFrame:
     n = conversation() + F.col("count")
     record = F.to_json(F.struct(
         F.col("sid").alias("session_id"), "count", "event",
-        iso(F.col("captured_us")).alias("captured_at"),
+        X.iso("captured_us").alias("captured_at"),
         F.octet_length("content").alias("snapshot_bytes"),
         F.struct((n % 4).alias("n")).alias("payload")))
     again = F.to_json(F.struct(F.col("sid").alias("session_id"), "count", F.lit("Repeat").alias("event")))

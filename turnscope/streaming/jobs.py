@@ -104,7 +104,7 @@ def session_features(facts: DataFrame) -> DataFrame:
     return facts.select(
         "sid", "ts", "seq", "us", "kind", "ref", "op",
         fires.alias("text_fires"), X.reply_verdict("text").alias("reply"),
-        rules.iso_offset(F.col("us")).alias("stamp"),
+        rules.iso_offset("us").alias("stamp"),
     )
 
 
