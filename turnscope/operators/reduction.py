@@ -55,13 +55,15 @@ def listing(captures: DataFrame) -> DataFrame:
 def capture_catalog(event_rows: DataFrame, files: DataFrame) -> DataFrame:
     """Event rows joined with snapshot files on (sid, count); the file's own size wins.
 
-    event_rows: sid, count, event, captured_us, snapshot, snapshot_bytes; files: sid, count, length
+    event_rows: sid, count, event, captured_us, snapshot, snapshot_bytes; files: sid, count, length.
+    Spark's file sources skip files of length zero, so a capture recorded with zero bytes and no
+    file row is an empty file, not a missing one.
     """
     return event_rows.join(files, ["sid", "count"], "full").select(
         "sid", "count", "event", "captured_us",
         F.coalesce("snapshot", F.concat("sid", F.lit("."), F.col("count").cast("string"), F.lit(".transcript.jsonl"))).alias("snapshot"),
         F.coalesce("length", F.lit(0)).cast("long").alias("bytes"),
-        F.col("length").isNotNull().alias("exists"),
+        (F.col("length").isNotNull() | F.coalesce(F.col("snapshot_bytes") == 0, F.lit(False))).alias("exists"),
     )
 
 

@@ -83,7 +83,7 @@ def snapshot_names(files: DataFrame) -> DataFrame:
 
 
 def scan_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Snapshot files with content (at most 2 GB each, Spark's limit for one value)."""
+    """Non-empty snapshot files with content (at most 2 GB each, Spark's limit for one value)."""
     return snapshot_names(
         spark.read.format("binaryFile").option("pathGlobFilter", "*.transcript.jsonl").load(path)
     )

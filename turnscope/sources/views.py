@@ -383,11 +383,13 @@ def capture_event_rows(captures: DataFrame) -> DataFrame:
     return captures.where((conversation() + F.col("count")) % 6 != 0).select(
         "sid", "count", "event", "captured_us",
         F.concat("sid", F.lit("."), F.col("count").cast("string"), F.lit(".transcript.jsonl")).alias("snapshot"),
-        F.lit(0).cast("long").alias("snapshot_bytes"))
+        F.octet_length("content").alias("snapshot_bytes"))
 
 
 def capture_lengths(captures: DataFrame) -> DataFrame:
-    return captures.where("content IS NOT NULL").select("sid", "count", F.octet_length("content").alias("length"))
+    """Snapshot files a file source reports; empty ones only where no event row tells of them."""
+    seen = (F.octet_length("content") > 0) | ((conversation() + F.col("count")) % 6 == 0)
+    return captures.where(seen).select("sid", "count", F.octet_length("content").alias("length"))
 
 
 def payloads(captures: DataFrame) -> DataFrame:
