@@ -14,6 +14,7 @@ from turnscope import registry
 from turnscope.functions import text as X
 from turnscope.functions import vocab as V
 from turnscope.operators import labels, oplog, reduction, routing, rules, shape, similar, state
+from turnscope.session import materialize
 from turnscope.sources import catalogue as C
 from turnscope.sources import raw, views
 from turnscope.streaming import jobs
@@ -309,7 +310,7 @@ def test_transcript_from_disk(spark, tmp_path):
 
 def test_raw_and_direct_facts_agree(spark):
     direct = registry.Tables(spark, SF_DIR)
-    facts = shape.to_facts(direct.lines)
+    facts = materialize(state.marked(shape.to_facts(materialize(direct.lines, "lines"))), "facts")
     got = rules.evaluate(rules.Inputs(facts), ["R02", "R03", "R04", "R05", "R12"])
     want = rules.evaluate(rules.Inputs(direct.log), ["R02", "R03", "R04", "R05", "R12"])
     columns = ("sid", "idx", "rule", "key")
