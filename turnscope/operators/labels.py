@@ -199,11 +199,12 @@ def precision_table(labelled: DataFrame, rules=tuple(V.BASIS)) -> DataFrame:
     )
 
 
-def review_queue(fires: DataFrame, label_rows: DataFrame, limit: int = 200) -> DataFrame:
-    """Fires without a hand verdict, by rule and session."""
+def review_queue(fires: DataFrame, label_rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Fires without a hand verdict, by rule and session; all of them unless a limit is asked for."""
     hand = labels_resolved(label_rows).select("rule", F.col("fire_key").alias("key"))
     todo = fires.join(hand, ["rule", "key"], "left_anti")
-    return todo.orderBy("rule", "sid", "idx", "key").limit(limit).select("sid", "idx", "rule", "key", "why", "detail")
+    ordered = todo.orderBy("rule", "sid", "idx", "key").select("sid", "idx", "rule", "key", "why", "detail")
+    return ordered.limit(limit) if limit else ordered
 
 
 def fire_list(labelled: DataFrame, per_rule: int = 25) -> DataFrame:

@@ -25,6 +25,7 @@ def bands(values: DataFrame) -> DataFrame:
 
     Equal values collapse to counts first. Counts are summed per unit-wide bucket, the buckets
     holding the wanted ranks are located, and only those are ranked: nothing sorts all values.
+    Logged times carry at most three decimals, so a bucket holds at most a thousand of them.
     ``values``: band, value (NULLs ignored).
     """
     freq = (

@@ -19,7 +19,7 @@ from turnscope.functions import vocab as V
 from turnscope.plans.ordered import flag, scan, with_chunks
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
-NATIVE_BASE_BYTES = 1 << 20
+NATIVE_WORK_BYTES = 1 << 26
 SLICE_BYTES = 1 << 24
 # capture numbers are ordered as 16-digit text; hot sessions are cut every 10^4, 10^3 or 10^2
 NUMBER_WIDTHS = (12, 13, 14)
@@ -125,21 +125,24 @@ def running_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 DIGESTS = "sid string, epoch bigint, bytes bigint, prefix_sha string, prefix_lines bigint"
 
 
-def prefix_digests(bases: DataFrame, offsets: DataFrame, native_bytes: int = NATIVE_BASE_BYTES) -> DataFrame:
+def prefix_digests(bases: DataFrame, offsets: DataFrame, native_bytes: int = NATIVE_WORK_BYTES) -> DataFrame:
     """SHA-256 and line feeds of base prefixes.
 
-    bases: sid, epoch, base, base_bytes; offsets: sid, epoch, bytes. Small bases use ``sha2`` on a
-    slice. Large ones are hashed once per slice of offsets with a running digest, so a slice holds
-    at most SLICE_BYTES distinct offsets whatever the number of captures.
+    bases: sid, epoch, base, base_bytes; offsets: sid, epoch, bytes. Where hashing every prefix on
+    its own is cheap (offsets x base bytes), ``sha2`` on a slice does it. Otherwise the base is
+    hashed once per slice of offsets with a running digest; a slice holds at most SLICE_BYTES
+    distinct offsets whatever the number of captures.
     """
     wanted = offsets.select("sid", "epoch", "bytes").distinct()
-    joined = bases.join(wanted, ["sid", "epoch"]).where("bytes <= base_bytes")
+    counts = wanted.groupBy("sid", "epoch").agg(F.count("*").alias("_n"))
+    sized = bases.select("sid", "epoch", "base", "base_bytes").join(counts, ["sid", "epoch"])
+    cheap = F.col("_n") * F.col("base_bytes") <= native_bytes
     prefix = F.substring(F.col("base"), F.lit(1), F.col("bytes").cast("int"))
-    small = joined.where(F.col("base_bytes") <= native_bytes).select(
+    small = sized.where(cheap).join(wanted, ["sid", "epoch"]).where("bytes <= base_bytes").select(
         "sid", "epoch", "bytes", sha256(prefix).alias("prefix_sha"),
         newlines(prefix).cast("long").alias("prefix_lines"),
     )
-    large_bases = bases.where(F.col("base_bytes") > native_bytes).select("sid", "epoch", "base", "base_bytes")
+    large_bases = sized.where(~cheap)
     slices = (
         wanted.join(large_bases.select("sid", "epoch", "base_bytes"), ["sid", "epoch"])
         .where("bytes <= base_bytes")
@@ -153,7 +156,7 @@ def prefix_digests(bases: DataFrame, offsets: DataFrame, native_bytes: int = NAT
     return small.unionByName(large)
 
 
-def reduction_index(captures: DataFrame, native_bytes: int = NATIVE_BASE_BYTES) -> DataFrame:
+def reduction_index(captures: DataFrame, native_bytes: int = NATIVE_WORK_BYTES) -> DataFrame:
     """One row per capture: where its bytes are kept and the digest that proves it."""
     plan = epoch_plan(listing(captures))
     bases = epoch_bases(plan)
@@ -219,7 +222,7 @@ def reconstruct_capture(index: DataFrame, store: DataFrame) -> DataFrame:
     return from_base.unionByName(whole).unionByName(nothing)
 
 
-def verify_roundtrip(index: DataFrame, store: DataFrame, native_bytes: int = NATIVE_BASE_BYTES) -> DataFrame:
+def verify_roundtrip(index: DataFrame, store: DataFrame, native_bytes: int = NATIVE_WORK_BYTES) -> DataFrame:
     """Checks per capture using only the reduced output: (sid, count, source, failure).
 
     Prefixes are re-hashed base by base, so no base is copied once per capture.

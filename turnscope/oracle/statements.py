@@ -327,7 +327,7 @@ FROM near WHERE levenshtein(a, b) <= 0.15 * (length(a) + length(b))"""),
         "precision_table": with_(PRECISION, """
 SELECT rule, basis, fires, confirmed, refuted, unknown, sessions, hand_labelled, precision, precision_labelled FROM results"""),
         "review_queue": query("""
-SELECT sid, idx, rule, key, why, detail FROM fires1 WHERE (rule, key) NOT IN (SELECT (rule, key) FROM hand) ORDER BY rule, sid, idx, key LIMIT 200"""),
+SELECT sid, idx, rule, key, why, detail FROM fires1 WHERE (rule, key) NOT IN (SELECT (rule, key) FROM hand)"""),
         "recent_fires": with_(FIRE_LOG, """
 SELECT n.ts, n.sid, n.idx, n.rule, n.key, n.action, CASE WHEN h.verdict IS NULL AND c.template IS NULL THEN 'n/a' ELSE h.verdict END AS verdict,
   c.template IS NOT NULL AND h.verdict IS NULL AS todo, n.surfaced, n.deduped, n.suppressed
@@ -419,7 +419,6 @@ def reduction() -> dict[str, str]:
     return {
         "epoch_plan": capture_query("SELECT sid, count, event, bytes, epoch, in_flight, is_base FROM plan"),
         "epoch_bases": capture_query("SELECT sid, epoch, base_count, base_bytes FROM bases"),
-        # the text of a proven prefix is the capture itself, so only proven captures have a digest in SQL
         "reduction_index": capture_query("""
 SELECT sid, count, event, bytes, epoch, in_flight, is_base, source, sha256,
   CASE WHEN source = 'epoch' THEN length(content) - length(replace(content, chr(10), '')) ELSE lines END AS lines, source = 'full' AS prefix_mismatch FROM index_"""),

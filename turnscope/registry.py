@@ -364,7 +364,7 @@ REDUCTION: dict[str, Callable[[Tables], DataFrame]] = {
     "epoch_bases": lambda t: reduction.epoch_bases(reduction.epoch_plan(reduction.listing(t.captures))),
     "prefix_digests": lambda t: reduction.prefix_digests(
         reduction.base_contents(reduction.epoch_bases(reduction.epoch_plan(reduction.listing(t.captures))), t.captures),
-        reduction.epoch_plan(reduction.listing(t.captures)).where("epoch IS NOT NULL AND bytes > 0"), native_bytes=2000),
+        reduction.epoch_plan(reduction.listing(t.captures)).where("epoch IS NOT NULL AND bytes > 0"), native_bytes=8000),
     "reduction_index": lambda t: index_rows(t.index),
     "payload_facts": lambda t: reduction.payload_facts(t.index, views.payloads(t.captures)),
     "reduced_store": lambda t: t.store.select(

@@ -15,6 +15,11 @@ OUT = (
     "sid string, seq bigint, idx bigint, kind string, rule string, key string, surfaced boolean, "
     "deduped boolean, suppressed string, verdict string"
 )
+HEAD = (
+    "idx bigint, asks bigint, error_us bigint, tasks array<struct<task string, us bigint>>, "
+    "dequeues array<struct<stamp string, us bigint>>, causes array<struct<key string, rule string>>, "
+    "pending array<struct<key string, rule string>>"
+)
 WINDOW_US = 90_000_000
 COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
@@ -43,82 +48,89 @@ class Session(StatefulProcessor):
         self.actions, self.budget = actions, budget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "idx bigint, asks bigint, error_us bigint")
-        self.tasks = handle.getMapState("tasks", "task string", "us bigint")
+        # what is open now: read and written once per micro-batch
+        self.head = handle.getValueState("head", HEAD)
+        # what is known for good: looked up by key, never listed
         self.ended = handle.getMapState("ended", "task string", "us bigint")
         self.asked = handle.getMapState("asked", "question string", "us bigint")
-        self.causes = handle.getMapState("causes", "key string", "rule string")
-        self.dequeues = handle.getMapState("dequeues", "us bigint", "stamp string")
         self.seen = handle.getMapState("seen", "key string", "idx bigint")
-        self.pending = handle.getMapState("pending", "key string", "rule string")
 
     def close(self) -> None:
         pass
 
+    def load(self) -> None:
+        head = self.head.get() if self.head.exists() else (0, 0, None, [], [], [], [])
+        self.idx, self.asks, self.error_us = head[:3]
+        self.tasks, self.dequeues = dict(head[3]), dict(head[4])
+        self.causes, self.pending = dict(head[5]), dict(head[6])
+
+    def save(self) -> None:
+        self.head.update((
+            self.idx, self.asks, self.error_us, list(self.tasks.items()), list(self.dequeues.items()),
+            list(self.causes.items()), list(self.pending.items()),
+        ))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        idx, asks, error_us = self.head.get() if self.head.exists() else (0, 0, None)
+        self.load()
         batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
         out: list[tuple] = []
         for r in batch.itertuples(index=False):
             if r.kind == "message":
-                idx += 1
-                out += self.settle(key[0], r, idx)
-                asks, fires = self.route(key[0], r, idx, asks)
-                out += fires
+                self.idx += 1
+                out += self.settle(key[0], r)
+                out += self.route(key[0], r)
             else:
-                error_us = self.note(r, error_us)
-        self.head.update((idx, asks, error_us))
+                self.note(r)
+        self.save()
         yield pd.DataFrame(out, columns=COLUMNS)
 
-    def note(self, r, error_us):
-        """Take in one fact; returns the time of the latest API error."""
+    def note(self, r) -> None:
+        """Take in one fact."""
         if r.kind == "launch" and not self.ended.containsKey((r.ref,)):
-            self.tasks.updateValue((r.ref,), (r.us,))
+            self.tasks[r.ref] = r.us
         elif r.kind in ("notified", "ended") and r.ref:
             self.ended.updateValue((r.ref,), (r.us,))
-            self.tasks.removeKey((r.ref,))
+            self.tasks.pop(r.ref, None)
         elif r.kind == "question":
             self.asked.updateValue((r.ref,), (r.us,))
         elif r.kind == "denial" and r.ref and self.asked.containsKey((r.ref,)):
-            self.causes.updateValue((f"question:{r.ref}",), ("R04",))
+            self.causes[f"question:{r.ref}"] = "R04"
         elif r.kind == "api_error":
-            for (us,), (stamp,) in list(self.dequeues.iterator()):
+            self.error_us = r.us
+            for stamp, us in self.dequeues.items():
                 if r.us - us <= WINDOW_US:
-                    self.causes.updateValue((f"lost:{stamp}",), ("R12",))
-                self.dequeues.removeKey((us,))
-            return r.us
+                    self.causes[f"lost:{stamp}"] = "R12"
+            # later errors lie further away still
+            self.dequeues.clear()
         elif r.kind == "queue" and r.op == "dequeue":
-            if error_us is not None and r.us - error_us <= WINDOW_US:
-                self.causes.updateValue((f"lost:{r.stamp}",), ("R12",))
+            if self.error_us is not None and r.us - self.error_us <= WINDOW_US:
+                self.causes[f"lost:{r.stamp}"] = "R12"
             else:
-                self.dequeues.updateValue((r.us,), (r.stamp,))
-        return error_us
+                self.dequeues[r.stamp] = r.us
 
-    def settle(self, sid, r, idx) -> list[tuple]:
+    def settle(self, sid, r) -> list[tuple]:
         """Judge the asks of the previous message on this one."""
-        asks = [(k, rule) for (k,), (rule,) in self.pending.iterator()]
-        for k, _ in asks:
-            self.pending.removeKey((k,))
+        asks, self.pending = self.pending, {}
         verdict = r.reply if len(asks) == 1 else "unlabelled"
-        return [(sid, r.seq, idx - 1, "verdict", rule, k, None, None, None, verdict) for k, rule in asks]
+        return [
+            (sid, r.seq, self.idx - 1, "verdict", rule, k, None, None, None, verdict) for k, rule in asks.items()
+        ]
 
-    def fires(self, sid, r, idx) -> list[tuple[str, str]]:
+    def fires(self, sid, r) -> list[tuple[str, str]]:
         found = [(f["rule"], f["key"]) for f in r.text_fires]
-        stale = sorted(task for (task,), (us,) in self.tasks.iterator() if us < r.us)
+        stale = sorted(task for task, us in self.tasks.items() if us < r.us)
         if stale:
             found.append(("R02", "tasks:" + ",".join(stale)))
-        if idx == 1:
+        if self.idx == 1:
             found.append(("R03", f"session:{sid}"))
-        causes = [(rule, k) for (k,), (rule,) in self.causes.iterator()]
-        for _, k in causes:
-            self.causes.removeKey((k,))
+        causes, self.causes = self.causes, {}
         # a cause already shown is not raised again
-        found += [(rule, k) for rule, k in causes if not self.seen.containsKey((k,))]
+        found += [(rule, k) for k, rule in causes.items() if not self.seen.containsKey((k,))]
         return sorted(found)
 
-    def route(self, sid, r, idx, asks) -> tuple[int, list[tuple]]:
+    def route(self, sid, r) -> list[tuple]:
         out = []
-        for rule, k in self.fires(sid, r, idx):
+        for rule, k in self.fires(sid, r):
             action, says = self.actions.get(rule, ("skip", False))
             surfaced, deduped, suppressed = False, False, None
             if action == "augment":
@@ -128,15 +140,15 @@ class Session(StatefulProcessor):
             elif self.seen.containsKey((k,)):
                 deduped = True
             else:
-                self.seen.updateValue((k,), (idx,))
+                self.seen.updateValue((k,), (self.idx,))
                 if action == "log":
                     suppressed = "precision-floor"
-                elif asks >= self.budget:
+                elif self.asks >= self.budget:
                     suppressed = "ask-budget"
                 elif not says:
                     suppressed = "no-template"
                 else:
-                    surfaced, asks = True, asks + 1
-                    self.pending.updateValue((k,), (rule,))
-            out.append((sid, r.seq, idx, "fire", rule, k, surfaced, deduped, suppressed, None))
-        return asks, out
+                    surfaced, self.asks = True, self.asks + 1
+                    self.pending[k] = rule
+            out.append((sid, r.seq, self.idx, "fire", rule, k, surfaced, deduped, suppressed, None))
+        return out
