@@ -389,7 +389,7 @@ def capture_event_rows(captures: DataFrame) -> DataFrame:
 def capture_lengths(captures: DataFrame) -> DataFrame:
     """Snapshot files a file source reports; empty ones only where no event row tells of them."""
     seen = (F.octet_length("content") > 0) | ((conversation() + F.col("count")) % 6 == 0)
-    return captures.where(seen).select("sid", "count", F.octet_length("content").alias("length"))
+    return captures.where("content IS NOT NULL").where(seen).select("sid", "count", F.octet_length("content").alias("length"))
 
 
 def payloads(captures: DataFrame) -> DataFrame:
