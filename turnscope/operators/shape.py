@@ -28,7 +28,9 @@ def ordered_events(lines: DataFrame) -> DataFrame:
         .groupBy("sid", "dkey").agg(F.min_by("v", "rank").alias("v"), F.min("rank").alias("rank"))
         .select("sid", "rank", "v", F.coalesce(variant("v", "$.timestamp", "string"), F.lit("")).alias("ts"))
     )
-    placed = scan(with_chunks(unique), ["sid"], ["ts", "rank"], sums={"_before": F.lit(1)})
+    # repeats included, raw lines bound the size of a session from above at no shuffle of content
+    chunked = with_chunks(unique, sizes=lines.select("sid"))
+    placed = scan(chunked, ["sid"], ["ts", "rank"], sums={"_before": F.lit(1)})
     return placed.select("sid", "ts", (F.col("_before") + 1).alias("seq"), "chunk", "v")
 
 

@@ -419,6 +419,10 @@ def reduction() -> dict[str, str]:
     return {
         "epoch_plan": capture_query("SELECT sid, count, event, bytes, epoch, in_flight, is_base FROM plan"),
         "epoch_bases": capture_query("SELECT sid, epoch, base_count, base_bytes FROM bases"),
+        "prefix_digests": capture_query("""
+SELECT sid, epoch, bytes, sha256(unhex(h)) AS prefix_sha, len(list_filter(regexp_extract_all(h, '..'), lambda x: x = '0A')) AS prefix_lines
+FROM (SELECT DISTINCT p.sid, p.epoch, p.bytes, substr(hex(b.base), 1, 2 * p.bytes) AS h FROM plan p
+  JOIN bases b ON b.sid = p.sid AND b.epoch = p.epoch WHERE p.bytes > 0 AND p.bytes <= b.base_bytes)"""),
         "reduction_index": capture_query("""
 SELECT sid, count, event, bytes, epoch, in_flight, is_base, source, sha256,
   CASE WHEN source = 'epoch' THEN length(content) - length(replace(content, chr(10), '')) ELSE lines END AS lines, source = 'full' AS prefix_mismatch FROM index_"""),
