@@ -25,6 +25,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.lines_shared = False
 
     @cached_property
     def log(self) -> DataFrame:
@@ -125,6 +126,12 @@ class Tables:
     def lines(self) -> DataFrame:
         return shape.ordered_events(views.parsed_transcript(self.spark, self.sf_dir))
 
+    def share_lines(self) -> Tables:
+        """For queries that read several kinds of line: write the ordered lines once."""
+        if not self.lines_shared:
+            self.lines, self.lines_shared = materialize(self.lines, "lines"), True
+        return self
+
     @cached_property
     def calls(self) -> DataFrame:
         return shape.tool_calls(self.lines)
@@ -217,6 +224,14 @@ def stale_sessions(t: Tables) -> DataFrame:
     )
 
 
+def identity(t: Tables) -> DataFrame:
+    return shape.task_identity(t.calls, t.results, t.notes)
+
+
+def endings(t: Tables) -> DataFrame:
+    return shape.task_endings(t.calls, t.results, identity(t))
+
+
 def document_tokens(t: Tables) -> DataFrame:
     docs = views.table(t.spark, t.sf_dir, "documents")
     toks = X.tokens("text")
@@ -254,9 +269,8 @@ SHAPE: dict[str, Callable[[Tables], DataFrame]] = {
     "tool_results": lambda t: t.results.select("sid", "ts", "tool_use_id", "is_error", "body"),
     "queue_operations": lambda t: shape.queue_operations(t.lines).select("sid", "ts", "op", "content", "human"),
     "task_notifications": lambda t: t.notes.select("sid", F.col("when").alias("ts"), "tool_use_id", "task_id"),
-    "task_identity": lambda t: shape.task_identity(t.calls, t.results, t.notes).select("sid", "task_id", "launch").distinct(),
-    "task_endings": lambda t: shape.task_endings(
-        t.calls, t.results, shape.task_identity(t.calls, t.results, t.notes)).select("sid", "ts", "launch"),
+    "task_identity": lambda t: identity(t.share_lines()).select("sid", "task_id", "launch").distinct(),
+    "task_endings": lambda t: endings(t.share_lines()).select("sid", "ts", "launch"),
     "questions_asof": lambda t: runs_summary(state.question_versions(t.log), "question", "outcome"),
     "denials": lambda t: shape.denials(t.lines).select("sid", "ts", "kind"),
     "api_errors": lambda t: shape.api_errors(t.lines).select("sid", "ts"),
@@ -274,7 +288,7 @@ SHAPE: dict[str, Callable[[Tables], DataFrame]] = {
     "systematic_sample": lambda t: verdicts.systematic_sample(t.messages).select("sid", "idx", "pos"),
     "judgement_requests": lambda t: verdicts.judgement_requests(t.turns),
     "uncached_requests": lambda t: verdicts.uncached_requests(t.turns, t.desync.where("ord % 3 = 0")),
-    "transcript_facts": lambda t: shape.to_facts(t.lines).groupBy("sid", "kind").agg(F.count("*").alias("n")),
+    "transcript_facts": lambda t: shape.to_facts(t.share_lines().lines).groupBy("sid", "kind").agg(F.count("*").alias("n")),
 }
 
 STATE: dict[str, Callable[[Tables], DataFrame]] = {
