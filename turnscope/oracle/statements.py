@@ -5,7 +5,7 @@ from __future__ import annotations
 from turnscope.functions import text as X
 from turnscope.functions import vocab as V
 from turnscope.oracle.base import (
-    ANY_SIGNAL, BASIS_VALUES, DEDUPED, HUMAN_OP, SIGNAL_LIST, SIGNAL_VALUES, action_case, array, capture_query,
+    ANY_SIGNAL, HUMAN_OP, SIGNAL_LIST, SIGNAL_VALUES, action_case, capture_query,
     lit, matches, mid, query, refs, sha12, squash, template, tokens,
 )
 from turnscope.sources.views import EPOCH_US
@@ -509,6 +509,3 @@ def oracle_sql() -> dict[str, str]:
     for group in (sources, shape, state, rules, routing, labels, coverage, verdicts, trace, reduction, oplog, streaming):
         out.update(group())
     return out
-
-
-__all__ = ["oracle_sql", "BASIS_VALUES", "DEDUPED", "array"]

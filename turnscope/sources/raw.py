@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnscope.functions import text as X
 from turnscope.functions import vocab as V
 
 
@@ -118,9 +117,3 @@ def text_of(content: Column) -> Column:
     return F.when(blocks.isNotNull(), F.array_join(texts, " ")).otherwise(
         F.coalesce(F.try_variant_get(content, "$", "string"), F.lit(""))
     )
-
-
-__all__ = [
-    "capture_events", "discover_sessions", "ordered_key", "scan_capture_events", "scan_snapshots",
-    "scan_transcript_lines", "snapshot_names", "text_lines", "text_of", "variant", "X",
-]
