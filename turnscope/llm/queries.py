@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from turnscope.llm.chat import op8_chat
+from turnscope.llm.line_dedup import SQL as LINE_DEDUP_SQL
+from turnscope.llm.line_dedup import op7_line_dedup
 from turnscope.llm.pii import op2_pii
 from turnscope.llm.quality_rules import op10_quality_rules
 from turnscope.llm.secrets import op6_secrets
+from turnscope.llm.sentence_spans import op4_sentence_spans
 
-QUERIES = (op2_pii, op6_secrets, op8_chat, op10_quality_rules)
+QUERIES = (op2_pii, op4_sentence_spans, op6_secrets, op7_line_dedup, op8_chat, op10_quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": LINE_DEDUP_SQL}
