@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from turnscope.llm.chat import op8_chat
+from turnscope.llm.jaccard_join import op1_jaccard_join
 from turnscope.llm.line_dedup import SQL as LINE_DEDUP_SQL
 from turnscope.llm.line_dedup import op7_line_dedup
 from turnscope.llm.pii import op2_pii
@@ -14,7 +15,9 @@ from turnscope.llm.quality_rules import op10_quality_rules
 from turnscope.llm.secrets import op6_secrets
 from turnscope.llm.sentence_spans import op4_sentence_spans
 
-QUERIES = (op2_pii, op4_sentence_spans, op6_secrets, op7_line_dedup, op8_chat, op10_quality_rules)
+QUERIES = (
+    op1_jaccard_join, op2_pii, op4_sentence_spans, op6_secrets, op7_line_dedup, op8_chat, op10_quality_rules,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
