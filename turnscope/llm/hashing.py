@@ -56,11 +56,11 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed:
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64), seed)
 
 
-def blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts that together hold about ``BLOCK`` bytes."""
+def blocks(texts: list[bytes], size: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts that together hold about ``size`` bytes."""
     start, held = 0, 0
     for i, text in enumerate(texts):
-        if held and held + len(text) > BLOCK:
+        if held and held + len(text) > size:
             yield start, i
             start, held = i, 0
         held += len(text) + 1

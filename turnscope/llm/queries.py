@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from turnscope.llm.byte_cnn import op3_quality_classifier
 from turnscope.llm.chat import op8_chat
+from turnscope.llm.decontaminate import op5_decontaminate
 from turnscope.llm.jaccard_join import op1_jaccard_join
 from turnscope.llm.line_dedup import SQL as LINE_DEDUP_SQL
 from turnscope.llm.line_dedup import op7_line_dedup
@@ -16,7 +18,8 @@ from turnscope.llm.secrets import op6_secrets
 from turnscope.llm.sentence_spans import op4_sentence_spans
 
 QUERIES = (
-    op1_jaccard_join, op2_pii, op4_sentence_spans, op6_secrets, op7_line_dedup, op8_chat, op10_quality_rules,
+    op1_jaccard_join, op2_pii, op3_quality_classifier, op4_sentence_spans, op5_decontaminate, op6_secrets,
+    op7_line_dedup, op8_chat, op10_quality_rules,
 )
 
 
