@@ -15,11 +15,12 @@ from turnscope.llm.line_dedup import op7_line_dedup
 from turnscope.llm.pii import op2_pii
 from turnscope.llm.quality_rules import op10_quality_rules
 from turnscope.llm.secrets import op6_secrets
+from turnscope.llm.segment_sampling import op9_segment_sampling
 from turnscope.llm.sentence_spans import op4_sentence_spans
 
 QUERIES = (
     op1_jaccard_join, op2_pii, op3_quality_classifier, op4_sentence_spans, op5_decontaminate, op6_secrets,
-    op7_line_dedup, op8_chat, op10_quality_rules,
+    op7_line_dedup, op8_chat, op9_segment_sampling, op10_quality_rules,
 )
 
 
