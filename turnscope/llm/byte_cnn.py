@@ -56,10 +56,13 @@ class Network:
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of the texts, each filled up with at least ``WIDTH`` zeros to whole segments, and the numbers of segments."""
+    """The bytes of the texts, each filled up with at least ``WIDTH`` zeros to whole segments, and the numbers of segments.
+
+    All is moved by ``WIDTH - 1`` zeros, so a filter ends at its position and never sees the next text.
+    """
     segments = np.array([-(-(len(t) + WIDTH) // SEGMENT) for t in texts])
     body = np.zeros(int(segments.sum()) * SEGMENT + WIDTH, np.uint8)
-    for at, text in zip((np.cumsum(segments) - segments) * SEGMENT, texts, strict=True):
+    for at, text in zip((np.cumsum(segments) - segments) * SEGMENT + WIDTH - 1, texts, strict=True):
         body[at : at + len(text)] = np.frombuffer(text, np.uint8)
     return body, segments
 
