@@ -33,7 +33,7 @@ def log_of(spark, rows):
 
 
 def best_ratio(draft, texts):
-    return max([difflib.SequenceMatcher(None, draft[:400], t[:400]).ratio() for t in texts] or [0.0])
+    return max([difflib.SequenceMatcher(None, draft, t).ratio() for t in texts] or [0.0])
 
 
 def test_r01_against_brute_force(spark):
@@ -73,15 +73,20 @@ def test_similarity_keeps_every_match(spark):
         assert got == expected
 
 
-def test_long_lists_of_stale_tasks_get_a_digest(spark, monkeypatch):
-    monkeypatch.setattr(rules, "LIST_MAX", 3)
-    rows = [("s", i, "launch", f"L{i}", None, None) for i in range(5)]
-    rows += [("s", 10, "message", None, None, "a"), ("s", 11, "ended", "L1", None, None), ("s", 12, "ended", "L3", None, None),
-             ("s", 13, "message", None, None, "b"), ("s", 14, "notified", "L0", None, None), ("s", 15, "message", None, None, "c")]
+def task_digest(*tasks):
+    return f"tasks:{len(tasks)}:{sum(int(hashlib.sha1(t.encode()).hexdigest()[:12], 16) for t in tasks)}"
+
+
+@pytest.mark.parametrize("n", [4, 10, 64, 65, 1000])
+def test_stale_tasks_have_one_form_at_every_size(spark, n):
+    rows = [("s", i % 50, "launch", f"L{i}", None, None) for i in range(n)]
+    rows += [("s", 60, "message", None, None, "a"), ("s", 61, "ended", "L1", None, None), ("s", 62, "ended", "L3", None, None),
+             ("s", 63, "message", None, None, "b"), ("s", 64, "notified", "L0", None, None), ("s", 65, "message", None, None, "c")]
     keys = {r.idx: r.key for r in rules.rule_r02(rules.Inputs(log_of(spark, rows))).collect()}
-    assert keys[2] == "tasks:L0,L2,L4" and keys[3] == "tasks:L2,L4"
-    weight = sum(int(hashlib.sha1(f"L{i}".encode()).hexdigest()[:12], 16) for i in range(5))
-    assert keys[1] == f"tasks:5:{weight}"
+    left = [f"L{i}" for i in range(n)]
+    assert keys[1] == task_digest(*left)
+    assert keys[2] == task_digest(*[t for t in left if t not in ("L1", "L3")])
+    assert keys[3] == task_digest(*[t for t in left if t not in ("L0", "L1", "L3")])
 
 
 def test_task_launched_in_the_same_instant_is_not_stale(spark):
@@ -112,23 +117,18 @@ def test_old_queue_operations_are_forgotten(spark, monkeypatch):
     assert {r.sid for r in rules.rule_r01(rules.Inputs(log_of(spark, rows))).collect()} == {"t"}
 
 
-def walk_epochs(events):
-    epoch, pending, out = 0, False, []
-    for e in events:
-        if e == "PreCompact" and not pending:
-            out.append((epoch, False, True))
-            pending = True
-        elif pending:
-            out.append((None, True, False))
-            if e == "PostCompact":
-                pending, epoch = False, epoch + 1
-        else:
-            out.append((epoch, False, False))
-    return out
+def epochs_by_spans(events):
+    """(epoch, in flight, base) of every event: a compaction spans from its start to the next end, or to the last event."""
+    line = "".join({"PreCompact": "(", "PostCompact": ")"}.get(e, ".") for e in events)
+    spans = [m.span() for m in re.finditer(r"\([^)]*\)?", line)]
+    inside = {i for a, b in spans for i in range(a + 1, b)}
+    starts = {a for a, _ in spans}
+    closed = [b - 1 for a, b in spans if line[b - 1] == ")"]
+    return [(None if i in inside else sum(c < i for c in closed), i in inside, i in starts) for i in range(len(line))]
 
 
 @pytest.mark.parametrize("limit", ["1000000", "10"])
-def test_epoch_plan_against_automaton(spark, limit):
+def test_epoch_plan_against_spans(spark, limit):
     rng = random.Random(11)
     names = ["PreCompact", "PostCompact", "Stop", None]
     sessions = {f"s{i}": [rng.choice(names) for _ in range(rng.randint(1, 60))] for i in range(40)}
@@ -140,7 +140,7 @@ def test_epoch_plan_against_automaton(spark, limit):
     finally:
         spark.conf.unset("turnscope.hotRows")
     for s, es in sessions.items():
-        for i, want in enumerate(walk_epochs(es)):
+        for i, want in enumerate(epochs_by_spans(es)):
             assert got[(s, i * 500)] == want
 
 
@@ -160,25 +160,17 @@ def test_reconstruction_is_exact(spark):
     assert joined.where("NOT (content <=> want)").count() == 0
 
 
-def reply_model(text):
-    t = text.strip()
-    if not t or len(t) > 200:
-        return "unlabelled"
-    t = re.sub(V.VERDICT_LEAD, "", t.lower(), count=1)
-    for phrase, verdict in X.verdict_phrases():
-        if re.match(re.escape(phrase) + r"\b", t):
-            return verdict
-    return "unlabelled"
+REPLIES = {
+    "applies": ["yes", "Yes!", "> yes", "do it", "well, go ahead", "right then, yes", "(correct)", "true enough"],
+    "does-not-apply": ["nope", "ok, no", "do not do it", "not relevant here", "don't", "never mind that", "actually wrong"],
+    "unlabelled": ["nobody knows", "right then", "", "  ", "maybe", "x" * 201, "no " + "y" * 198, "so and but", "trueish"],
+}
 
 
 def test_reply_verdicts(spark):
-    replies = [
-        "yes", "Yes!", "nope", "ok, no", "> yes", "do not do it", "do it", "nobody knows", "not relevant here", "don't",
-        "never mind that", "well, go ahead", "right then", "right then, yes", "", "  ", "maybe", "x" * 201, "no " + "y" * 198,
-        "so and but", "(correct)", "actually wrong", "trueish", "true enough",
-    ]
-    df = spark.createDataFrame([(r,) for r in replies], "t string").select("t", X.reply_verdict("t").alias("v"))
-    assert {r.t: r.v for r in df.collect()} == {t: reply_model(t) for t in replies}
+    df = spark.createDataFrame([(r,) for replies in REPLIES.values() for r in replies], "t string")
+    got = {r.t: r.v for r in df.select("t", X.reply_verdict("t").alias("v")).collect()}
+    assert got == {t: v for v, replies in REPLIES.items() for t in replies}
 
 
 def test_tokens_follow_unicode_words(spark):
@@ -235,31 +227,26 @@ def test_ask_budget_model(spark, phase):
     fires = spark.createDataFrame(
         rows, "sid string, ts string, seq bigint, us bigint, chunk string, idx bigint, rule string, key string, why string, detail string, subject array<string>"
     ).withColumn("chunk", F.lit(None))
-    actions = jobs.catalogue_actions(C.packaged(spark))
+    catalogue = {r.rule: r for r in C.packaged(spark).select("rule", C.action().alias("action"), "template").collect()}
+    asking = {r for r, c in catalogue.items() if c.action not in ("augment", "log", "skip")}
     expected = set()
     for sid in ("a", "b"):
-        seen, asks = set(), 0
-        for r in [r for r in rows if r[0] == sid]:
-            idx, rule, key = r[5], r[6], r[7]
-            action, says = actions[rule]
-            surfaced, deduped, why = False, False, None
-            if action == "augment":
-                surfaced = says
-            elif key in seen:
-                deduped = True
-            else:
-                seen.add(key)
-                if action == "log":
-                    why = "precision-floor"
-                elif phase < 3:
-                    why = "phase-2"
-                elif asks >= 5:
-                    why = "ask-budget"
-                elif not says:
-                    why = "no-template"
-                else:
-                    surfaced, asks = True, asks + 1
-            expected.add((sid, idx, rule, key, surfaced, deduped, why))
+        own = [(r[5], r[6], r[7]) for r in rows if r[0] == sid]
+        first = {key: idx for idx, _, key in reversed(own)}
+        wanting = [(idx, key) for idx, rule, key in own if rule in asking and catalogue[rule].template and first[key] == idx]
+        granted = set(wanting[:5]) if phase == 3 else set()
+        spent_after = wanting[4] if phase == 3 and len(wanting) > 4 else None
+        order = {(idx, key): n for n, (idx, _, key) in enumerate(own)}
+        for idx, rule, key in own:
+            c = catalogue[rule]
+            if c.action == "augment":
+                expected.add((sid, idx, rule, key, c.template is not None, False, None))
+                continue
+            repeated = first[key] != idx
+            late = spent_after is not None and order[idx, key] > order[spent_after]
+            reasons = [(c.action == "log", "precision-floor"), (phase == 2, "phase-2"), (late, "ask-budget"), (c.template is None, "no-template")]
+            why = None if repeated else next((name for holds, name in reasons if holds), None)
+            expected.add((sid, idx, rule, key, (idx, key) in granted, repeated, why))
     routed = routing.fire_routing(fires, C.packaged(spark), phase)
     got = {(r.sid, r.idx, r.rule, r.key, r.surfaced, r.deduped, r.suppressed) for r in routed.collect()}
     assert got == expected

@@ -98,21 +98,24 @@ def group1(c: ColumnOrName, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(col(c), pattern, 1), F.lit(""))
 
 
-def verdict_phrases() -> list[tuple[str, str]]:
-    pairs = [(p, "does-not-apply") for p in V.NEGATE] + [(p, "applies") for p in V.AFFIRM]
-    return sorted(pairs, key=lambda kv: -len(kv[0]))
+# what a reply that begins with a phrase says
+PHRASES = dict.fromkeys(V.AFFIRM, "applies") | dict.fromkeys(V.NEGATE, "does-not-apply")
+# the longest phrase that fits decides
+PHRASE_PATTERN = "|".join(sorted(PHRASES, key=len, reverse=True))
 
 
 def reply_verdict(c: ColumnOrName) -> Column:
     """applies / does-not-apply / unlabelled, from the leading phrase of a short reply."""
     text = strip(F.coalesce(col(c), F.lit("")))
-    body = F.regexp_replace(F.lower(text), V.VERDICT_LEAD, "")
-    phrases = verdict_phrases()
-    longest_first = "^(" + "|".join(p for p, _ in phrases) + r")\b"
-    lead = F.regexp_extract(body, longest_first, 1)
-    affirm = lead.isin(*V.AFFIRM)
-    settled = (F.length(text) > 0) & (F.length(text) <= V.VERDICT_MAX_CHARS) & (lead != "")
-    return F.when(~settled, "unlabelled").when(affirm, "applies").otherwise("does-not-apply")
+    lead = F.regexp_extract(F.regexp_replace(F.lower(text), V.VERDICT_LEAD, ""), rf"^({PHRASE_PATTERN})\b", 1)
+    verdicts = F.create_map(*[F.lit(x) for pair in PHRASES.items() for x in pair])
+    short = F.length(text) <= V.VERDICT_MAX_CHARS
+    return F.coalesce(F.when(short, F.try_element_at(verdicts, lead)), F.lit("unlabelled"))
+
+
+def cut(c: ColumnOrName, limit: int | None) -> Column:
+    """The first ``limit`` characters; the whole text without a limit."""
+    return F.substring(col(c), 1, int(limit)) if limit else col(c)
 
 
 def length_bound(la: Column, lb: Column) -> Column:
@@ -133,6 +136,10 @@ def reaches(m: difflib.SequenceMatcher, threshold: float) -> bool:
     )
 
 
+def resembling(a: str, b: str, threshold: float) -> bool:
+    return a == b or reaches(difflib.SequenceMatcher(None, a, b), threshold)
+
+
 @F.pandas_udf(T.BooleanType())
 def _resembles(a: pd.Series, b: pd.Series, threshold: pd.Series) -> pd.Series:
     """Whether similarity(a, b) >= threshold. Second texts are prepared once each per batch."""

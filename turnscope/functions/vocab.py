@@ -102,21 +102,21 @@ NEGATE = (
 )
 
 # ---- limits -----------------------------------------------------------------------------------
-MESSAGE_MAX_CHARS = 8000
-MAX_QUEUE_OPS = 400
-MAX_PRIOR_MESSAGES = 300
+# Limits that bound one machine's memory. None: no limit, every row and every character counts.
+MESSAGE_MAX_CHARS = None
+MAX_QUEUE_OPS = None
+REQUEST_MAX_CHARS = None
 MAX_ASKS_PER_SESSION = 5
-REQUEST_MAX_CHARS = 3000
-FIRST_MESSAGE_PLACEHOLDER = "(nothing — this is the first message)"
+FIRST_MESSAGE_PLACEHOLDER = "(no earlier message)"
 PRECISION_CEILING = 0.8
 PRECISION_FLOOR = 0.30
 TRUSTED_BASIS = "auto"
 DEFAULT_PARAMS = {
     ("R01", "min_chars"): 20.0,
-    ("R01", "compare_chars"): 400.0,
+    ("R01", "compare_chars"): 0.0,
     ("R01", "similarity"): 0.55,
     ("R07", "min_chars"): 25.0,
-    ("R07", "compare_chars"): 600.0,
+    ("R07", "compare_chars"): 0.0,
     ("R07", "similarity"): 0.85,
     ("R07", "window_s"): 120.0,
     ("R12", "window_s"): 90.0,

@@ -117,10 +117,10 @@ def label_r04(fires: DataFrame, msgs: DataFrame) -> DataFrame:
     ).select("sid", "idx", "rule", "key", "auto_label")
 
 
-def label_r10(fires: DataFrame, msgs: DataFrame, threshold: float = 0.7, n_chars: int = 300) -> DataFrame:
+def label_r10(fires: DataFrame, msgs: DataFrame, threshold: float = 0.7, n_chars: int | None = None) -> DataFrame:
     """True when another message of the family, earlier or later, is much the same."""
     family = msgs.where(F.col("text").rlike(V.NO_CRITERION)).select(
-        "sid", "idx", F.substring("text", 1, n_chars).alias("b")
+        "sid", "idx", X.cut("text", n_chars).alias("b")
     )
     texts = family.groupBy("sid", "b").agg(F.count("*").alias("n"), F.lit(0).alias("first_idx"))
     probes = texts.select("sid", F.col("b").alias("a"), F.lit(0).alias("upto"), "n")

@@ -108,7 +108,7 @@ def recent_fires(
     ).select("rule", "key", "f.*")
     verdicts = labels.labels_latest(label_rows).withColumnRenamed("fire_key", "key")
     judged = newest.join(verdicts, ["rule", "key"], "left").join(
-        F.broadcast(catalogue.select("rule", F.col("template").isNotNull().alias("_says"))), "rule", "left"
+        catalogue.select("rule", F.col("template").isNotNull().alias("_says")), "rule", "left"
     )
     todo = F.coalesce("_says", F.lit(False)) & F.col("verdict").isNull()
     out = judged.withColumn("todo", todo)

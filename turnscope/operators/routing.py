@@ -16,7 +16,7 @@ PLACE = ["ts", "seq", "rule", "key"]
 def with_actions(fires: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Attach each rule's runtime action and template. The catalogue is a few rows per rule."""
     acted = catalogue.select("rule", C.action().alias("action"), "template")
-    return fires.join(F.broadcast(acted), "rule", "left").withColumn(
+    return fires.join(acted, "rule", "left").withColumn(
         "action", F.coalesce("action", F.lit("skip"))
     )
 

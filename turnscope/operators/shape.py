@@ -71,7 +71,7 @@ def user_lines(events: DataFrame) -> DataFrame:
 def human_messages(events: DataFrame) -> DataFrame:
     users = user_lines(events).where(X.is_human_text("text"))
     return users.select(
-        "sid", "ts", "seq", "chunk", F.substring("text", 1, V.MESSAGE_MAX_CHARS).alias("text"),
+        "sid", "ts", "seq", "chunk", X.cut("text", V.MESSAGE_MAX_CHARS).alias("text"),
         variant("v", "$.cwd", "string").alias("cwd"),
     )
 
@@ -113,7 +113,7 @@ def queue_operations(events: DataFrame) -> DataFrame:
     text = F.coalesce(variant("v", "$.content", "string"), F.lit(""))
     return events.where(line_type() == "queue-operation").select(
         "sid", "ts", "seq", "chunk", variant("v", "$.operation", "string").alias("op"),
-        F.substring(text, 1, V.MESSAGE_MAX_CHARS).alias("content"),
+        X.cut(text, V.MESSAGE_MAX_CHARS).alias("content"),
         ((F.length(text) > 0) & ~X.is_system_text(text)).alias("human"),
     )
 

@@ -76,7 +76,7 @@ def presend_counts(log: DataFrame) -> DataFrame:
     ).where(is_kind("message"))
     return counted.select(
         "sid", (F.col("prior_messages") + 1).alias("idx"), "prior_messages",
-        F.least("_ops", F.lit(V.MAX_QUEUE_OPS)).alias("queue_ops"),
+        (F.least("_ops", F.lit(V.MAX_QUEUE_OPS)) if V.MAX_QUEUE_OPS else F.col("_ops")).alias("queue_ops"),
         "launches", "api_errors", "denials",
     )
 
@@ -172,8 +172,8 @@ def counts_over(msgs: DataFrame, runs: DataFrame, name: str) -> DataFrame:
     )
 
 
-def visible_removes(log: DataFrame, max_ops: int = V.MAX_QUEUE_OPS) -> DataFrame:
-    """Per message: human removals among the newest ``max_ops`` queue operations."""
+def visible_removes(log: DataFrame, max_ops: int | None = V.MAX_QUEUE_OPS) -> DataFrame:
+    """Per message: human removals, with a limit only those among the newest ``max_ops`` queue operations."""
     removed = human_queue_op() & (F.col("op") == "remove")
     counted = scan(
         log, ["sid"], ORDER,
@@ -183,6 +183,9 @@ def visible_removes(log: DataFrame, max_ops: int = V.MAX_QUEUE_OPS) -> DataFrame
             "_removed": flag(removed),
         },
     )
+    if max_ops is None:
+        return counted.where(is_kind("message")).select(
+            "sid", (F.col("_msgs") + 1).alias("idx"), F.col("_removed").alias("n"))
     forgotten = counted.where(is_kind("queue")).select(
         "sid", (F.col("_ops") + 1 + max_ops).alias("_ops"),
         (F.col("_removed") + flag(removed)).alias("_forgotten"),

@@ -28,7 +28,9 @@ def active_rules(inputs: rules.Inputs, only=tuple(rules.RULES)) -> DataFrame:
 
 
 def until_hidden(causes: DataFrame, inputs: rules.Inputs) -> DataFrame:
-    """End a cause's run when its queue operation leaves the newest 400."""
+    """Where memory is limited, end a cause's run when its queue operation is forgotten."""
+    if V.MAX_QUEUE_OPS is None:
+        return state.clip_runs(causes)
     marks = inputs.marked
     hiding = marks.where("kind = 'queue'").select(
         "sid", (F.col("ops_before") - V.MAX_QUEUE_OPS).alias("ops_before"),

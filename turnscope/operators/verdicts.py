@@ -136,14 +136,14 @@ def previous_turns(log: DataFrame) -> DataFrame:
 
 
 def judgement_requests(turns: DataFrame) -> DataFrame:
-    """What an external labeller is shown, both parts cut."""
+    """What an external labeller is shown, cut only where a limit is set."""
     n = V.REQUEST_MAX_CHARS
     return turns.select(
         "key", "sid", "idx",
         F.coalesce(
-            F.nullif(F.substring("previous", 1, n), F.lit("")), F.lit(V.FIRST_MESSAGE_PLACEHOLDER)
+            F.nullif(X.cut("previous", n), F.lit("")), F.lit(V.FIRST_MESSAGE_PLACEHOLDER)
         ).alias("previous"),
-        F.substring("text", 1, n).alias("message"),
+        X.cut("text", n).alias("message"),
     )
 
 

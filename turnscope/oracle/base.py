@@ -10,7 +10,7 @@ import json
 
 from turnscope.functions import vocab as V
 from turnscope.sources import catalogue as C
-from turnscope.sources.views import CAPTURES_PER_SESSION, COMPRESSION, EPOCH_US, TEMPLATES
+from turnscope.sources.views import COMPRESSION, EPOCH_US, TEMPLATES
 
 
 def lit(s: str | None) -> str:
@@ -119,7 +119,7 @@ VIEWS = {
     row_number() OVER (PARTITION BY sid ORDER BY ts, seq) AS idx FROM facts WHERE kind = 'message'""",
     "presend": f"""
   SELECT m.sid, m.idx, m.idx - 1 AS prior_messages,
-    least({V.MAX_QUEUE_OPS}, count(*) FILTER (f.kind = 'queue')) AS queue_ops,
+    count(*) FILTER (f.kind = 'queue') AS queue_ops,
     count(*) FILTER (f.kind = 'launch') AS launches, count(*) FILTER (f.kind = 'api_error') AS api_errors,
     count(*) FILTER (f.kind = 'denial') AS denials,
     count(*) FILTER (f.kind = 'queue' AND f.op = 'remove' AND length(f.text) > 0
@@ -160,58 +160,96 @@ VIEWS = {
   SELECT m.sid, m.idx, q.us AS op_us FROM msgs m JOIN facts q ON q.sid = m.sid AND q.kind = 'queue' AND q.op = 'dequeue'
       AND (q.ts, q.seq) < (m.ts, m.seq)
     AND EXISTS (SELECT 1 FROM facts e WHERE e.sid = m.sid AND e.kind = 'api_error' AND (e.ts, e.seq) < (m.ts, m.seq)
-      AND abs(e.us - q.us) <= 90000000)
-    AND (SELECT count(*) FROM facts x WHERE x.sid = m.sid AND x.kind = 'queue' AND (x.ts, x.seq) < (m.ts, m.seq)
-      AND (x.ts, x.seq) >= (q.ts, q.seq)) <= {V.MAX_QUEUE_OPS}""",
+      AND abs(e.us - q.us) <= 90000000)""",
     "r02": """
-  SELECT sid, idx, 'R02' AS rule, 'tasks:' || string_agg(task, ',' ORDER BY task) AS key,
-    count(*) || ' background task(s) launched with no completion notification' AS why,
-    string_agg(task, ', ' ORDER BY task) AS detail, CAST([] AS VARCHAR[]) AS subject FROM stale GROUP BY sid, idx""",
+  SELECT sid, idx, 'R02' AS rule, 'tasks:' || n || ':' || w AS key,
+    n || ' task(s) running without any sign of an end' AS why, n || ':' || w AS detail, CAST([] AS VARCHAR[]) AS subject
+  FROM (SELECT sid, idx, count(*) AS n, sum(CAST('0x' || substr(sha1(task), 1, 12) AS BIGINT)) AS w FROM stale GROUP BY sid, idx)""",
     "r03": """
-  SELECT sid, idx, 'R03' AS rule, 'session:' || sid AS key, 'declare blocked operation classes up front' AS why,
-    'permission_mode-dependent' AS detail, CAST([] AS VARCHAR[]) AS subject FROM msgs WHERE idx = 1""",
+  SELECT sid, idx, 'R03' AS rule, 'session:' || sid AS key, 'say at the start which kinds of operation are off limits' AS why,
+    'depends on the permission mode' AS detail, CAST([] AS VARCHAR[]) AS subject FROM msgs WHERE idx = 1""",
     "r04": """
   SELECT sid, min(idx) AS idx, 'R04' AS rule, 'question:' || question AS key,
-    'a decision question was ' || arg_min(outcome, idx) || ' and never answered' AS why,
+    'a question was ' || arg_min(outcome, idx) || ' and is still open' AS why,
     question AS detail, CAST([] AS VARCHAR[]) AS subject
   FROM asof_questions WHERE outcome <> 'answered' GROUP BY sid, question""",
     "r05": f"""
   SELECT sid, idx, 'R05' AS rule, 'endpoints:' || {sha12("array_to_string(found, '|')")} AS key,
-    'message names API path(s) that may have moved' AS why, substr(array_to_string(found, ', '), 1, 200) AS detail,
+    'the text cites endpoint paths, which may be out of date' AS why, substr(array_to_string(found, ', '), 1, 200) AS detail,
     {tokens("array_to_string(found, ' ')")} AS subject
   FROM (SELECT *, {refs('text', V.ENDPOINT)} AS found FROM msgs) WHERE len(found) > 0""",
     "r06": f"""
   SELECT sid, idx, 'R06' AS rule, 'refs:' || {sha12("array_to_string(missing, '|')")} AS key,
-    'reference(s) do not resolve: ' || array_to_string(missing, ', ') AS why,
+    'not found: ' || array_to_string(missing, ', ') AS why,
     substr(array_to_string(missing, ', '), 1, 200) AS detail, {tokens("array_to_string(missing, ' ')")} AS subject
   FROM (SELECT sid, idx, list(ref ORDER BY ref) AS missing
     FROM (SELECT sid, idx, unnest({refs('text', V.PATH, V.REPO)}) AS ref FROM msgs)
     WHERE ref NOT IN (SELECT ref FROM known_refs) GROUP BY sid, idx)""",
     "r08": f"""
   SELECT sid, idx, 'R08' AS rule, 'urls:' || {sha12("array_to_string(dead, '|')")} AS key,
-    'url(s) not serving: ' || array_to_string(dead, ', ') AS why,
+    'not answering: ' || array_to_string(dead, ', ') AS why,
     substr(array_to_string(dead, ', '), 1, 200) AS detail, {tokens("array_to_string(dead, ' ')")} AS subject
   FROM (SELECT sid, idx, list(url ORDER BY url) AS dead FROM url_states WHERE status = 'down' GROUP BY sid, idx)""",
     "r10": f"""
   SELECT sid, idx, 'R10' AS rule, 'criterion:' || {sha12('text')} AS key,
-    'open-ended instruction with no stated definition of done' AS why, substr({squash('text')}, 1, 200) AS detail,
+    'asks for open-ended work without saying when it is done' AS why, substr({squash('text')}, 1, 200) AS detail,
     {tokens('text')} AS subject FROM msgs WHERE {matches('text', V.NO_CRITERION)}""",
     "r11": f"""
   SELECT sid, idx, 'R11' AS rule, 'scope:' || {sha12('text')} AS key,
-    'absolute scope claim — fixed principle, or just not now?' AS why, substr({squash('text')}, 1, 200) AS detail,
+    'claims an absolute scope: for good, or only for now?' AS why, substr({squash('text')}, 1, 200) AS detail,
     {tokens('text')} AS subject FROM msgs WHERE {matches('text', V.ABSOLUTE)}""",
     "r12": """
   SELECT sid, min(idx) AS idx, 'R12' AS rule, 'lost:' || stamp AS key,
-    'a queued message was delivered during an API failure and may never have arrived' AS why,
+    'a queued message left around an API error and may be lost' AS why,
     'dequeue at ' || stamp AS detail, CAST([] AS VARCHAR[]) AS subject
   FROM (SELECT *, replace(strftime(make_timestamp(op_us), '%Y-%m-%dT%H:%M:%S.%f'), '.000000', '') || '+00:00' AS stamp FROM lost)
   GROUP BY sid, stamp""",
     "r13": f"""
-  SELECT sid, idx, 'R13' AS rule, 'prov:' || {sha12('text')} AS key, 'record message provenance' AS why,
+  SELECT sid, idx, 'R13' AS rule, 'prov:' || {sha12('text')} AS key, 'note where the message came from' AS why,
     'prompt_chars=' || length(text) AS detail, CAST([] AS VARCHAR[]) AS subject FROM msgs""",
+    # every pair of texts that a rule or label compares
+    "near": """
+  SELECT sid, idx, prev AS a, text AS b FROM (SELECT *, lag(text) OVER w AS prev, us - lag(us) OVER w AS gap FROM msgs
+    WINDOW w AS (PARTITION BY sid ORDER BY idx)) WHERE length(text) >= 25 AND length(prev) >= 25 AND gap <= 120000000
+    AND 2.0 * least(length(text), length(prev)) / (length(text) + length(prev)) >= 0.85""",
+    "drafts": f"""
+  SELECT f.sid, f.seq, f.text AS a, (SELECT count(*) FROM msgs m WHERE m.sid = f.sid AND (m.ts, m.seq) < (f.ts, f.seq)) + 1 AS upto
+  FROM facts f WHERE {HUMAN_OP.replace('kind', 'f.kind').replace('text', 'f.text')} AND f.op = 'remove' AND length(f.text) >= 20""",
+    "said": "SELECT sid, text AS b, min(idx) AS first_idx FROM msgs GROUP BY ALL",
+    "family": f"SELECT DISTINCT sid, text FROM msgs WHERE {matches('text', V.NO_CRITERION)}",
+    "pairs": """
+  SELECT DISTINCT a, b FROM (SELECT a, b, 0.55 AS least_ FROM drafts JOIN said USING (sid) UNION ALL SELECT a, b, 0.85 FROM near
+    UNION ALL SELECT x.text, y.text, 0.7 FROM family x JOIN family y USING (sid))
+  WHERE 2.0 * least(length(a), length(b)) / (length(a) + length(b)) >= least_""",
+    # the longest common block, the first in a, then in b; then the same on what lies left and right of it
+    "blocks": """
+  SELECT a, b, a AS s, b AS t, 0 AS m FROM pairs UNION ALL
+  SELECT a, b, unnest([substr(s, 1, i - 1), substr(s, i + n)]), unnest([substr(t, 1, j - 1), substr(t, j + n)]), unnest([n, 0])
+  FROM (SELECT *, instr(t, substr(s, i, n)) AS j FROM (SELECT *, list_position(ns, n) AS i FROM (SELECT *, list_max(ns) AS n FROM (
+    SELECT a, b, s, t, list_transform(range(1, length(s) + 1), lambda i: coalesce(list_max(list_filter(
+      range(1, length(s) - i + 2), lambda n: contains(t, substr(s, i, n)))), 0)) AS ns
+    FROM blocks WHERE s <> '' AND t <> '')) WHERE n > 0))""",
+    "ratios": "SELECT a, b, 2.0 * sum(m) / (length(a) + length(b)) AS ratio FROM blocks GROUP BY a, b",
+    "resolved": """
+  SELECT d.sid, d.seq, min(s.first_idx) AS hit FROM drafts d JOIN said s USING (sid) JOIN ratios r ON r.a = d.a AND r.b = s.b
+  WHERE r.ratio >= 0.55 GROUP BY ALL""",
+    "open_drafts": """
+  SELECT d.*, r.hit FROM drafts d LEFT JOIN resolved r USING (sid, seq) JOIN msgs m ON m.sid = d.sid AND m.idx = d.upto
+  WHERE r.hit IS NULL OR r.hit > d.upto""",
+    "r01": f"""
+  SELECT DISTINCT sid, upto AS idx, 'R01' AS rule, 'retraction:' || {sha12('a')} AS key,
+    'a queued draft was taken back and nothing like it was sent since' AS why, substr({squash('a')}, 1, 200) AS detail,
+    {tokens('a')} AS subject FROM open_drafts""",
+    "r07": f"""
+  SELECT sid, idx, 'R07' AS rule, 'dup:' || {sha12('a')} || ':' || {sha12('b')} AS key,
+    CASE WHEN flips THEN 'repeats the previous message with a negation flipped; both stay in view'
+      ELSE 'nearly the same as the previous message; both stay in view' END AS why,
+    'similarity ' || printf('%.2f', ratio) || CASE WHEN flips THEN ', negation differs' ELSE '' END AS detail, {tokens('b')} AS subject
+  FROM (SELECT *, len(regexp_extract_all(a, {lit(V.NEGATION)})) <> len(regexp_extract_all(b, {lit(V.NEGATION)})) AS flips
+    FROM near JOIN ratios USING (a, b) WHERE ratio >= 0.85)""",
     "fires": " UNION ALL ".join(
         f"SELECT sid, idx, rule, key, why, detail, subject FROM {r}"
-        for r in ("r02", "r03", "r04", "r05", "r06", "r08", "r10", "r11", "r12", "r13")),
+        for r in ("r01", "r02", "r03", "r04", "r05", "r06", "r07", "r08", "r10", "r11", "r12", "r13")),
     "firsts": f"""
   SELECT sid, rule, key, min(idx) AS idx FROM fires WHERE rule IN ({DEDUPED}) GROUP BY ALL""",
     "fires1": f"""
@@ -272,16 +310,20 @@ VIEWS = {
 }
 
 
+# read many times in one statement
+SHARED = ("facts", "msgs", "stale", "asof_questions", "lost", "pairs", "ratios", "open_drafts", "fires", "fires1", "desync_last")
+
+
 def query(select: str) -> str:
     """A complete statement: the views, then ``select``."""
-    return "WITH " + ",\n".join(f"{n} AS ({b})" for n, b in VIEWS.items()) + "\n" + select.strip()
+    bodies = [f"{n} AS {'MATERIALIZED ' if n in SHARED else ''}({b})" for n, b in VIEWS.items()]
+    return "WITH RECURSIVE " + ",\n".join(bodies) + "\n" + select.strip()
 
 
 CAPTURES = f"""
-turns AS (SELECT *, turn // {CAPTURES_PER_SESSION} AS part FROM conversations),
-bodies AS (SELECT conv_id, turn, part, row_number() OVER w AS n, string_agg(text, chr(10)) OVER w AS body
-  FROM turns WINDOW w AS (PARTITION BY conv_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-captures AS (SELECT CASE WHEN part = 0 THEN CAST(conv_id AS VARCHAR) ELSE conv_id || '-' || part END AS sid,
+bodies AS (SELECT conv_id, turn, row_number() OVER w AS n, string_agg(text, chr(10)) OVER w AS body
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+captures AS (SELECT CAST(conv_id AS VARCHAR) AS sid,
   conv_id, turn + 1 AS count,
   ['PreCompact', 'PostCompact', 'Stop', 'PostToolUse', 'SessionStart'][(conv_id + turn) % 5 + 1] AS event,
   {EPOCH_US} + conv_id * 60000000 + turn * 1000000 AS captured_us,

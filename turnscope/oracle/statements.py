@@ -35,14 +35,13 @@ FROM {view} WHERE {where} GROUP BY ALL""")
 
 
 AUTO10 = f"""
-auto10 AS (SELECT f.sid, f.idx, f.rule, f.key, EXISTS (SELECT 1 FROM msgs o WHERE o.sid = f.sid AND o.idx <> f.idx
-    AND {matches('o.text', V.NO_CRITERION)}
-    -- a common prefix of 50 bounds similarity from below: 2 * 50 / (la + lb)
-    AND substr(o.text, 1, 50) = substr(m.text, 1, 50) AND 100.0 / (length(o.text) + length(m.text)) >= 0.7) AS auto_label
+auto10 AS (SELECT f.sid, f.idx, f.rule, f.key, EXISTS (SELECT 1 FROM msgs o LEFT JOIN ratios r ON r.a = m.text AND r.b = o.text
+    WHERE o.sid = f.sid AND o.idx <> f.idx AND {matches('o.text', V.NO_CRITERION)} AND (o.text = m.text OR r.ratio >= 0.7)) AS auto_label
   FROM fires1 f JOIN msgs m ON m.sid = f.sid AND m.idx = f.idx WHERE f.rule = 'R10')"""
 LABELLED = AUTO10 + """,
 auto_labels AS (SELECT sid, idx, rule, key, auto_label FROM auto4 UNION ALL SELECT * FROM auto10
   UNION ALL SELECT sid, idx, rule, key, true FROM fires1 WHERE rule = 'R12'
+  UNION ALL SELECT DISTINCT sid, idx, rule, key, true FROM fires1 WHERE rule = 'R07' AND contains(detail, 'negation differs')
   UNION ALL SELECT sid, idx, rule, key, true FROM corrections),
 labelled AS (SELECT f.sid, f.idx, f.rule, f.key, f.why, f.detail, b.basis, h.hand, coalesce(h.hand, a.auto_label) AS label
   FROM fires1 f JOIN basis b USING (rule) LEFT JOIN auto_labels a USING (sid, idx, rule, key) LEFT JOIN hand h USING (rule, key))"""
@@ -58,7 +57,7 @@ REFRESHED = PRECISION + """,
 refreshed AS (SELECT c.rule, c.action, c.suspended, c.suspended_reason, c.template,
     CASE WHEN n THEN r.precision ELSE c.precision END AS precision, CASE WHEN n THEN r.basis ELSE c.basis END AS basis,
     CASE WHEN n THEN r.refuted ELSE c.refuted END AS refuted, CASE WHEN n THEN r.hand_labelled ELSE c.hand_labelled END AS hand_labelled
-  FROM (SELECT *, rule NOT IN ('R01', 'R07') AS n FROM catalogue) c JOIN results r USING (rule))"""
+  FROM (SELECT *, true AS n FROM catalogue) c JOIN results r USING (rule))"""
 ROUTED = f"""
 acted AS (SELECT *, {action_case()} AS runtime FROM catalogue),
 seen AS (SELECT f.*, m.ts, m.seq, a.runtime, a.template, f.idx = min(f.idx) OVER (PARTITION BY f.sid, f.rule, f.key) AS first_
@@ -83,7 +82,7 @@ LOG_COLUMNS = "ts, sid, idx, rule, key, action, surfaced, phase, why, detail, de
 
 def verdict(x: str) -> str:
     """A reply's verdict: the longest leading phrase after filler words."""
-    phrases = "|".join(p.replace("'", "''") for p, _ in X.verdict_phrases())
+    phrases = X.PHRASE_PATTERN.replace("'", "''")
     body = f"regexp_replace(lower(trim({x})), {lit(V.VERDICT_LEAD)}, '')"
     lead = f"regexp_extract({body}, '^({phrases})\\b', 1)"
     return (f"CASE WHEN length(trim({x})) = 0 OR length(trim({x})) > {V.VERDICT_MAX_CHARS} OR {lead} = '' THEN 'unlabelled' "
@@ -101,9 +100,11 @@ per_message AS (SELECT sid, idx, list_sort(list(DISTINCT rule)) AS rules FROM fi
 matched AS (SELECT s.*, coalesce(p.rules, []) AS rules, len(list_filter(coalesce(p.rules, []), lambda r: r NOT IN ('R03', 'R05'))) > 0 AS real
   FROM signals s LEFT JOIN per_message p USING (sid, idx))"""
 ACTIVE = """
-active AS (SELECT DISTINCT sid, idx, rule FROM fires WHERE rule NOT IN ('R04', 'R12', 'R13')
+active AS (SELECT DISTINCT sid, idx, rule FROM fires WHERE rule NOT IN ('R01', 'R04', 'R12', 'R13')
   UNION ALL SELECT DISTINCT sid, idx, 'R04' FROM asof_questions WHERE outcome <> 'answered'
-  UNION ALL SELECT DISTINCT sid, idx, 'R12' FROM lost)"""
+  UNION ALL SELECT DISTINCT sid, idx, 'R12' FROM lost
+  UNION ALL SELECT DISTINCT m.sid, m.idx, 'R01' FROM open_drafts d JOIN msgs m ON m.sid = d.sid AND m.idx >= d.upto
+    AND (d.hit IS NULL OR m.idx < d.hit))"""
 BACK = ACTIVE + """,
 located AS (SELECT k.key, k.sid, k.kind, min(m.idx) AS idx FROM markers k LEFT JOIN msgs m ON m.key = k.key GROUP BY ALL),
 back AS (SELECT l.key, l.sid, l.kind, l.idx AS at_idx, b AS back, l.idx - b AS idx FROM located l, (VALUES (1), (2), (3)) AS v(b)
@@ -128,12 +129,6 @@ norm AS (SELECT sid, ts, seq, CASE seq % 5 WHEN 0 THEN 'skip' WHEN 1 THEN 'timeo
 PREVIOUS = """
 previous AS (SELECT m.sid, m.idx, m.key, m.text, coalesce(arg_max(f.text, f.ts || printf('%015d', f.seq)), '') AS previous
   FROM msgs m LEFT JOIN facts f ON f.sid = m.sid AND f.kind = 'launch' AND (f.ts, f.seq) < (m.ts, m.seq) GROUP BY ALL)"""
-NEAR = """
-near AS (SELECT sid, idx, prev AS a, text AS b FROM (SELECT *, lag(text) OVER w AS prev, us - lag(us) OVER w AS gap FROM msgs
-  WINDOW w AS (PARTITION BY sid ORDER BY idx)) WHERE length(text) >= 25 AND length(prev) >= 25 AND gap <= 120000000
-  AND 2.0 * least(length(text), length(prev)) / (length(text) + length(prev)) >= 0.85)"""
-
-
 def with_(parts: str, select: str) -> str:
     return query(", ").rstrip().rstrip(",") + ",\n" + parts.strip() + "\n" + select.strip()
 
@@ -180,7 +175,7 @@ def captures_with(parts: str, select: str) -> str:
 
 def conversations_json() -> str:
     """Compaction records written and read without JSON: the rows they must yield."""
-    sid = "conv_id || '-' || (turn // 32)"
+    sid = "CAST(conv_id AS VARCHAR)"
     return f"""
 WITH l AS (SELECT {sid} AS sid, conv_id, turn, row_number() OVER (PARTITION BY {sid} ORDER BY turn) - 1 AS line_index,
     (conv_id + turn) % 3 = 2 AS compact FROM conversations),
@@ -247,9 +242,9 @@ SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, sha1(array_to_string(t, ' ')
 SELECT sid, idx, pos FROM (SELECT sid, idx, row_number() OVER (ORDER BY sid, idx) - 1 AS pos, greatest(1, count(*) OVER () // 100) AS step FROM msgs)
 WHERE pos % step = 0 AND pos // step < 100"""),
         "judgement_requests": with_(PREVIOUS, f"""
-SELECT key, sid, idx, coalesce(nullif(substr(previous, 1, 3000), ''), {lit(V.FIRST_MESSAGE_PLACEHOLDER)}) AS previous, substr(text, 1, 3000) AS message FROM previous"""),
+SELECT key, sid, idx, coalesce(nullif(previous, ''), {lit(V.FIRST_MESSAGE_PLACEHOLDER)}) AS previous, text AS message FROM previous"""),
         "uncached_requests": with_(PREVIOUS, f"""
-SELECT key, sid, idx, coalesce(nullif(substr(previous, 1, 3000), ''), {lit(V.FIRST_MESSAGE_PLACEHOLDER)}) AS previous, substr(text, 1, 3000) AS message
+SELECT key, sid, idx, coalesce(nullif(previous, ''), {lit(V.FIRST_MESSAGE_PLACEHOLDER)}) AS previous, text AS message
 FROM previous WHERE key NOT IN (SELECT key FROM desync WHERE ord % 3 = 0)"""),
         "transcript_facts": query("""
 SELECT sid, kind, count(*) AS n FROM (
@@ -266,32 +261,22 @@ def state() -> dict[str, str]:
         "presend_counts": query("SELECT sid, idx, prior_messages, queue_ops, launches, api_errors, denials FROM presend"),
         "stale_tasks": runs("stale", "task"),
         "open_questions": runs("asof_questions", "question", "outcome <> 'answered'"),
-        "retraction_candidates": query(f"""
+        "retraction_candidates": query("""
 SELECT sid, draft, idx, count(b) AS candidates FROM (
-  SELECT d.*, m.b FROM (SELECT * FROM (SELECT DISTINCT sid, a AS draft, idx FROM drafts d WHERE idx <= n) q
-    WHERE NOT EXISTS (SELECT 1 FROM msgs m WHERE m.sid = q.sid AND m.idx <= q.idx AND substr(m.text, 1, 400) = q.draft)) d
-  LEFT JOIN (SELECT sid, substr(text, 1, 400) AS b, min(idx) AS first_idx FROM msgs GROUP BY ALL) m
-    ON m.sid = d.sid AND m.first_idx <= d.idx AND 2.0 * least(length(m.b), length(d.draft)) / (length(m.b) + length(d.draft)) >= 0.55)
-GROUP BY ALL""").replace("\nSELECT sid, draft, idx, count(b)", f""",
-drafts AS (SELECT f.sid, substr(f.text, 1, 400) AS a, (SELECT count(*) FROM msgs m WHERE m.sid = f.sid AND (m.ts, m.seq) < (f.ts, f.seq)) + 1 AS idx,
-  (SELECT count(*) FROM msgs m WHERE m.sid = f.sid) AS n FROM facts f WHERE {HUMAN_OP.replace('kind', 'f.kind').replace('text', 'f.text')} AND f.op = 'remove' AND length(f.text) >= 20)
-SELECT sid, draft, idx, count(b)"""),
+  SELECT d.*, s.b FROM (SELECT DISTINCT d.sid, a AS draft, upto AS idx FROM drafts d JOIN msgs m ON m.sid = d.sid AND m.idx = d.upto
+    WHERE NOT EXISTS (SELECT 1 FROM said s WHERE s.sid = d.sid AND s.first_idx <= d.upto AND s.b = d.a)) d
+  LEFT JOIN said s ON s.sid = d.sid AND s.first_idx <= d.idx AND 2.0 * least(length(s.b), length(d.draft)) / (length(s.b) + length(d.draft)) >= 0.55)
+GROUP BY ALL"""),
+        "unresolved_retractions": query("SELECT sid, seq, upto AS idx, a AS text FROM open_drafts"),
         "state_facts": query("SELECT sid, idx, fact, n FROM state_facts"),
     }
 
 
 def rules() -> dict[str, str]:
-    out = {f"rule_{r}": query(f"SELECT {FIRE} FROM {r}") for r in ("r02", "r03", "r04", "r05", "r06", "r08", "r10", "r11", "r12", "r13")}
     return {
-        **out,
-        # an edit distance above 15 % of the total length proves a ratio below 0.85
-        "rule_r07": with_(NEAR, f"""
-SELECT sid, idx, 'R07' AS rule, 'dup:' || {sha12('a')} || ':' || {sha12('b')} AS key,
-  CASE WHEN len(regexp_extract_all(a, {lit(V.NEGATION)})) <> len(regexp_extract_all(b, {lit(V.NEGATION)}))
-    THEN 'this revises the previous message and flips a negation — both versions will be in context'
-    ELSE 'near-duplicate of the previous message; both will be in context' END AS why
-FROM near WHERE levenshtein(a, b) <= 0.15 * (length(a) + length(b))"""),
-        "near_dup_candidates": with_(NEAR, "SELECT sid, idx, a, b FROM near"),
+        **{f"rule_{r}": query(f"SELECT {FIRE} FROM r{r[1:]}") for r in (
+            "r01", "r02", "r03", "r04", "r05", "r06", "r07", "r08", "r10", "r11", "r12", "r13")},
+        "near_dup_candidates": query("SELECT sid, idx, a, b FROM near"),
         "evaluate_rules": query(f"SELECT {FIRE} FROM fires"),
         "fires_first_cause": query(f"SELECT {FIRE} FROM fires1"),
     }
@@ -317,10 +302,7 @@ def labels() -> dict[str, str]:
         "labels_latest": query("SELECT rule, key AS fire_key, verdict FROM hand_latest"),
         "later_correction": query("SELECT * FROM corrections"),
         "label_r04": query("SELECT sid, idx, rule, key, auto_label FROM auto4"),
-        "label_r07": with_(NEAR, f"""
-SELECT sid, idx, 'dup:' || {sha12('a')} || ':' || {sha12('b')} AS key,
-  CASE WHEN len(regexp_extract_all(a, {lit(V.NEGATION)})) <> len(regexp_extract_all(b, {lit(V.NEGATION)})) THEN true END AS auto_label
-FROM near WHERE levenshtein(a, b) <= 0.15 * (length(a) + length(b))"""),
+        "label_r07": query("SELECT sid, idx, key, CASE WHEN contains(detail, 'negation differs') THEN true END AS auto_label FROM r07"),
         "label_r10": with_(AUTO10, "SELECT sid, idx, rule, key, auto_label FROM auto10"),
         "label_r12": query("SELECT sid, idx, key, true AS auto_label FROM fires1 WHERE rule = 'R12'"),
         "labelled_fires": with_(LABELLED, "SELECT sid, idx, rule, key, basis, hand, label FROM labelled"),
@@ -490,7 +472,9 @@ UNION ALL SELECT *, 'right' FROM (SELECT {CATALOGUE_COLUMNS} FROM refreshed EXCE
     }
 
 
-STREAM_RULES = "('R02', 'R03', 'R04', 'R05', 'R10', 'R11', 'R12', 'R13')"
+# R06 and R08 need tables beside the log and are evaluated in batch
+STREAM_RULES = "('R01', 'R02', 'R03', 'R04', 'R05', 'R07', 'R10', 'R11', 'R12', 'R13')"
+STREAMED = f"FROM (SELECT * FROM fires WHERE rule IN {STREAM_RULES}) f"
 
 
 def streaming() -> dict[str, str]:
@@ -499,8 +483,8 @@ def streaming() -> dict[str, str]:
         "stream_dedupe": query("SELECT kind, count(*) AS n FROM facts GROUP BY ALL"),
         "stream_tail": line_counts(COPIES, ATTACHED),
         "stream_rules": query(f"SELECT sid, idx, rule, key FROM fires WHERE rule IN {STREAM_RULES}"),
-        "stream_routing": with_(ROUTED, f"SELECT sid, idx, rule, key, surfaced, deduped, suppressed FROM routed WHERE rule IN {STREAM_RULES}"),
-        "stream_verdicts": with_(PENDING, "SELECT sid, asked_idx, rule, key, verdict FROM settled"),
+        "stream_routing": with_(ROUTED.replace("FROM fires f", STREAMED), "SELECT sid, idx, rule, key, surfaced, deduped, suppressed FROM routed"),
+        "stream_verdicts": with_(PENDING.replace("FROM fires f", STREAMED), "SELECT sid, asked_idx, rule, key, verdict FROM settled"),
     }
 
 

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HOT_ROWS = 1_000_000
-MAX_HOT_GROUPS = 10_000
 
 
 def hot_rows(df: DataFrame) -> int:
@@ -37,17 +36,14 @@ def with_chunks(
 
     A prefix of a string is monotone in that string, so chunks never interleave; the hotter the
     group, the longer the prefix. One count per group is run here to learn whether any group is
-    hot; ``sizes`` may name a cheaper frame with the same key column and row counts. The broadcast
-    side is at most MAX_HOT_GROUPS rows whatever the data size: a group outside the largest
-    10,000 holds less than a ten-thousandth of all rows and needs no cutting.
+    hot; ``sizes`` may name a cheaper frame with the same key column and row counts. Every hot group
+    is cut, however many there are; Spark decides by their measured number how they are joined.
     """
     limit = hot_rows(df)
     hot = (
         (df if sizes is None else sizes).groupBy(key)
         .agg(F.count("*").alias("_n"))
         .where(F.col("_n") > limit)
-        .orderBy(F.desc("_n"), key)
-        .limit(MAX_HOT_GROUPS)
         .select(
             key,
             F.when(F.col("_n") > 1000 * limit, widths[2])
@@ -58,7 +54,7 @@ def with_chunks(
     if hot.isEmpty():
         return df.withColumn("chunk", F.lit(None))
     return (
-        df.join(F.broadcast(hot), key, "left")
+        df.join(hot, key, "left")
         .withColumn("chunk", F.expr(f"substring({order}, 1, _width)"))
         .drop("_width")
     )

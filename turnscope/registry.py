@@ -16,9 +16,6 @@ from turnscope.sources import catalogue as C
 from turnscope.sources import raw, views
 from turnscope.streaming import jobs
 
-# rules that an SQL engine without a text-similarity function can also evaluate
-SQL_RULES = rules.RELATIONAL
-
 
 class Tables:
     """The inputs of one run, planned on first use."""
@@ -49,24 +46,19 @@ class Tables:
     @cached_property
     def fires(self) -> DataFrame:
         """Fires written once: routing, labels and statistics read them many times."""
-        return materialize(rules.evaluate(self.share().inputs, SQL_RULES), "fires")
+        return materialize(rules.evaluate(self.share().inputs), "fires")
 
     @cached_property
     def first_fires(self) -> DataFrame:
         return materialize(rules.first_cause(self.fires, C.deduped_rules()), "causes")
 
-    @cached_property
-    def all_first_fires(self) -> DataFrame:
-        fires = rules.evaluate(self.share().inputs)
-        return materialize(rules.first_cause(fires, C.deduped_rules()), "causes")
-
     @cached_property
     def facts(self) -> DataFrame:
         return materialize(state.state_facts(self.share().log), "facts")
 
     @cached_property
     def active(self) -> DataFrame:
-        return materialize(trace.active_rules(self.share().inputs, SQL_RULES), "active")
+        return materialize(trace.active_rules(self.share().inputs), "active")
 
     @cached_property
     def desync(self) -> DataFrame:
@@ -99,9 +91,8 @@ class Tables:
 
     @cached_property
     def refreshed(self) -> DataFrame:
-        """The catalogue with this run's results; rules the run did not evaluate keep theirs."""
-        evaluated = self.precision.where(F.col("rule").isin(*SQL_RULES))
-        return materialize(C.with_metrics(self.catalogue, evaluated), "catalogue")
+        """The catalogue with this run's results."""
+        return materialize(C.with_metrics(self.catalogue, self.precision), "catalogue")
 
     @cached_property
     def routed(self) -> DataFrame:
@@ -287,7 +278,7 @@ SHAPE: dict[str, Callable[[Tables], DataFrame]] = {
     "previous_turn": lambda t: t.turns.select("sid", "idx", "key", "previous"),
     "systematic_sample": lambda t: verdicts.systematic_sample(t.messages).select("sid", "idx", "pos"),
     "judgement_requests": lambda t: verdicts.judgement_requests(t.turns),
-    "uncached_requests": lambda t: verdicts.uncached_requests(t.turns, t.desync.where("ord % 3 = 0")),
+    "uncached_requests": lambda t: verdicts.uncached_requests(t.turns, views.cached_verdicts(t.desync)),
     "transcript_facts": lambda t: shape.to_facts(t.share_lines().lines).groupBy("sid", "kind").agg(F.count("*").alias("n")),
 }
 
@@ -301,11 +292,9 @@ STATE: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 RULES: dict[str, Callable[[Tables], DataFrame]] = {
-    **{f"rule_{r.lower()}": rule_query(r) for r in rules.RULES if r not in ("R07", "R09")},
-    "rule_r07": lambda t: rules.rule_r07(t.inputs).select("sid", "idx", "rule", "key", "why"),
+    **{f"rule_{r.lower()}": rule_query(r) for r in rules.RULES if r != "R09"},
     "near_dup_candidates": lambda t: rules.near_dup_candidates(t.inputs).select("sid", "idx", "a", "b"),
-    "evaluate_rules": lambda t: shown(rules.evaluate(t.share().inputs, SQL_RULES)),
-    "evaluate_all_rules": lambda t: shown(rules.evaluate(t.share().inputs)),
+    "evaluate_rules": lambda t: shown(rules.evaluate(t.share().inputs)),
     "fires_first_cause": lambda t: shown(t.first_fires),
 }
 
@@ -330,8 +319,6 @@ LABELS: dict[str, Callable[[Tables], DataFrame]] = {
     "label_r12": lambda t: labels.flag_labels(t.first_fires.where("rule = 'R12'")).select("sid", "idx", "key", "auto_label"),
     "labelled_fires": lambda t: t.labelled.select("sid", "idx", "rule", "key", "basis", "hand", "label"),
     "precision_table": lambda t: t.precision,
-    "precision_table_all_rules": lambda t: labels.precision_table(
-        labels.labelled_fires(t.all_first_fires, t.messages, t.markers, t.label_rows)),
     "review_queue": lambda t: labels.review_queue(t.first_fires, t.label_rows),
     "recent_fires": lambda t: oplog.recent_fires(t.fire_log, t.label_rows, t.catalogue),
     "fire_list": lambda t: labels.fire_list(t.labelled),
@@ -364,7 +351,7 @@ TRACE: dict[str, Callable[[Tables], DataFrame]] = {
     "rules_before_markers": lambda t: trace.rules_before_markers(t.messages, t.markers, t.active),
     "facts_before_markers": lambda t: trace.facts_before_markers(t.messages, t.markers, t.facts),
     "silent_markers": lambda t: trace.silent_markers(t.messages, t.markers, t.active, t.facts),
-    "marker_location": lambda t: trace.marker_location(t.messages.where("seq % 6 <> 1"), t.markers),
+    "marker_location": lambda t: trace.marker_location(views.kept_messages(t.messages), t.markers),
     "fact_lift": lambda t: trace.fact_lift(t.messages, t.markers, t.facts),
     "lookahead_rates": lambda t: trace.lookahead_rates(t.messages, t.directives, t.desync),
     "relative_risk": lambda t: trace.relative_risk(t.messages, t.directives, t.desync),

@@ -96,7 +96,7 @@ def rule_actions(catalogue: DataFrame) -> DataFrame:
     names = F.explode(F.array(*[F.lit(r) for r in V.BASIS])).alias("rule")
     registered = catalogue.sparkSession.range(1).select(names)
     known = catalogue.select("rule", action().alias("runtime_action"))
-    return registered.join(F.broadcast(known), "rule", "left").select(
+    return registered.join(known, "rule", "left").select(
         "rule", F.coalesce("runtime_action", F.lit("skip")).alias("runtime_action")
     )
 
@@ -115,7 +115,7 @@ def with_metrics(catalogue: DataFrame, precision: DataFrame) -> DataFrame:
         F.col("basis").alias("_basis"), F.col("refuted").alias("_refuted"),
         F.col("hand_labelled").alias("_hand"),
     )
-    joined = catalogue.join(F.broadcast(fresh), "rule", "left")
+    joined = catalogue.join(fresh, "rule", "left")
     new = F.col("_fresh").isNotNull()
     return joined.select(
         "rule", "action", "suspended", "suspended_reason", "params",

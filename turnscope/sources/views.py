@@ -209,25 +209,21 @@ def normalise_log(log: DataFrame) -> DataFrame:
 
 # ---- capture snapshots ------------------------------------------------------------------------
 
-CAPTURES_PER_SESSION = 32
-
-
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots derived from ``conversations``: capture n holds all texts up to turn n.
 
-    A session is a conversation's block of 32 turns, so building one snapshot never reads more
-    than 32 rows, however long a conversation is.
+    A session is a whole conversation. Its last snapshot is the conversation's text, so a snapshot is as long as the
+    session, here as in a real log.
     Columns: sid, count, event, captured_us, content (NULL when the file is missing).
     """
     from pyspark.sql import Window
 
     turns = table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", "text",
-        F.expr(f"turn div {CAPTURES_PER_SESSION}").alias("part"),
     )
-    w = Window.partitionBy("conv_id", "part").orderBy("turn")
+    w = Window.partitionBy("conv_id").orderBy("turn")
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first_of_part = F.row_number().over(w)
+    nth = F.row_number().over(w)
     conv, turn = F.col("conv_id"), F.col("turn")
     names = F.array(*[F.lit(e) for e in ("PreCompact", "PostCompact", "Stop", "PostToolUse", "SessionStart")])
     body = F.array_join(F.collect_list("text").over(so_far), "\n")
@@ -238,9 +234,9 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(altered, F.concat(F.lit("~"), F.col("body")))
         .otherwise(F.col("body"))
     )
-    rows = turns.select("*", first_of_part.alias("n"), body.alias("body"))
+    rows = turns.select("*", nth.alias("n"), body.alias("body"))
     return rows.select(
-        F.when(F.col("part") == 0, conv.cast("string")).otherwise(F.concat_ws("-", conv, "part")).alias("sid"),
+        conv.cast("string").alias("sid"),
         (turn + 1).alias("count"),
         F.element_at(names, ((conv + turn) % 5 + 1).cast("int")).alias("event"),
         (F.lit(EPOCH_US) + conv * 60_000_000 + turn * 1_000_000).alias("captured_us"),
@@ -419,7 +415,7 @@ def event_lines(captures: DataFrame) -> DataFrame:
 
 
 def event_logs(captures: DataFrame) -> DataFrame:
-    """Each session's event log as bytes; a session has at most CAPTURES_PER_SESSION events."""
+    """Each session's event log as bytes."""
     return captures.groupBy("sid").agg(F.encode(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("count", "event"))),
         lambda r: F.concat(r["count"].cast("string"), F.lit(":"), r["event"], F.lit("\n"))), ""), "UTF-8").alias("content"))
@@ -447,10 +443,19 @@ def compaction_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(named.alias("allUuids")).alias("preservedMessages")).alias("compactMetadata")))
     line = F.when((conv + turn) % 3 == 2, compact).otherwise(plain)
     rows = turns.select(
-        F.concat_ws("-", conv, F.expr(f"turn div {CAPTURES_PER_SESSION}")).alias("sid"),
+        conv.cast("string").alias("sid"),
         F.struct("turn", F.concat(line, F.lit("\n")).alias("line")).alias("r"))
-    # at most CAPTURES_PER_SESSION lines per session
     body = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "")
     return rows.groupBy("sid").agg(F.encode(body, "UTF-8").alias("content")).select(
         "sid", F.lit(1).cast("long").alias("count"), F.lit("Stop").alias("event"),
         F.lit(EPOCH_US).alias("captured_us"), "content")
+
+
+def cached_verdicts(desync: DataFrame) -> DataFrame:
+    """A cache that lacks two thirds of the verdicts."""
+    return desync.where("ord % 3 = 0")
+
+
+def kept_messages(messages: DataFrame) -> DataFrame:
+    """A corpus in which a sixth of the messages is gone, so that some markers cannot be located."""
+    return messages.where("seq % 6 <> 1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnscope.functions import text as X
 from turnscope.functions import vocab as V
-from turnscope.operators import rules
+from turnscope.operators import rules, state
 from turnscope.session import ROCKSDB, scratch_path
 from turnscope.sources import catalogue as C
 from turnscope.sources import raw, views
@@ -62,20 +62,22 @@ def stateful(spark: SparkSession) -> None:
 def write_slices(rows: DataFrame, path: str, slices: int = SLICES) -> None:
     """Store rows in time order as a few appends, the way a log grows.
 
-    The cuts are fixed moments of the log's span, so every write is a plain filter.
+    The cuts divide the span of the data itself; rows without a time come first. Every write is a plain filter and
+    keeps the session's rows of a slice together in one of several files.
     """
-    day = 86_400_000_000 // views.COMPRESSION
-    step = 31 * day // slices
-    n = F.least(F.floor((F.col("us") - views.EPOCH_US) / step), F.lit(slices - 1))
+    span = rows.agg(F.min("us").alias("low"), F.max("us").alias("high")).first()
+    low, step = span.low or 0, ((span.high or 0) - (span.low or 0)) // slices + 1
+    n = F.coalesce(F.floor((F.col("us") - low) / step), F.lit(0))
     for i in range(slices):
-        rows.where(n == i).coalesce(1).write.mode("append").parquet(path)
+        rows.where(n == i).repartition("sid").write.mode("append").parquet(path)
 
 
 def replay(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """The rows as a stream of one file per trigger."""
+    """The rows as a stream: about one slice per trigger, oldest files first."""
     path = scratch_path(spark, "stream-in")
     write_slices(rows, path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def run(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
@@ -101,28 +103,31 @@ def session_features(facts: DataFrame) -> DataFrame:
         F.when((F.col("kind") == "message") & condition, F.struct(F.lit(rule).alias("rule"), key.alias("key")))
         for rule, (condition, key) in ((r, make()) for r, make in rules.TEXT_RULES.items())
     ]))
+    long_enough = F.length("text") >= int(V.DEFAULT_PARAMS["R01", "min_chars"])
+    draft = state.human_queue_op() & (F.col("op") == "remove") & long_enough
     return facts.select(
         "sid", "ts", "seq", "us", "kind", "ref", "op",
-        fires.alias("text_fires"), X.reply_verdict("text").alias("reply"),
+        fires.alias("text_fires"), X.reply_verdict("text").alias("reply"), "text",
+        F.when(draft, F.col("text")).alias("draft"),
         rules.iso_offset("us").alias("stamp"),
     )
 
 
-def route_session(stream: DataFrame, actions: dict[str, tuple[str, bool]], budget: int) -> DataFrame:
+def route_session(stream: DataFrame, policies: dict[str, session.Policy], budget: int) -> DataFrame:
     return session_features(stream).groupBy("sid").transformWithStateInPandas(
-        session.Session(actions, budget), session.OUT, "Append", "None")
+        session.Session(policies, budget), session.OUT, "Append", "None")
 
 
-def catalogue_actions(catalogue: DataFrame) -> dict[str, tuple[str, bool]]:
-    """Action and whether there is anything to say, per rule: a dozen rows on the driver."""
+def catalogue_policies(catalogue: DataFrame) -> dict[str, session.Policy]:
+    """What each rule's fires can lead to: a dozen rows on the driver."""
     rows = catalogue.select("rule", C.action().alias("action"), F.col("template").isNotNull().alias("says"))
-    return {r["rule"]: (r["action"], r["says"]) for r in rows.collect()}
+    return {r["rule"]: session.policy(r["action"], r["says"]) for r in rows.collect()}
 
 
 def routed_stream(t) -> DataFrame:
     stateful(t.spark)
     facts = t.log.select("sid", "ts", "seq", "us", "kind", "ref", "op", "text")
-    out = route_session(replay(t.spark, facts), catalogue_actions(t.catalogue), V.MAX_ASKS_PER_SESSION)
+    out = route_session(replay(t.spark, facts), catalogue_policies(t.catalogue), V.MAX_ASKS_PER_SESSION)
     return run(t.spark, out, "session")
 
 

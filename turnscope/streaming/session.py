@@ -6,11 +6,16 @@ expressions the batch plan uses; the processor only keeps what must survive betw
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from turnscope.functions import text as X
+from turnscope.functions import vocab as V
+
 OUT = (
     "sid string, seq bigint, idx bigint, kind string, rule string, key string, surfaced boolean, "
     "deduped boolean, suppressed string, verdict string"
@@ -18,7 +23,7 @@ OUT = (
 HEAD = (
     "idx bigint, asks bigint, error_us bigint, tasks array<struct<task string, us bigint>>, "
     "dequeues array<struct<stamp string, us bigint>>, causes array<struct<key string, rule string>>, "
-    "pending array<struct<key string, rule string>>"
+    "pending array<struct<key string, rule string>>, drafts array<string>, last_text string, last_us bigint"
 )
 WINDOW_US = 90_000_000
 COLUMNS = [c.split()[0] for c in OUT.split(", ")]
@@ -41,11 +46,26 @@ class Sequence(StatefulProcessor):
         pass
 
 
+@dataclass(frozen=True)
+class Policy:
+    """What a rule's fires can lead to, settled beforehand from the catalogue.
+
+    ``once``: a cause counts at its first occurrence only. ``shows``: it is shown without asking. ``asks``: it is shown
+    while the budget lasts. ``budgeted``: a spent budget is the reason it is held back; else ``reason`` is.
+    """
+
+    once: bool = False
+    shows: bool = False
+    asks: bool = False
+    budgeted: bool = False
+    reason: str | None = None
+
+
 class Session(StatefulProcessor):
     """Rules over running state, routing and reply verdicts for one session."""
 
-    def __init__(self, actions: dict[str, tuple[str, bool]], budget: int):
-        self.actions, self.budget = actions, budget
+    def __init__(self, policies: dict[str, Policy], budget: int):
+        self.policies, self.budget = policies, budget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         # what is open now: read and written once per micro-batch
@@ -54,20 +74,22 @@ class Session(StatefulProcessor):
         self.ended = handle.getMapState("ended", "task string", "us bigint")
         self.asked = handle.getMapState("asked", "question string", "us bigint")
         self.seen = handle.getMapState("seen", "key string", "idx bigint")
+        self.said = handle.getMapState("said", "text string", "idx bigint")
 
     def close(self) -> None:
         pass
 
     def load(self) -> None:
-        head = self.head.get() if self.head.exists() else (0, 0, None, [], [], [], [])
+        head = self.head.get() if self.head.exists() else (0, 0, None, [], [], [], [], [], None, None)
         self.idx, self.asks, self.error_us = head[:3]
         self.tasks, self.dequeues = dict(head[3]), dict(head[4])
         self.causes, self.pending = dict(head[5]), dict(head[6])
+        self.drafts, self.last_text, self.last_us = list(head[7]), head[8], head[9]
 
     def save(self) -> None:
         self.head.update((
             self.idx, self.asks, self.error_us, list(self.tasks.items()), list(self.dequeues.items()),
-            list(self.causes.items()), list(self.pending.items()),
+            list(self.causes.items()), list(self.pending.items()), self.drafts, self.last_text, self.last_us,
         ))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -79,6 +101,8 @@ class Session(StatefulProcessor):
                 self.idx += 1
                 out += self.settle(key[0], r)
                 out += self.route(key[0], r)
+                self.said.updateValue((r.text,), (self.idx,))
+                self.last_text, self.last_us, self.drafts = r.text, r.us, []
             else:
                 self.note(r)
         self.save()
@@ -93,7 +117,7 @@ class Session(StatefulProcessor):
             self.tasks.pop(r.ref, None)
         elif r.kind == "question":
             self.asked.updateValue((r.ref,), (r.us,))
-        elif r.kind == "denial" and r.ref and self.asked.containsKey((r.ref,)):
+        elif r.kind in ("denial", "question_denial") and r.ref and self.asked.containsKey((r.ref,)):
             self.causes[f"question:{r.ref}"] = "R04"
         elif r.kind == "api_error":
             self.error_us = r.us
@@ -102,10 +126,14 @@ class Session(StatefulProcessor):
                     self.causes[f"lost:{stamp}"] = "R12"
             # later errors lie further away still
             self.dequeues.clear()
+        elif r.kind == "queue" and r.op == "remove" and r.draft:
+            self.drafts.append(r.draft)
         elif r.kind == "queue" and r.op == "dequeue":
             if self.error_us is not None and r.us - self.error_us <= WINDOW_US:
                 self.causes[f"lost:{r.stamp}"] = "R12"
             else:
+                # only those that a coming error can still reach are kept
+                self.dequeues = {s: us for s, us in self.dequeues.items() if r.us - us <= WINDOW_US}
                 self.dequeues[r.stamp] = r.us
 
     def settle(self, sid, r) -> list[tuple]:
@@ -118,37 +146,70 @@ class Session(StatefulProcessor):
 
     def fires(self, sid, r) -> list[tuple[str, str]]:
         found = [(f["rule"], f["key"]) for f in r.text_fires]
-        stale = sorted(task for task, us in self.tasks.items() if us < r.us)
+        # a launch without a time cannot be later than the message
+        stale = [task for task, us in self.tasks.items() if us is None or us != us or us < r.us]
         if stale:
-            found.append(("R02", "tasks:" + ",".join(stale)))
+            digest = sum(int(sha12(task), 16) for task in stale)
+            found.append(("R02", f"tasks:{len(stale)}:{digest}"))
         if self.idx == 1:
             found.append(("R03", f"session:{sid}"))
+        found += [("R01", f"retraction:{sha12(d)}") for d in dict.fromkeys(self.drafts) if self.unlike_all(d, r.text)]
+        if self.repeats_last(r):
+            found.append(("R07", f"dup:{sha12(self.last_text)}:{sha12(r.text)}"))
         causes, self.causes = self.causes, {}
         # a cause already shown is not raised again
         found += [(rule, k) for k, rule in causes.items() if not self.seen.containsKey((k,))]
         return sorted(found)
 
+    def unlike_all(self, draft: str, text: str) -> bool:
+        """Whether neither the message now sent nor any earlier one resembles a withdrawn draft."""
+        if draft == text or self.said.containsKey((draft,)):
+            return False
+        least = V.DEFAULT_PARAMS["R01", "similarity"]
+        return not any(X.resembling(draft, said, least) for said in (text, *(k[0] for k in self.said.keys())))
+
+    def repeats_last(self, r) -> bool:
+        """Whether the message nearly repeats the one before it."""
+        p = {name: value for (rule, name), value in V.DEFAULT_PARAMS.items() if rule == "R07"}
+        if self.last_text is None or min(len(self.last_text), len(r.text)) < p["min_chars"]:
+            return False
+        timed = self.last_us is not None and r.us is not None and r.us == r.us
+        if timed and r.us - self.last_us > p["window_s"] * 1_000_000:
+            return False
+        return X.resembling(self.last_text, r.text, p["similarity"])
+
     def route(self, sid, r) -> list[tuple]:
-        out = []
-        for rule, k in self.fires(sid, r):
-            action, says = self.actions.get(rule, ("skip", False))
-            surfaced, deduped, suppressed = False, False, None
-            if action == "augment":
-                surfaced = says
-            elif action == "skip":
-                suppressed = "not-in-catalogue"
-            elif self.seen.containsKey((k,)):
-                deduped = True
-            else:
-                self.seen.updateValue((k,), (self.idx,))
-                if action == "log":
-                    suppressed = "precision-floor"
-                elif self.asks >= self.budget:
-                    suppressed = "ask-budget"
-                elif not says:
-                    suppressed = "no-template"
-                else:
-                    surfaced, self.asks = True, self.asks + 1
-                    self.pending[k] = rule
-            out.append((sid, r.seq, self.idx, "fire", rule, k, surfaced, deduped, suppressed, None))
-        return out
+        return [(sid, r.seq, self.idx, "fire", rule, k, *self.outcome(rule, k), None) for rule, k in self.fires(sid, r)]
+
+    def outcome(self, rule: str, k: str) -> tuple[bool, bool, str | None]:
+        """Shown, repeated, and why held back; takes note of first occurrences and of asks."""
+        policy = self.policies.get(rule, UNKNOWN)
+        repeated = policy.once and self.seen.containsKey((k,))
+        if repeated:
+            return False, True, None
+        if policy.once:
+            self.seen.updateValue((k,), (self.idx,))
+        spent = policy.budgeted and self.asks >= self.budget
+        asked = policy.asks and not spent
+        if asked:
+            self.asks += 1
+            self.pending[k] = rule
+        return policy.shows or asked, False, "ask-budget" if spent else policy.reason
+
+
+def sha12(text: str) -> str:
+    return hashlib.sha1(text.encode()).hexdigest()[:12]
+
+
+UNKNOWN = Policy(reason="not-in-catalogue")
+
+
+def policy(action: str, says: bool) -> Policy:
+    """The policy of a rule from its runtime action and whether it has anything to say."""
+    if action == "augment":
+        return Policy(shows=says)
+    if action == "log":
+        return Policy(once=True, reason="precision-floor")
+    if action == "skip":
+        return UNKNOWN
+    return Policy(once=True, asks=says, budgeted=True, reason=None if says else "no-template")
