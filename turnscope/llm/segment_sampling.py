@@ -31,7 +31,6 @@ from turnscope.llm import hashing as H
 from turnscope.llm.lattice import Lattice, Vocabulary, chunks_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK = 1 << 22
 WORD = (1 << 64) - 1
 U64 = np.uint64
 
@@ -185,15 +184,18 @@ def sample_block(texts: list[bytes], keys: np.ndarray, vocabulary: Vocabulary, o
 SAMPLE = "rank int, ids array<int>, log_prob double, perturbed double, inclusion double"
 
 
-def sample(docs: DataFrame, vocabulary: Vocabulary, options: SampleOptions = SampleOptions()) -> DataFrame:
-    """doc_id, rank (from 1), ids, log probability, perturbed value and inclusion score of every drawn segmentation."""
+def sample(docs: DataFrame, vocabulary: Vocabulary, options: SampleOptions = SampleOptions(), read_back: bool = False) -> DataFrame:
+    """doc_id, rank (from 1), ids, log probability, perturbed value and inclusion score of every drawn segmentation.
+
+    ``read_back`` adds the decoded text in the same pass over the data.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = H.texts_of(batch["text"])
             keys = batch["key"].to_numpy().view(U64)
-            for a, b in H.blocks(texts, BLOCK):
+            for a, b in H.blocks(texts):
                 row, rank, ids, logs, values, shares = [], [], [], [], [], []
                 for i, (found, threshold, lattice) in enumerate(sample_block(texts[a:b], keys[a:b], vocabulary, options)):
                     for r, drawn in enumerate(found, 1):
@@ -204,14 +206,21 @@ def sample(docs: DataFrame, vocabulary: Vocabulary, options: SampleOptions = Sam
                         values.append(drawn.value)
                         shares.append(1.0 if threshold == -np.inf else -float(np.expm1(-np.exp(logs[-1] - threshold))))
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(pa.array(row, pa.int64())), pa.array(rank, pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32())),
-                     pa.array(logs), pa.array(values), pa.array(shares)],
-                    names=["doc_id", "rank", "ids", "log_prob", "perturbed", "inclusion"])
+                columns = {
+                    "doc_id": batch["doc_id"].take(pa.array(row, pa.int64())), "rank": pa.array(rank, pa.int32()),
+                    "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32())),
+                    "log_prob": pa.array(logs), "perturbed": pa.array(values), "inclusion": pa.array(shares),
+                }
+                if read_back:
+                    columns["decoded"] = pa.array([text_of(x, vocabulary) for x in ids], pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select("doc_id", "text", F.xxhash64(F.lit(options.seed), F.col("doc_id")).alias("key"))
-    return rows.mapInArrow(encode, f"doc_id {kind}, {SAMPLE}")
+    return rows.mapInArrow(encode, f"doc_id {kind}, {SAMPLE}" + ", decoded string" * read_back)
+
+
+def text_of(ids: np.ndarray, vocabulary: Vocabulary) -> str:
+    return vocabulary.spelled(ids).removeprefix(b" ").decode(errors="replace")
 
 
 def decode(samples: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -221,8 +230,7 @@ def decode(samples: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             lists, out = batch["ids"], []
             offsets, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             for i, ok in enumerate(lists.is_valid().to_pylist()):
-                spelled = vocabulary.spelled(ids[offsets[i] : offsets[i + 1]])
-                out.append(spelled.removeprefix(b" ").decode(errors="replace") if ok else None)
+                out.append(text_of(ids[offsets[i] : offsets[i + 1]], vocabulary) if ok else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "decoded"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema)
@@ -231,7 +239,7 @@ def decode(samples: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def sampled(docs: DataFrame, vocabulary: Vocabulary, options: SampleOptions) -> DataFrame:
     """Samples with a digest of the ids and of the text that they spell."""
-    rows = decode(sample(docs, vocabulary, options), vocabulary)
+    rows = sample(docs, vocabulary, options, read_back=True)
     return rows.select(
         "doc_id", "rank", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
         "log_prob", "perturbed", "inclusion", F.md5("decoded").alias("decoded_md5"))
