@@ -38,7 +38,7 @@ class JoinOptions:
     trees: int = 12
     depths: tuple[int, ...] = (5, 3, 2, 1)
     recall: float = 0.999
-    block: int = 128  # texts that meet at once; larger buckets are verified in pairs of blocks
+    block: int = 512  # texts that meet at once; larger buckets are verified in pairs of blocks
     broadcast_rows: int = 500_000  # keys of 16 bytes that may be broadcast after their number is known
 
     def found(self, similarity: float, depth: int) -> float:
