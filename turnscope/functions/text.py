@@ -140,7 +140,6 @@ def resembling(a: str, b: str, threshold: float) -> bool:
     return a == b or reaches(difflib.SequenceMatcher(None, a, b), threshold)
 
 
-@F.pandas_udf(T.BooleanType())
 def _resembles(a: pd.Series, b: pd.Series, threshold: pd.Series) -> pd.Series:
     """Whether similarity(a, b) >= threshold. Second texts are prepared once each per batch."""
     out = [False] * len(a)
@@ -157,12 +156,20 @@ def _resembles(a: pd.Series, b: pd.Series, threshold: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-# declared nondeterministic so that the optimizer leaves it above the repartition that feeds it
-resembles = _resembles.asNondeterministic()
+def resembles(a: ColumnOrName, b: ColumnOrName, threshold: Column) -> Column:
+    """Declared nondeterministic so that the optimizer leaves it above the repartition that feeds it.
 
+    The function is wrapped per use: a wrapped one holds on to its session, and streaming code that is sent to
+    executors refers to this module.
+    """
+    return F.pandas_udf(_resembles, T.BooleanType()).asNondeterministic()(a, b, threshold)
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+
+def similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
+    return F.pandas_udf(_similarity, T.DoubleType())(a, b)
+
+
+def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio of two short texts; argument order matters."""
     seen: dict[tuple[str, str], float] = {}
     out = []

@@ -22,13 +22,14 @@ def with_actions(fires: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def fire_routing(
-    fires: DataFrame, catalogue: DataFrame, phase: int = 3, budget: int = V.MAX_ASKS_PER_SESSION
+    fires: DataFrame, catalogue: DataFrame, phase: int = 3, budget: int | None = None
 ) -> DataFrame:
     """Decide each fire: surfaced, deduped, or suppressed and why.
 
     A cause counts once per session. Asks are budgeted by a running count of first occurrences
     that have something to say.
     """
+    budget = C.ask_budget() if budget is None else budget
     acted = with_actions(fires, catalogue)
     silent = F.col("action").isin("augment", "skip")
     firsts = (

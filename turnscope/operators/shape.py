@@ -190,6 +190,9 @@ def allowed_tools(events: DataFrame) -> DataFrame:
     )
 
 
+BLOCKS_PER_LINE = 1 << 24  # more than a line of a gigabyte can hold; a message follows the blocks of its line
+
+
 def to_facts(events: DataFrame) -> DataFrame:
     """The fact stream every other operator reads, from ordered transcript lines."""
     events = self_injection_guard(events)
@@ -198,13 +201,13 @@ def to_facts(events: DataFrame) -> DataFrame:
 
     def fact(rows: DataFrame, kind: str, sub: int | Column = 0, ref=blank, op=blank, text=blank, ts="ts") -> DataFrame:
         return rows.select(
-            "sid", F.col(ts).alias("ts"), (F.col("seq") * 1000 + sub).alias("seq"), "chunk",
+            "sid", F.col(ts).alias("ts"), (F.col("seq") * BLOCKS_PER_LINE + sub).alias("seq"), "chunk",
             F.lit(kind).alias("kind"), ref.alias("ref"), op.alias("op"), text.alias("text"))
 
     c = F.col
     later = notes.withColumn("when", F.greatest("ts", "when"))
     parts = [
-        fact(human_messages(events), "message", 900, text=c("text")),
+        fact(human_messages(events), "message", BLOCKS_PER_LINE - 1, text=c("text")),
         fact(queue_operations(events), "queue", op=c("op"), text=c("content")),
         fact(calls.where("kind = 'launch'"), "launch", c("pos"), ref=c("id")),
         fact(calls.where("kind = 'question'"), "question", c("pos"), ref=c("id")),

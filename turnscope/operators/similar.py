@@ -1,8 +1,8 @@
 """Exact similarity search inside a session.
 
 Pairs are never listed for their own sake: texts are made distinct first and meet only inside
-neighbouring length buckets, a bound from the lengths is checked in the join, and one from
-character counts before the full comparison. Every discarded pair is proven below the threshold,
+neighbouring length buckets, and bounds from the lengths and from the counts of letters are checked
+before the full comparison. Every discarded pair is proven below the threshold,
 so no match is lost.
 """
 
@@ -27,24 +27,44 @@ def reach(threshold: float) -> int:
     return math.ceil(math.log((2 - threshold) / threshold) / math.log(BUCKET_BASE))
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz "
+SALTS = 8  # parts of a pool that meet the same probes in different tasks
+
+
+def letter_counts(c: str) -> Column:
+    """How often each letter occurs, and how many characters are none of them."""
+    counts = [F.length(c) - F.length(F.translate(c, x, "")) for x in LETTERS]
+    return F.array(*counts, F.length(F.translate(c, LETTERS, "")))
+
+
+def shared_bound(a: str, b: str, counts_a: str, counts_b: str) -> Column:
+    """An upper bound on similarity: no more characters can match than both texts hold."""
+    common = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    return 2.0 * common / F.greatest(F.length(a) + F.length(b), F.lit(1))
+
+
 def resemblance(probes: DataFrame, pool: DataFrame, threshold: float, early_only: bool) -> DataFrame:
     """Per probe: ``hit_idx``, the earliest pool entry that equals or resembles it, and ``hits``,
     how many do. Probes without any are absent.
 
     probes: sid, a, upto (distinct); pool: sid, b, first_idx (distinct per sid, b).
-    ``early_only`` looks no further than first_idx <= upto. Pairs are tested where they are joined
-    and only the minimum per probe is shuffled.
+    ``early_only`` looks no further than first_idx <= upto. A session's pool is dealt over SALTS
+    parts, so its pairs arise in several tasks; only the minimum per probe is shuffled.
     """
     steps = reach(threshold)
     left = probes.select(
-        "*", F.explode(F.sequence(bucket("a") - steps, bucket("a") + steps)).alias("bucket")
-    )
-    right = pool.select("sid", "b", "first_idx", bucket("b").alias("bucket"))
-    pairs = left.join(right, ["sid", "bucket"])
+        "*", letter_counts("a").alias("_ca"),
+        F.explode(F.sequence(bucket("a") - steps, bucket("a") + steps)).alias("bucket"),
+    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    right = pool.select(
+        "sid", "b", "first_idx", letter_counts("b").alias("_cb"), bucket("b").alias("bucket"),
+        F.pmod(F.hash("b"), F.lit(SALTS)).alias("salt"))
+    pairs = left.join(right, ["sid", "bucket", "salt"])
     if early_only:
         pairs = pairs.where("first_idx <= upto")
-    near = pairs.where(X.length_bound(F.length("a"), F.length("b")) >= threshold).select(
-        "sid", "a", "upto", "b", "first_idx")
+    near = pairs.where(X.length_bound(F.length("a"), F.length("b")) >= threshold).where(
+        (F.col("a") == F.col("b")) | (shared_bound("a", "b", "_ca", "_cb") >= threshold)
+    ).select("sid", "a", "upto", "b", "first_idx")
     # scoring costs far more than moving a pair, so pairs are spread evenly: one hot session's
     # pairs then use every core
     spread = near.repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from turnscope.functions import text as X
 from turnscope.functions import vocab as V
 from turnscope.oracle.base import (
     ANY_SIGNAL, HUMAN_OP, SIGNAL_LIST, SIGNAL_VALUES, action_case, capture_query,
     lit, matches, mid, query, refs, sha12, squash, template, tokens,
 )
+from turnscope.sources import catalogue as C
 from turnscope.sources.views import EPOCH_US
 
 FIRE = "sid, idx, rule, key, why, detail, array_to_string(subject, ' ') AS subject"
@@ -282,8 +285,16 @@ def rules() -> dict[str, str]:
     }
 
 
+def rule_params() -> str:
+    """Built-in values, where the catalogue has none of its own."""
+    given = {r["id"]: r.get("params") or {} for r in json.loads(C.PACKAGED.read_text())["rules"]}
+    rows = [(r, n, v if given.get(r, {}).get(n) is None else given[r][n]) for (r, n), v in V.DEFAULT_PARAMS.items()]
+    return f"SELECT * FROM (VALUES {', '.join(f'({lit(r)}, {lit(n)}, {float(v)}::DOUBLE)' for r, n, v in rows)}) AS p(rule, name, value)"
+
+
 def routing() -> dict[str, str]:
     return {
+        "rule_params": rule_params(),
         "rule_actions": with_(REFRESHED, f"SELECT rule, {action_case()} AS runtime_action FROM refreshed"),
         "fire_routing": with_(ROUTED, "SELECT sid, idx, rule, key, action, surfaced, deduped, suppressed, pending_verdict FROM routed"),
         "render_injections": with_(RENDERED, "SELECT sid, idx, rule, key, text FROM rendered"),

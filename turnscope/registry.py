@@ -34,7 +34,8 @@ class Tables:
 
     @cached_property
     def inputs(self) -> rules.Inputs:
-        return rules.Inputs(self.log, views.known_refs(self.messages), views.url_probes(self.log))
+        return rules.Inputs(
+            self.log, views.known_refs(self.messages), views.url_probes(self.log), C.params_of(self.catalogue))
 
     def share(self) -> Tables:
         """For queries with many branches: write the marked log once instead of deriving it each
@@ -299,6 +300,7 @@ RULES: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 ROUTING: dict[str, Callable[[Tables], DataFrame]] = {
+    "rule_params": lambda t: C.rule_params(t.catalogue),
     "rule_actions": lambda t: C.rule_actions(t.refreshed),
     "fire_routing": lambda t: t.routed.select("sid", "idx", "rule", "key", "action", "surfaced", "deduped", "suppressed", "pending_verdict"),
     "render_injections": lambda t: routing.render_injections(t.routed).select("sid", "idx", "rule", "key", "text"),

@@ -65,6 +65,15 @@ def engine_setting(path: str, default: float) -> float:
     return node if isinstance(node, type(default)) else default
 
 
+def ask_budget() -> int:
+    return engine_setting("max_asks_per_session", V.MAX_ASKS_PER_SESSION)
+
+
+def params_of(catalogue: DataFrame) -> dict[tuple[str, str], float]:
+    """The trigger parameters by (rule, name): a dozen rows on the driver."""
+    return {(r["rule"], r["name"]): r["value"] for r in rule_params(catalogue).collect()}
+
+
 def rule_params(catalogue: DataFrame) -> DataFrame:
     """Every trigger parameter: the catalogue's value, else the built-in default."""
     given = catalogue.where("params IS NOT NULL").select("rule", F.explode("params").alias("name", "given"))
@@ -78,8 +87,13 @@ def rule_params(catalogue: DataFrame) -> DataFrame:
     )
 
 
-def action(ceiling: float = V.PRECISION_CEILING, floor: float = V.PRECISION_FLOOR) -> Column:
-    """What to do with a rule's fires, from its declared action and measured precision."""
+def action(ceiling: float | None = None, floor: float | None = None) -> Column:
+    """What to do with a rule's fires, from its declared action and measured precision.
+
+    Bounds that are not given come from the catalogue's engine settings.
+    """
+    ceiling = engine_setting("precision_ceiling", V.PRECISION_CEILING) if ceiling is None else ceiling
+    floor = engine_setting("precision_floor", V.PRECISION_FLOOR) if floor is None else floor
     trusted = (F.col("basis") == V.TRUSTED_BASIS) | (F.col("hand_labelled") > 0)
     measured = F.col("precision").isNotNull() & F.coalesce(trusted, F.lit(False))
     return (

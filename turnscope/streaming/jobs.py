@@ -113,9 +113,11 @@ def session_features(facts: DataFrame) -> DataFrame:
     )
 
 
-def route_session(stream: DataFrame, policies: dict[str, session.Policy], budget: int) -> DataFrame:
+def route_session(
+    stream: DataFrame, policies: dict[str, session.Policy], budget: int, params: dict[tuple[str, str], float] = V.DEFAULT_PARAMS,
+) -> DataFrame:
     return session_features(stream).groupBy("sid").transformWithStateInPandas(
-        session.Session(policies, budget), session.OUT, "Append", "None")
+        session.Session(policies, budget, params), session.OUT, "Append", "None")
 
 
 def catalogue_policies(catalogue: DataFrame) -> dict[str, session.Policy]:
@@ -127,7 +129,7 @@ def catalogue_policies(catalogue: DataFrame) -> dict[str, session.Policy]:
 def routed_stream(t) -> DataFrame:
     stateful(t.spark)
     facts = t.log.select("sid", "ts", "seq", "us", "kind", "ref", "op", "text")
-    out = route_session(replay(t.spark, facts), catalogue_policies(t.catalogue), V.MAX_ASKS_PER_SESSION)
+    out = route_session(replay(t.spark, facts), catalogue_policies(t.catalogue), C.ask_budget(), C.params_of(t.catalogue))
     return run(t.spark, out, "session")
 
 

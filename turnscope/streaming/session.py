@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from turnscope.functions import text as X
-from turnscope.functions import vocab as V
 
 OUT = (
     "sid string, seq bigint, idx bigint, kind string, rule string, key string, surfaced boolean, "
@@ -64,8 +63,8 @@ class Policy:
 class Session(StatefulProcessor):
     """Rules over running state, routing and reply verdicts for one session."""
 
-    def __init__(self, policies: dict[str, Policy], budget: int):
-        self.policies, self.budget = policies, budget
+    def __init__(self, policies: dict[str, Policy], budget: int, params: dict[tuple[str, str], float]):
+        self.policies, self.budget, self.params = policies, budget, params
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         # what is open now: read and written once per micro-batch
@@ -165,12 +164,12 @@ class Session(StatefulProcessor):
         """Whether neither the message now sent nor any earlier one resembles a withdrawn draft."""
         if draft == text or self.said.containsKey((draft,)):
             return False
-        least = V.DEFAULT_PARAMS["R01", "similarity"]
+        least = self.params["R01", "similarity"]
         return not any(X.resembling(draft, said, least) for said in (text, *(k[0] for k in self.said.keys())))
 
     def repeats_last(self, r) -> bool:
         """Whether the message nearly repeats the one before it."""
-        p = {name: value for (rule, name), value in V.DEFAULT_PARAMS.items() if rule == "R07"}
+        p = {name: value for (rule, name), value in self.params.items() if rule == "R07"}
         if self.last_text is None or min(len(self.last_text), len(r.text)) < p["min_chars"]:
             return False
         timed = self.last_us is not None and r.us is not None and r.us == r.us
