@@ -15,6 +15,7 @@ import functools
 import math
 import operator
 from dataclasses import dataclass
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ class FitOptions:
     """Bounds of the fit. ``max_rows`` labelled rows at most are expected in the sample (drawn by a hash of the id)."""
 
     max_rows: int = 20_000
-    cuts: int = 24
+    cuts: int = 48  # quantiles of a feature; thresholds lie halfway between different ones
     max_rules: int = 8
     max_conditions: int = 3
     min_precision: float = 0.9
@@ -157,9 +158,10 @@ def learn(sample: DataFrame, options: FitOptions = FitOptions()) -> list[Rule]:
     row = sample.agg(*[F.percentile_approx(f, steps, 10_000).alias(f) for f in FEATURES]).first()
     if row is None or row[FEATURES[0]] is None:
         return []
-    cuts = {f: sorted({float(x) for x in row[f]}) for f in FEATURES}
+    seen = {f: sorted({float(x) for x in row[f]}) for f in FEATURES}
+    cuts = {f: [(a + b) / 2 for a, b in pairwise(values)] for f, values in seen.items()}
     binned = F.array(*[
-        F.struct(F.lit(f).alias("f"), functools.reduce(operator.add, [(F.col(f) > c).cast("int") for c in cuts[f]]).alias("b"))
+        F.struct(F.lit(f).alias("f"), sum([(F.col(f) > c).cast("int") for c in cuts[f]], F.lit(0)).alias("b"))
         for f in FEATURES
     ])
     rules: list[Rule] = []
