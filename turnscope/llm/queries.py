@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from turnscope.llm.byte_cnn import op3_quality_classifier
+from turnscope.llm.chat import SQL as CHAT_SQL
 from turnscope.llm.chat import op8_chat
 from turnscope.llm.decontaminate import op5_decontaminate
 from turnscope.llm.jaccard_join import op1_jaccard_join
@@ -29,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": LINE_DEDUP_SQL}
+    return {"op7_line_dedup": LINE_DEDUP_SQL, "op8_chat": CHAT_SQL}
