@@ -15,12 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnscope.functions import vocab as V
 from turnscope.plans.ordered import flag, scan, with_chunks
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 NATIVE_WORK_BYTES = 1 << 26
-SLICE_BYTES = 1 << 24
 # capture numbers are ordered as 16-digit text; hot sessions are cut every 10^4, 10^3 or 10^2
 NUMBER_WIDTHS = (12, 13, 14)
 
@@ -109,16 +107,21 @@ def base_contents(bases: DataFrame, captures: DataFrame) -> DataFrame:
 
 
 def running_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each row (sid, epoch, base, offsets): SHA-256 and line feeds of every prefix, one pass."""
+    """Rows come sorted by (sid, epoch, bytes), each base before its offsets: one running digest per base.
+
+    Only the base at hand is kept between batches, so every byte is hashed once, however many offsets there are.
+    """
+    base, digest, done, lines = b"", hashlib.sha256(), 0, 0
     for batch in batches:
         rows = []
-        for sid, epoch, base, offsets in zip(batch["sid"], batch["epoch"], batch["base"], batch["offsets"]):
-            view, digest, done, lines = memoryview(base), hashlib.sha256(), 0, 0
-            for end in offsets:
-                digest.update(view[done:end])
-                lines += base.count(b"\n", done, end)
-                done = end
-                rows.append((sid, epoch, end, digest.copy().hexdigest(), lines))
+        for sid, epoch, end, content in zip(batch["sid"], batch["epoch"], batch["bytes"], batch["base"], strict=True):
+            if end < 0:
+                base, digest, done, lines = content, hashlib.sha256(), 0, 0
+                continue
+            digest.update(memoryview(base)[done:end])
+            lines += base.count(b"\n", done, end)
+            done = end
+            rows.append((sid, epoch, end, digest.copy().hexdigest(), lines))
         yield pd.DataFrame(rows, columns=["sid", "epoch", "bytes", "prefix_sha", "prefix_lines"])
 
 
@@ -129,9 +132,8 @@ def prefix_digests(bases: DataFrame, offsets: DataFrame, native_bytes: int = NAT
     """SHA-256 and line feeds of base prefixes.
 
     bases: sid, epoch, base, base_bytes; offsets: sid, epoch, bytes. Where hashing every prefix on
-    its own is cheap (offsets x base bytes), ``sha2`` on a slice does it. Otherwise the base is
-    hashed once per slice of offsets with a running digest; a slice holds at most SLICE_BYTES
-    distinct offsets whatever the number of captures.
+    its own is cheap (offsets x base bytes), ``sha2`` on a slice does it. Otherwise base and offsets
+    meet sorted in one task, and one running digest passes over the base once.
     """
     wanted = offsets.select("sid", "epoch", "bytes").distinct()
     counts = wanted.groupBy("sid", "epoch").agg(F.count("*").alias("_n"))
@@ -143,16 +145,11 @@ def prefix_digests(bases: DataFrame, offsets: DataFrame, native_bytes: int = NAT
         newlines(prefix).cast("long").alias("prefix_lines"),
     )
     large_bases = sized.where(~cheap)
-    slices = (
-        wanted.join(large_bases.select("sid", "epoch", "base_bytes"), ["sid", "epoch"])
-        .where("bytes <= base_bytes")
-        .groupBy("sid", "epoch", F.floor(F.col("bytes") / SLICE_BYTES).alias("slice"))
-        .agg(F.array_sort(F.collect_list("bytes")).alias("offsets"))
-    )
-    large = (
-        slices.join(large_bases, ["sid", "epoch"]).select("sid", "epoch", "base", "offsets")
-        .mapInPandas(running_digests, DIGESTS)
-    )
+    due = wanted.join(large_bases.select("sid", "epoch", "base_bytes"), ["sid", "epoch"]).where("bytes <= base_bytes")
+    rows = large_bases.select("sid", "epoch", F.lit(-1).cast("long").alias("bytes"), "base").unionByName(
+        due.select("sid", "epoch", "bytes", F.lit(None).cast("binary").alias("base")))
+    together = rows.repartition("sid", "epoch").sortWithinPartitions("sid", "epoch", "bytes")
+    large = together.mapInPandas(running_digests, DIGESTS)
     return small.unionByName(large)
 
 
@@ -400,7 +397,3 @@ def capture_deltas(captures: DataFrame) -> DataFrame:
         (F.col("lines") - F.col("d.a.lines")).alias("lines_delta"),
         ((F.col("captured_us") - F.col("d.a.captured_us")) / 1e6).alias("seconds"),
     )
-
-
-def known_event(c: str = "event") -> Column:
-    return F.col(c).isin(*V.CAPTURE_EVENTS)
