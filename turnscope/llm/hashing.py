@@ -48,12 +48,21 @@ class Powers:
 POWERS = {seed: Powers(base) for seed, base in ((1, 0x5851F42D4C957F2D), (2, 0x14057B7EF767814F | 1))}
 
 
+class Sums:
+    """Prefix sums of values times powers, from which the hash of any range is a difference."""
+
+    def __init__(self, values: np.ndarray, seed: int = 1):
+        up, self.down = POWERS[seed].take(len(values) + 1)
+        self.seed, self.sums = seed, np.zeros(len(values) + 1, U64)
+        np.cumsum(values * up[:-1], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U64), self.seed)
+
+
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """A hash of ``values[start:end]`` for every range: differences of prefix sums of values times powers."""
-    up, down = POWERS[seed].take(len(values) + 1)
-    sums = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[:-1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64), seed)
+    """A hash of ``values[start:end]`` for every range."""
+    return Sums(values, seed).of(starts, ends)
 
 
 def blocks(texts: list[bytes], size: int = BLOCK) -> Iterator[tuple[int, int]]:

@@ -18,12 +18,45 @@ from turnscope.llm import hashing as H
 MARK = "\N{LOWER ONE EIGHTH BLOCK}"
 
 
+@dataclass
+class Table:
+    """The pieces of one length by hash. Two small tables rule out most places before any search: which pairs of first
+    and last byte occur, and which leading bits of hashes."""
+
+    hashes: np.ndarray
+    ids: np.ndarray
+    edges: np.ndarray
+    leads: np.ndarray
+
+    @classmethod
+    def of(cls, surfaces: list[bytes], ids: np.ndarray) -> Table:
+        length = len(surfaces[0])
+        body = np.frombuffer(b"".join(surfaces), np.uint8)
+        starts = np.arange(len(ids)) * length
+        hashes = H.range_hashes(H.BYTE_VALUES[body], starts, starts + length)
+        order = np.argsort(hashes)
+        edges, leads = np.zeros(65536, bool), np.zeros(65536, bool)
+        edges[body[starts].astype(np.int64) << 8 | body[starts + length - 1]] = True
+        leads[hashes >> np.uint64(48)] = True
+        return cls(hashes[order], ids[order], edges, leads)
+
+    def find(self, places: np.ndarray, length: int, body: np.ndarray, values: H.Sums) -> tuple[np.ndarray, np.ndarray]:
+        """The places where a piece of this length begins, and the pieces."""
+        places = places[self.edges[body[places].astype(np.int64) << 8 | body[places + length - 1]]]
+        keys = values.of(places, places + length)
+        likely = self.leads[keys >> np.uint64(48)]
+        places, keys = places[likely], keys[likely]
+        spot = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
+        hit = self.hashes[spot] == keys
+        return places[hit], self.ids[spot[hit]]
+
+
 @dataclass
 class Vocabulary:
     """Surface bytes of every id and the log weight of the ids that may be used, with lookup tables by length."""
 
     surfaces: list[bytes]
-    tables: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> sorted hashes, their ids
+    tables: dict[int, Table]  # by length
     weights: np.ndarray
     byte_ids: np.ndarray
     letters: frozenset[str]  # characters that are pieces
@@ -64,13 +97,7 @@ class Vocabulary:
         by_length: dict[int, list[int]] = {}
         for i in usable:
             by_length.setdefault(len(surfaces[i]), []).append(i)
-        tables = {}
-        for length, ids in sorted(by_length.items()):
-            body = np.frombuffer(b"".join(surfaces[i] for i in ids), np.uint8)
-            starts = np.arange(len(ids)) * length
-            hashes = H.range_hashes(H.BYTE_VALUES[body], starts, starts + length)
-            order = np.argsort(hashes)
-            tables[length] = hashes[order], np.array(ids, np.int32)[order]
+        tables = {n: Table.of([surfaces[i] for i in ids], np.array(ids, np.int32)) for n, ids in sorted(by_length.items())}
         letters = frozenset(x for i in usable if len(x := surfaces[i].decode()) == 1)
         return cls(surfaces, tables, weights, byte_ids, letters)
 
@@ -126,17 +153,15 @@ class Lattice:
 
     def _edges(self, body: np.ndarray, limit: np.ndarray, chunks: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, ...]:
         at = np.arange(len(body))
-        values = H.BYTE_VALUES[body]
+        values = H.Sums(H.BYTE_VALUES[body])
         found = []
         room = limit - at
-        for length, (hashes, ids) in sorted(vocabulary.tables.items(), reverse=True):
+        for length, table in sorted(vocabulary.tables.items(), reverse=True):
             places = np.flatnonzero(room >= length)
             if not len(places):
                 continue
-            keys = H.range_hashes(values, places, places + length)
-            spot = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-            hit = hashes[spot] == keys
-            found.append((places[hit].astype(np.int32), np.full(hit.sum(), length, np.int32), ids[spot[hit]]))
+            places, piece = table.find(places, length, body, values)
+            found.append((places.astype(np.int32), np.full(len(places), length, np.int32), piece))
         spelled = self._spelled(body, chunks, vocabulary)
         found.append((spelled, np.ones(len(spelled), np.int32), vocabulary.byte_ids[body[spelled]]))
         return tuple(np.concatenate([f[i] for f in found]) for i in range(3))

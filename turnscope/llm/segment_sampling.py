@@ -32,6 +32,7 @@ from turnscope.llm.lattice import Lattice, Vocabulary, chunks_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 WORD = (1 << 64) - 1
+BLOCK = 1 << 20  # a larger block shares more lattices between equal chunks
 U64 = np.uint64
 
 
@@ -195,7 +196,7 @@ def sample(docs: DataFrame, vocabulary: Vocabulary, options: SampleOptions = Sam
         for batch in batches:
             texts = H.texts_of(batch["text"])
             keys = batch["key"].to_numpy().view(U64)
-            for a, b in H.blocks(texts):
+            for a, b in H.blocks(texts, BLOCK):
                 row, rank, ids, logs, values, shares = [], [], [], [], [], []
                 for i, (found, threshold, lattice) in enumerate(sample_block(texts[a:b], keys[a:b], vocabulary, options)):
                     for r, drawn in enumerate(found, 1):
