@@ -97,7 +97,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     twice = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated-runs")
     places = read.mapInArrow(
         lambda it: run_batches(it, True), f"id {id_type}, page long, at long, key long, check long")
-    found = materialize(places.join(twice, "key").dropDuplicates(["id", "page", "at", "key", "check"]), "run-places")
+    # nothing else may ask for rows by key here, or Spark could not split a hot key's join
+    found = materialize(places.join(twice, "key"), "run-places")
     first = found.groupBy("key", "check").agg(F.min(F.struct("id", "page", "at")).alias("first"))
     again = found.join(first, ["key", "check"]).where(~F.struct("id", "page", "at").eqNullSafe(F.col("first")))
     return again.groupBy("id", "page").agg(F.collect_set("at").alias("gone"))
