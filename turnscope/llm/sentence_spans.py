@@ -99,7 +99,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         lambda it: run_batches(it, True), f"id {id_type}, page long, at long, key long, check long")
     # nothing else may ask for rows by key here, or Spark could not split a hot key's join
     found = materialize(places.join(twice, "key"), "run-places")
-    first = found.groupBy("key", "check").agg(F.min(F.struct("id", "page", "at")).alias("first"))
+    # written, for the same reason
+    first = materialize(found.groupBy("key", "check").agg(F.min(F.struct("id", "page", "at")).alias("first")), "run-firsts")
     again = found.join(first, ["key", "check"]).where(~F.struct("id", "page", "at").eqNullSafe(F.col("first")))
     return again.groupBy("id", "page").agg(F.collect_set("at").alias("gone"))
 
