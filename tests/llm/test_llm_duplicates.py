@@ -82,6 +82,20 @@ def test_sentence_spans(spark):
     assert sentence_spans.dedup_spans(documents(spark, [])).count() == 0
 
 
+def test_sentence_spans_of_one_sentence(spark):
+    rng = random.Random(8)
+    long, bare, han = prose(rng, 60), prose(rng, 25), "".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(60))
+    hindi = [f"{prose(rng, 12)}।" for _ in range(3)]
+    chinese = [f"{han[i : i + 15]}。" for i in range(0, 60, 15)]
+    texts = [f"{prose(rng, 9)}. {long}. {prose(rng, 9)}." for _ in range(3)]  # between sentences of their own
+    texts += [bare, bare, f"{prose(rng, 9)}. {bare}. {prose(rng, 9)}."]  # copies without stops; a short sentence
+    texts += [prose(rng, 9) + "।" + "".join(hindi) + prose(rng, 9) for _ in range(2)]
+    texts += [f"前{i}。" + "".join(chinese) + f"{i}後！！" for i in range(2)]
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in sentence_spans.dedup_spans(documents(spark, texts)).collect()}
+    assert [got[i][:2] for i in range(len(texts))] == [(3, 0), (3, 1), (3, 1), (1, 0), (1, 1), (3, 0), (5, 0), (5, 3), (6, 0), (6, 4)]
+    assert long not in got[1][2] and long not in got[2][2] and got[4][2] == "" and got[9][2] == "前1。1後！！"
+
+
 def edited(rng, text, edits):
     w = text.split()
     for _ in range(edits):

@@ -2,7 +2,8 @@
 
 From every sentence two runs of several consecutive sentences are hashed: the shortest that begins with it and the
 shortest that ends with it, of at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words. So inside a repeated
-passage every sentence belongs to runs that repeat with it. Runs are joined over the whole corpus; where one occurs
+passage every sentence belongs to runs that repeat with it. A sentence of more than ``LONG_WORDS`` words is a run alone,
+and so is one of ``MIN_WORDS`` words that is a whole text. Runs are joined over the whole corpus; where one occurs
 again, the first occurrence in the order of (id, text hash, position) stays and the sentences of all others are removed.
 
 First the hashes alone are counted; only occurrences of repeated ones are joined, with a second, independent hash.
@@ -28,18 +29,43 @@ from turnscope.session import materialize
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
+LONG_WORDS = 50
 STOPS = np.zeros(256, bool)
 STOPS[[ord("."), ord("!"), ord("?")]] = True
+WIDE = [c.encode() for c in "。｡！？।॥۔؟։።။។"]  # these need no blank behind them
+WIDE_CODES = np.array([int.from_bytes(c.ljust(3, b"\0")) for c in WIDE])
+WIDE_LEADS = np.zeros(256, bool)
+WIDE_LEADS[[c[0] for c in WIDE]] = True
+
+
+def wide_stops(body: np.ndarray) -> np.ndarray:
+    """Last bytes of the stops beyond ASCII, of several in a row those of the last."""
+    first = np.flatnonzero(WIDE_LEADS[body])
+    a, b, c = (body[np.minimum(first + k, len(body) - 1)].astype(np.int64) for k in range(3))
+    size = np.where(a >= 0xE0, 3, 2)
+    stop = np.isin(a << 16 | b << 8 | np.where(size == 3, c, 0), WIDE_CODES)
+    first, after = first[stop], (first + size)[stop]
+    return after[~np.isin(after, first)] - 1
+
+
+def word_starts(body: np.ndarray, sentences: np.ndarray) -> np.ndarray:
+    """Where words begin: behind blanks, with a sentence, and with every Chinese or Japanese character."""
+    begin = np.concatenate(([True], H.SPACE[body[:-1]])) & ~H.SPACE[body]
+    begin |= (body >= 0xE4) & (body <= 0xE9)
+    begin[:-1] |= (body[:-1] == 0xE3) & (body[1:] > 0x80)
+    begin[sentences] = True
+    return begin
 
 
 def sentence_ranges(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte ranges of the sentences of a block, without blanks around them.
 
-    A sentence ends at a newline, or at a stop before a blank.
+    A sentence ends at a newline, at a stop before a blank, or at a stop beyond ASCII.
     """
     blank = H.SPACE[body]
     ends = body == 0x0A
     ends[:-1] |= STOPS[body[:-1]] & blank[1:]
+    ends[wide_stops(body)] = True
     limits = np.flatnonzero(ends) + 1  # the block ends with a newline
     solid = np.flatnonzero(~blank)
     if not len(solid):
@@ -60,7 +86,9 @@ def runs(words: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarra
     end = np.maximum(np.searchsorted(total, total[at] + MIN_WORDS), at + MIN_SENTENCES)
     start = np.minimum(np.searchsorted(total, total[at + 1] - MIN_WORDS, "right") - 1, at + 1 - MIN_SENTENCES)
     ahead, back = end <= limit, start >= floor
-    pairs = np.unique(np.concatenate((at[ahead] * (n + 1) + end[ahead], start[back] * (n + 1) + at[back] + 1)))
+    alone = at[(words > LONG_WORDS) | ((limit - floor == 1) & (words >= MIN_WORDS))]
+    pairs = np.unique(np.concatenate((
+        at[ahead] * (n + 1) + end[ahead], start[back] * (n + 1) + at[back] + 1, alone * (n + 1) + alone + 1)))
     return pairs // (n + 1), pairs % (n + 1)
 
 
@@ -69,7 +97,7 @@ def block_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     body, offsets = H.joined(texts)
     starts, ends = sentence_ranges(body)
     document = np.searchsorted(offsets, starts, "right") - 1
-    begun = np.concatenate(([0], np.cumsum(~H.SPACE[body] & np.concatenate(([True], H.SPACE[body[:-1]])))))
+    begun = np.concatenate(([0], np.cumsum(word_starts(body, starts))))
     first, end = runs(begun[ends] - begun[starts], document)
     values = H.BYTE_VALUES[body]
     keys = [H.range_hashes(H.mixed(H.range_hashes(values, starts, ends, s), s), first, end, s) for s in (1, 2)]
