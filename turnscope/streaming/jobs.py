@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,36 +61,36 @@ def stateful(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def write_slices(rows: DataFrame, path: str, slices: int = SLICES) -> None:
-    """Store rows in time order as a few appends, the way a log grows.
+def time_slices(rows: DataFrame, slices: int = SLICES) -> list[DataFrame]:
+    """The rows in time order as a few parts, the way a log grows.
 
-    The cuts divide the span of the data itself; rows without a time come first. Every write is a plain filter and
-    keeps the session's rows of a slice together in one of several files.
+    The cuts divide the span of the data itself; rows without a time come first.
     """
     span = rows.agg(F.min("us").alias("low"), F.max("us").alias("high")).first()
     low, step = span.low or 0, ((span.high or 0) - (span.low or 0)) // slices + 1
     n = F.coalesce(F.floor((F.col("us") - low) / step), F.lit(0))
-    for i in range(slices):
-        rows.where(n == i).repartition("sid").write.mode("append").parquet(path)
-
+    return [rows.where(n == i) for i in range(slices)]
 
-def replay(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """The rows as a stream: about one slice per trigger, oldest files first."""
-    path = scratch_path(spark, "stream-in")
-    write_slices(rows, path)
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
+def replay(spark: SparkSession, rows: DataFrame, plan: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Run a plan over the rows as a stream into a table of files, and read that table.
 
-def run(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what is available into a table of files, and read that table."""
-    path, checkpoint = scratch_path(spark, name), scratch_path(spark, name + "-checkpoint")
-    query = (
-        out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(out.schema).parquet(path)
+    A slice is appended and then taken whole by one trigger, however many files it has: every run goes on from the
+    checkpoint of the one before. So the watermark never passes rows of a slice that is not read to its end.
+    """
+    source, sink, checkpoint = (scratch_path(spark, name + end) for end in ("-in", "", "-checkpoint"))
+    for part in time_slices(rows):
+        part.repartition("sid").write.mode("append").parquet(source)
+        out = plan(spark.readStream.schema(rows.schema).parquet(source))
+        query = (
+            out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        late = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+        if late:
+            raise RuntimeError(f"{name}: {late} rows came after the watermark and were dropped")
+    return spark.read.schema(out.schema).parquet(sink)
 
 
 def sequence(stream: DataFrame) -> DataFrame:
@@ -129,8 +131,8 @@ def catalogue_policies(catalogue: DataFrame) -> dict[str, session.Policy]:
 def routed_stream(t) -> DataFrame:
     stateful(t.spark)
     facts = t.log.select("sid", "ts", "seq", "us", "kind", "ref", "op", "text")
-    out = route_session(replay(t.spark, facts), catalogue_policies(t.catalogue), C.ask_budget(), C.params_of(t.catalogue))
-    return run(t.spark, out, "session")
+    policies, params = catalogue_policies(t.catalogue), C.params_of(t.catalogue)
+    return replay(t.spark, facts, lambda stream: route_session(stream, policies, C.ask_budget(), params), "session")
 
 
 def stream_rules(t) -> DataFrame:
@@ -149,7 +151,7 @@ def stream_verdicts(t) -> DataFrame:
 
 def stream_sequence(t) -> DataFrame:
     stateful(t.spark)
-    return run(t.spark, sequence(replay(t.spark, t.log.select("sid", "ts", "seq", "us"))), "sequence")
+    return replay(t.spark, t.log.select("sid", "ts", "seq", "us"), sequence, "sequence")
 
 
 def dedupe(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -162,7 +164,7 @@ def stream_dedupe(t) -> DataFrame:
     stateful(t.spark)
     rows = t.log.select("sid", "seq", "us", "kind")
     doubled = rows.unionByName(rows.where("seq % 10 = 0"))
-    return run(t.spark, dedupe(replay(t.spark, doubled)), "dedupe").groupBy("kind").agg(F.count("*").alias("n"))
+    return replay(t.spark, doubled, dedupe, "dedupe").groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def tail(spark: SparkSession, path: str) -> DataFrame:
