@@ -21,8 +21,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
-    return jaccard_join.one_of_each(docs)
+    """Keeps one document of each group of near duplicates, also of exact copies without words."""
+    return jaccard_join.one_of_each(docs, bare_once=True)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

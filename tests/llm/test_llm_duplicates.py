@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from compare import assert_same
@@ -170,6 +171,22 @@ def test_one_of_each_with_odd_rows(spark):
     assert jaccard_join.one_of_each(documents(spark, [])).count() == 0
 
 
+def test_pipeline_keeps_one_of_exact_copies(spark):
+    """Copies that are a large share of their host, and rows that come without words."""
+    rng = random.Random(6)
+    text = f"{prose(rng, 20)}\n{prose(rng, 20)}"
+    rows = [(i, text) for i in range(8, 2, -1)] + [(20 + i, f"menu\n{prose(rng, 30)}") for i in range(6)]
+    rows += [(50, None), (40, ""), (41, ""), (42, " "), (None, " "), (42, " ")]
+    cut = corpus_pipeline.lines(spark, documents(spark, rows), SF_DIR)
+    kept = corpus_pipeline.near_duplicates(spark, cut, SF_DIR)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(3, text), (40, ""), (42, " "), *[(i, t.split("\n")[1]) for i, t in rows[6:12]]], key=str)
+    # of copies emptied as boilerplate of other pages one stays, too
+    rows = [(i, f"menu\n{prose(rng, 30)}") for i in range(6)] + [(i, "menu") for i in range(10, 14)]
+    kept = corpus_pipeline.near_duplicates(spark, corpus_pipeline.lines(spark, documents(spark, rows), SF_DIR), SF_DIR)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 10]
+
+
 def test_components(spark):
     edges = [(b"b", b"a"), (b"c", b"b"), (b"d", b"c"), (b"x", b"y"), (b"e", b"d"), (b"b", b"a")] + [(f"s{i}".encode(), b"hub") for i in range(40)]
     got = {bytes(r.node): bytes(r.root) for r in components(spark.createDataFrame(edges, "a binary, b binary")).collect()}

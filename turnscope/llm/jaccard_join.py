@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from turnscope.llm import hashing as H
 from turnscope.llm.columns import whole
+from turnscope.llm.columns import words as split_words
 from turnscope.llm.components import components
 from turnscope.session import materialize
 
@@ -292,16 +293,22 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_text_links", zero).alias("n_text_links"))
 
 
-def one_of_each(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
+def one_of_each(docs: DataFrame, options: JoinOptions = JoinOptions(), bare_once: bool = False) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of every class the row of the least id stays.
 
-    Rows without words all stay. Only the keys that go are joined with the documents.
+    Rows without words all stay, or with ``bare_once`` one of each text; null is the empty text. Only the keys that go
+    are joined with the documents.
     """
     known = similar(docs.select("doc_id", "text"), options)
     best = known.groupBy("root").agg(F.min_by(F.struct("key", "id"), F.struct(F.col("id").isNull(), "id", "key")).alias("best"))
     judged = known.join(best, "root").withColumn("stays", F.col("key") == F.col("best.key"))
     # of a text that stays only its row of the least id is kept, of one that goes none
-    rule = materialize(judged.where(~F.col("stays") | (F.col("copies") > 1)).select(
+    rule = judged.select("key", "id", "rows", "copies", "stays")
+    if bare_once:
+        bare = docs.where(F.size(split_words(whole(F.col("text")))) == 0)
+        bare = bare.select(F.col("doc_id").alias("id"), F.unhex(F.md5(whole(F.col("text")))).alias("key"))
+        rule = rule.unionByName(classes(bare).withColumn("stays", F.lit(True)))
+    rule = materialize(rule.where(~F.col("stays") | (F.col("copies") > 1)).select(
         "key", F.col("id").alias("_id"), "stays", (F.col("rows") > 1).alias("_repeated")), "rule")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(row, F.unhex(F.md5(whole(F.col("text")))).alias("key"))

@@ -7,8 +7,11 @@ The lines of one host that exceed the ratio number at most its mean number of di
 ratio, however large the host is, so a host's list fits in a row. Counts are combined before every shuffle; pages of
 a large host are only ever on the side of a join that Spark can split.
 
+In the pipeline each different text of a host is one page, so that exact copies do not make their own lines
+boilerplate: they are left whole to the near-duplicate stage.
+
 Defined results: a null text stays null and has no lines; a null host is a host of its own; every row is a page, also
-a repeated one; hosts with fewer than ``min_pages`` pages that share a line lose none; empty tables give no rows.
+a repeated one, unless ``once``; hosts with fewer than ``min_pages`` pages that share a line lose none; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -37,10 +40,21 @@ def boilerplate(docs: DataFrame, host: str, ratio: float, min_pages: int) -> Dat
     return over.where(F.col("pages") > ratio * F.col("total")).groupBy("host").agg(F.collect_list("key").alias("keys"))
 
 
-def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """All rows: their columns as ``row``, the text without boilerplate, the number of lines and of those dropped."""
+def different(docs: DataFrame, host: str) -> DataFrame:
+    """Each different text of a host once; a null text is one."""
+    return docs.groupBy(F.col(host), F.md5("text")).agg(F.first("text").alias("text")).select(host, "text")
+
+
+def dedup_lines(
+    docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, once: bool = False,
+) -> DataFrame:
+    """All rows: their columns as ``row``, the text without boilerplate, the number of lines and of those dropped.
+
+    ``once``: equal texts of a host are one page.
+    """
+    pages = different(docs, host) if once else docs
     # written first: its measured size, not a guess, decides how it is joined
-    lists = materialize(boilerplate(docs, host, ratio, min_pages), "boilerplate")
+    lists = materialize(boilerplate(pages, host, ratio, min_pages), "boilerplate")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(host).alias("_host"))
     both = rows.join(lists, F.col("_host").eqNullSafe(F.col("host")), "left")
     lines = F.split("row.text", "\n")
@@ -82,6 +96,6 @@ FROM documents d LEFT JOIN done x ON d.doc_id = x.doc_id
 
 def without_boilerplate(docs: DataFrame) -> DataFrame:
     """The rows with the columns they came with; the text is cut, and its length follows it."""
-    cut = dedup_lines(docs)
+    cut = dedup_lines(docs, once=True)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("text")}
     return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
