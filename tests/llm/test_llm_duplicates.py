@@ -171,6 +171,23 @@ def test_one_of_each_with_odd_rows(spark):
     assert jaccard_join.one_of_each(documents(spark, [])).count() == 0
 
 
+def test_jaccard_join_looks_for_a_lone_pair_at_the_threshold(spark):
+    """A pair of similarity 0.8 that shares no prefix of five values, in production options."""
+    rng = random.Random(4)
+    options = jaccard_join.JoinOptions()
+    pairs = []
+    for _ in range(3000):
+        w = prose(rng, 49).split()
+        pairs.append((" ".join(w), " ".join([*w[:24], "other", *w[25:]])))
+    signed = jaccard_join.signatures([t.encode() for p in pairs for t in p], options)
+    sigs = np.frombuffer(b"".join(signed), ">u2").reshape(len(pairs), 2, options.trees, -1)
+    same = sigs[:, 0] == sigs[:, 1]
+    missed = ~same.all(axis=2).any(axis=1) & same[:, :, :3].all(axis=2).any(axis=1)
+    pair = pairs[np.flatnonzero(missed)[0]]
+    assert jaccard(shingles(pair[0]), shingles(pair[1])) == 0.8
+    assert {r.texts for r in jaccard_join.similar(documents(spark, pair)).collect()} == {1}
+
+
 def test_pipeline_keeps_one_of_exact_copies(spark):
     """Copies that are a large share of their host, and rows that come without words."""
     rng = random.Random(6)

@@ -2,7 +2,7 @@
 
 Equal texts form one class. The signature of a class holds, for each tree, a string of MinHash values; texts that
 share a prefix of a tree's string meet. Matching starts with long prefixes, which only very similar texts share, and
-shortens them until a link of the least similarity seen so far would be found with the target probability.
+shortens them until a link at the threshold would be found with the target probability.
 A pair is verified where it meets first: at the longest prefix, in the first tree. A bucket whose members all met
 in one earlier bucket is passed over as a whole.
 
@@ -47,7 +47,6 @@ class JoinOptions:
         return 1 - (1 - similarity**depth) ** self.trees
 
 
-BINS = 50
 LINKS = "kind int, a binary, b binary, docs long, texts long"
 
 
@@ -151,7 +150,7 @@ def first_meetings(sigs: np.ndarray, tree: int, depth: int, before: int | None)
 
 
 def verify_block(rows: list[dict], sets: list[np.ndarray], depth: int, before: int | None, options: JoinOptions) -> Iterator[tuple]:
-    """Rows of LINKS: copies and texts linked to each text, a forest of the links, and links per similarity bin."""
+    """Rows of LINKS: copies and texts linked to each text, and a forest of the links."""
     one = {r["key"]: i for i, r in enumerate(rows)}  # repeated rows count once
     rows, sets = [rows[i] for i in one.values()], [sets[i] for i in one.values()]
     if len(rows) < 2:
@@ -166,7 +165,6 @@ def verify_block(rows: list[dict], sets: list[np.ndarray], depth: int, before: i
     both = intersections(sets)
     sizes = np.array([len(s) for s in sets])
     union = sizes[:, None] + sizes[None, :] - both
-    similarity = both / np.maximum(union, 1)
     x, y = np.nonzero(new & (both >= options.threshold * union - 1e-9))
     if not len(x):
         return
@@ -190,8 +188,6 @@ def verify_block(rows: list[dict], sets: list[np.ndarray], depth: int, before: i
         if a != b:
             root[max(a, b)] = min(a, b)
             yield 1, rows[p]["key"], rows[q]["key"], 0, 0
-    for bin_, n in zip(*np.unique((similarity[x, y] * BINS).astype(int), return_counts=True), strict=True):
-        yield 2, None, None, int(bin_), int(n)
 
 
 def verify_batches(batches: Iterator[pa.RecordBatch], depth: int, before: int | None, options: JoinOptions) -> Iterator[pa.RecordBatch]:
@@ -250,10 +246,8 @@ def similar(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
     for depth in options.depths:
         found = materialize(verified(keyed, known, depth, before, options), "links")
         links = found if links is None else links.unionByName(found)
-        bins = [r.docs for r in links.where("kind = 2").groupBy("docs").count().collect()]
-        least = max(options.threshold, min(bins, default=BINS) / BINS)
         before = depth
-        if options.found(least, depth) >= options.recall:
+        if options.found(options.threshold, depth) >= options.recall:
             break
     roots = components(links.where("kind = 1").select("a", "b"))
     linked = links.where("kind = 0").groupBy(F.col("a").alias("key")).agg(
