@@ -280,6 +280,18 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.find_items(documents(spark, []), table).count() == 0
 
 
+def test_decontamination_weighs_shingles_over_the_whole_benchmark(spark):
+    rng = random.Random(12)
+    template = prose(rng, 25, 900)
+    items = [f"{template} {prose(rng, 8 + i, 900)}" for i in range(9)] + [prose(rng, 30, 900)] * 2
+    table = spark.createDataFrame(list(enumerate(items)), ITEMS)
+    docs = documents(spark, [f"{prose(rng, 50, 900)} {edited(rng, item, i % 2)} {prose(rng, 50, 900)}" for i, item in enumerate(items)])
+    found = [
+        {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_items(docs, table, options).collect()}
+        for options in (decontaminate.SearchOptions(items_at_once=n, threshold=0.3, radius=31) for n in (3, 4096))]
+    assert found[0] == found[1] and min(found[1].values()) < 0.9 and len(found[1]) > len(items)
+
+
 def test_hamming_tables_find_all_within_the_radius():
     rng = np.random.default_rng(4)
     prints = rng.integers(0, 2**63, 20, dtype=np.uint64)

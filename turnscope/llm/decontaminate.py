@@ -7,7 +7,8 @@ quarter of it, so tables of all block values that close find every item within t
 exactly: windows of the item's own size around the place, weighted Jaccard of five-word shingles, best alignment.
 
 Items are a query set: they are searched for in groups of bounded size, each shipped to the tasks as one index, so a
-larger benchmark means more passes over the texts and no more memory. No text is shuffled.
+larger benchmark means more passes over the texts and no more memory. No text is shuffled. Shingles are weighed by
+their uses in the whole benchmark, whatever the groups.
 
 Words are compared in lower case without ASCII punctuation. Defined results: null texts are empty and match nothing;
 items without words match nothing; a text shorter than an item is compared as a whole; repeated rows and repeated
@@ -17,13 +18,14 @@ items each give their own rows; other columns are kept by the filter and ignored
 from __future__ import annotations
 
 import string
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnscope.llm import hashing as H
@@ -113,15 +115,16 @@ class Rung:
 class ItemIndex:
     """Shingles with weights and the rungs of one group of items."""
 
-    def __init__(self, texts: list[str | None], options: SearchOptions):
+    def __init__(self, texts: list[str | None], total: int, uses: dict[int, int] | None, options: SearchOptions):
+        """``total`` items are in the benchmark, ``uses`` of them have a shingle; without it these are all items."""
         self.options = options
         words, begin = H.words_of([plain((t or "").encode()) for t in texts])
         self.sizes = np.diff(begin)
         per_item = [H.shingles(words[a:b], options.shingle) for a, b in zip(begin, begin[1:], strict=False)]
-        once = [np.unique(s) for s in per_item]
-        known, uses = np.unique(np.concatenate(once), return_counts=True) if once else (np.empty(0, np.uint64), np.empty(0, int))
-        self.top = float(np.log1p(len(texts)))
-        weight = dict(zip(known.tolist(), np.log1p(len(texts) / uses).tolist(), strict=True))
+        if uses is None:
+            uses = Counter(v for s in per_item for v in np.unique(s).tolist())
+        self.top = float(np.log1p(total))
+        weight = {v: float(np.log1p(total / n)) for v, n in uses.items()}
         self.shingles, self.counts, self.weights = [], [], []
         for s in per_item:
             values, counts = np.unique(s, return_counts=True)
@@ -202,14 +205,34 @@ class ItemIndex:
         return best
 
 
+def shingle_uses(items: DataFrame, place: Column, options: SearchOptions) -> DataFrame:
+    """place, shingle and the number of items of the whole benchmark that have it."""
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, begin = H.words_of([plain(t) for t in H.texts_of(batch["text"])])
+            once = [np.unique(H.shingles(words[a:b], options.shingle)) for a, b in zip(begin, begin[1:], strict=False)]
+            if once:
+                at = np.repeat(np.arange(len(once)), [len(s) for s in once])
+                yield pa.RecordBatch.from_arrays(
+                    [batch["place"].take(pa.array(at)), pa.array(np.concatenate(once).view(np.int64))], names=["place", "shingle"])
+
+    had = items.select(place.alias("place"), "text").mapInArrow(shingles, "place long, shingle long")
+    had = had.groupBy("place", "shingle").agg(F.count("*").alias("n"))
+    total = had.groupBy("shingle").agg(F.sum("n").alias("uses"))
+    return materialize(had.select("place", "shingle").join(total, "shingle"), "shingle-uses")
+
+
 def item_groups(items: DataFrame, options: SearchOptions) -> Iterator[tuple[list, ItemIndex]]:
     """Ids and index of each group of about ``items_at_once`` items, one after the other."""
-    groups = max(1, -(-items.count() // options.items_at_once))
+    total = items.count()
+    groups = max(1, -(-total // options.items_at_once))
     place = F.pmod(F.xxhash64("item_id", "text"), F.lit(groups))
+    known = shingle_uses(items, place, options) if groups > 1 else None
     for g in range(groups):
         rows = items.where(place == g).select("item_id", "text").collect()
         if rows:
-            yield [r.item_id for r in rows], ItemIndex([r.text for r in rows], options)
+            uses = {r.shingle & (1 << 64) - 1: r.uses for r in known.where(F.col("place") == g).collect()} if known else None
+            yield [r.item_id for r in rows], ItemIndex([r.text for r in rows], total, uses, options)
 
 
 def batch_matches(texts: pa.Array, index: ItemIndex) -> Iterator[tuple[int, int, float]]:
