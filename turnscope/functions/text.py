@@ -140,31 +140,6 @@ def resembling(a: str, b: str, threshold: float) -> bool:
     return a == b or reaches(difflib.SequenceMatcher(None, a, b), threshold)
 
 
-def _resembles(a: pd.Series, b: pd.Series, threshold: pd.Series) -> pd.Series:
-    """Whether similarity(a, b) >= threshold. Second texts are prepared once each per batch."""
-    out = [False] * len(a)
-    matcher, last = difflib.SequenceMatcher(), None
-    for i in sorted(range(len(a)), key=b.to_numpy().__getitem__):
-        if b.iat[i] != last:
-            last = b.iat[i]
-            matcher.set_seq2(last)
-        if a.iat[i] == last:
-            out[i] = True
-            continue
-        matcher.set_seq1(a.iat[i])
-        out[i] = reaches(matcher, threshold.iat[i])
-    return pd.Series(out)
-
-
-def resembles(a: ColumnOrName, b: ColumnOrName, threshold: Column) -> Column:
-    """Declared nondeterministic so that the optimizer leaves it above the repartition that feeds it.
-
-    The function is wrapped per use: a wrapped one holds on to its session, and streaming code that is sent to
-    executors refers to this module.
-    """
-    return F.pandas_udf(_resembles, T.BooleanType()).asNondeterministic()(a, b, threshold)
-
-
 def similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.pandas_udf(_similarity, T.DoubleType())(a, b)
 

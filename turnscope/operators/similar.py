@@ -1,21 +1,32 @@
 """Exact similarity search inside a session.
 
-Pairs are never listed for their own sake: texts are made distinct first and meet only inside
-neighbouring length buckets, and bounds from the lengths and from the counts of letters are checked
-before the full comparison. Every discarded pair is proven below the threshold,
-so no match is lost.
+The measure counts the characters of matching blocks, taken longest first. No index over runs of two or more
+characters can find all matches at a threshold below 2/3: texts whose every second character agrees share no run and
+still reach it. What always holds is that the blocks are a common subsequence. So texts are dealt into blocks of about
+a thousand, a pair of blocks is one row, and inside it two bounds are computed for all pairs at once: characters in
+common regardless of order, then the longest common subsequence, bit by bit in machine words. Only pairs that both
+bounds admit reach the full measure; every other is proven below the threshold, so no match is lost.
+
+No pair of texts is ever a row, and texts travel once per opposite block. Blocks of one session spread over all tasks.
 """
 
 from __future__ import annotations
 
+import difflib
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnscope.functions import text as X
 
 BUCKET_BASE = 1.25
+BLOCK = 1024  # texts of a session that stay together
+BINS = 64  # characters are told apart modulo this; merging some only loosens a bound
+PAIRS = 16_384  # compared at once
 
 
 def bucket(c: str) -> Column:
@@ -28,7 +39,6 @@ def reach(threshold: float) -> int:
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz "
-SALTS = 8  # parts of a pool that meet the same probes in different tasks
 
 
 def letter_counts(c: str) -> Column:
@@ -37,44 +47,148 @@ def letter_counts(c: str) -> Column:
     return F.array(*counts, F.length(F.translate(c, LETTERS, "")))
 
 
-def shared_bound(a: str, b: str, counts_a: str, counts_b: str) -> Column:
+def shared_bound(a: str, b: str) -> Column:
     """An upper bound on similarity: no more characters can match than both texts hold."""
-    common = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    common = F.aggregate(
+        F.zip_with(letter_counts(a), letter_counts(b), lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     return 2.0 * common / F.greatest(F.length(a) + F.length(b), F.lit(1))
 
 
-def resemblance(probes: DataFrame, pool: DataFrame, threshold: float, early_only: bool) -> DataFrame:
-    """Per probe: ``hit_idx``, the earliest pool entry that equals or resembles it, and ``hits``,
-    how many do. Probes without any are absent.
+class Texts:
+    """Texts as numbers: lengths, codes, counts per character, and on demand a bit mask per character."""
 
-    probes: sid, a, upto (distinct); pool: sid, b, first_idx (distinct per sid, b).
-    ``early_only`` looks no further than first_idx <= upto. A session's pool is dealt over SALTS
-    parts, so its pairs arise in several tasks; only the minimum per probe is shuffled.
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % BINS for t in texts]
+        self.lengths = np.array([len(c) for c in self.codes])
+        self.counts = np.array([np.bincount(c, minlength=BINS) for c in self.codes], np.int32).reshape(-1, BINS)
+
+    def padded(self, which: np.ndarray) -> np.ndarray:
+        """Codes of some texts, one row each; BINS behind the end."""
+        out = np.full((len(which), max(1, self.lengths[which].max())), BINS, np.int64)
+        for row, i in enumerate(which):
+            out[row, :self.lengths[i]] = self.codes[i]
+        return out
+
+    def masks(self, which: np.ndarray) -> np.ndarray:
+        """(word, text, character): where a character stands in each text; none stands behind the end."""
+        words = max(1, -(-int(self.lengths[which].max()) // 64))
+        out = np.zeros((words, len(which), BINS + 1), np.uint64)
+        for row, i in enumerate(which):
+            at = np.arange(self.lengths[i])
+            np.bitwise_or.at(out[:, row], (at >> 6, self.codes[i]), np.uint64(1) << (at & 63).astype(np.uint64))
+        return out
+
+
+def admitted(common: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    return 2.0 * common / np.maximum(sizes, 1) >= threshold
+
+
+def common_subsequence(a: Texts, b: Texts, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of a[i] and b[j], for all pairs at once.
+
+    A bit of the running word is cleared for every character of b that ends a longer subsequence; one step per
+    character of a is an addition whose carry runs along the words.
+    """
+    mine, i = np.unique(i, return_inverse=True)
+    theirs, j = np.unique(j, return_inverse=True)
+    codes, masks = a.padded(mine), b.masks(theirs)
+    state = np.full((len(masks), len(i)), ~np.uint64(0))
+    for step in codes.T:
+        here = step[i]
+        carry = np.zeros(len(i), np.uint64)
+        for word, mask in zip(state, masks):
+            hit = mask[j, here]
+            low = word + (word & hit)
+            total = low + carry
+            carry = ((low < word) | (total < low)).astype(np.uint64)
+            np.bitwise_or(total, word & ~hit, out=word)
+    return 64 * len(masks) - np.bitwise_count(state).sum(axis=0, dtype=np.int64)
+
+
+def likely(a: Texts, b: Texts, allowed: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that neither bound rules out. ``allowed`` (a, b) says which may count at all."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def bounded() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        i, j = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.lexsort((a.lengths[i], b.lengths[j] // 64))  # texts of like size together
+        for start in range(0, len(order), PAIRS):
+            p, q = i[order[start:start + PAIRS]], j[order[start:start + PAIRS]]
+            fits = admitted(common_subsequence(a, b, p, q), a.lengths[p] + b.lengths[q], threshold)
+            yield p[fits], q[fits]
+
+    for i in range(len(a.texts)):
+        sizes = a.lengths[i] + b.lengths
+        j = np.flatnonzero(allowed[i] & admitted(np.minimum(a.lengths[i], b.lengths), sizes, threshold))
+        j = j[admitted(np.minimum(b.counts[j], a.counts[i]).sum(axis=1), sizes[j], threshold)]
+        held.append((np.full(len(j), i), j))
+        if sum(len(x[0]) for x in held) >= 16 * PAIRS:
+            yield from bounded()
+    if held:
+        yield from bounded()
+
+
+def compared(threshold: float, early_only: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows of two blocks to the probes with a hit: sid, a, upto, hit_idx, hits."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for sid, probes, pool in zip(rows.sid, rows.probes, rows.pool):
+                a, b = Texts([p["a"] for p in probes]), Texts([p["b"] for p in pool])
+                upto, first = np.array([p["upto"] for p in probes]), np.array([p["first_idx"] for p in pool])
+                allowed = first[None, :] <= upto[:, None] if early_only else np.ones((len(upto), len(first)), bool)
+                found: dict[int, list[int]] = {}
+                matcher, last = difflib.SequenceMatcher(), None
+                for i, j in likely(a, b, allowed, threshold):
+                    for p, q in sorted(zip(i.tolist(), j.tolist()), key=lambda x: x[1]):
+                        if a.texts[p] != b.texts[q]:
+                            if q != last:
+                                matcher.set_seq2(b.texts[q])
+                                last = q
+                            matcher.set_seq1(a.texts[p])
+                            if matcher.ratio() < threshold:
+                                continue
+                        found.setdefault(p, []).append(int(first[q]))
+                out += [(sid, a.texts[p], int(upto[p]), min(hits), len(hits))
+                        for p, hits in found.items()]
+            yield pd.DataFrame(out, columns=["sid", "a", "upto", "hit_idx", "hits"])
+    return run
+
+
+def in_blocks(rows: DataFrame, parts: DataFrame, text: str, other: str, name: str) -> DataFrame:
+    """Texts of a session as blocks, each once per block of the other side: sid, block, opposite, and the texts."""
+    one = F.lit(1).cast("long")
+    own, opposite = ("block", "opposite") if text == "a" else ("opposite", "block")
+    dealt = rows.join(parts, "sid", "left").select(
+        *rows.columns, F.pmod(F.xxhash64(text), F.coalesce(f"{text}_parts", one)).alias(own),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(f"{other}_parts", one) - 1)).alias(opposite))
+    # comparing costs far more than a block's bytes suggest, so the number of tasks is stated, not derived from bytes
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, "sid", "block", "opposite").groupBy("sid", "block", "opposite").agg(
+        F.collect_list(F.struct(*[c for c in rows.columns if c != "sid"])).alias(name))
+
+
+def resemblance(probes: DataFrame, pool: DataFrame, threshold: float, early_only: bool, block: int = BLOCK) -> DataFrame:
+    """Per probe (sid, a, upto): ``hit_idx``, the earliest pool entry that equals or resembles it, and ``hits``, how
+    many do. Probes without any are absent.
+
+    probes: sid, a, upto (distinct); pool: sid, b, first_idx (distinct per sid, b). ``early_only`` looks no further
+    than first_idx <= upto. Only sessions of more than ``block`` texts are cut.
     """
-    steps = reach(threshold)
-    left = probes.select(
-        "*", letter_counts("a").alias("_ca"),
-        F.explode(F.sequence(bucket("a") - steps, bucket("a") + steps)).alias("bucket"),
-    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    right = pool.select(
-        "sid", "b", "first_idx", letter_counts("b").alias("_cb"), bucket("b").alias("bucket"),
-        F.pmod(F.hash("b"), F.lit(SALTS)).alias("salt"))
-    pairs = left.join(right, ["sid", "bucket", "salt"])
-    if early_only:
-        pairs = pairs.where("first_idx <= upto")
-    near = pairs.where(X.length_bound(F.length("a"), F.length("b")) >= threshold).where(
-        (F.col("a") == F.col("b")) | (shared_bound("a", "b", "_ca", "_cb") >= threshold)
-    ).select("sid", "a", "upto", "b", "first_idx")
-    # scoring costs far more than moving a pair, so pairs are spread evenly: one hot session's
-    # pairs then use every core
-    spread = near.repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    hits = spread.where(X.resembles("a", "b", F.lit(threshold)))
-    return hits.groupBy("sid", "a", "upto").agg(
-        F.min("first_idx").alias("hit_idx"), F.count("*").alias("hits"))
+    counted = probes.select("sid", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
+        pool.select("sid", F.lit(0).alias("a"), F.lit(1).alias("b"))).groupBy("sid").agg(
+        *(F.greatest(F.ceil(F.sum(x) / block), F.lit(1)).cast("long").alias(f"{x}_parts") for x in "ab"))
+    parts = counted.where("a_parts > 1 OR b_parts > 1")
+    left = in_blocks(probes.where("a IS NOT NULL").select("sid", "a", "upto"), parts, "a", "b", "probes")
+    right = in_blocks(pool.where("b IS NOT NULL").select("sid", "b", "first_idx"), parts, "b", "a", "pool")
+    pairs = left.join(right, ["sid", "block", "opposite"]).select("sid", "probes", "pool")
+    hits = pairs.mapInPandas(compared(threshold, early_only), "sid string, a string, upto bigint, hit_idx bigint, hits bigint")
+    return hits.groupBy("sid", "a", "upto").agg(F.min("hit_idx").alias("hit_idx"), F.sum("hits").alias("hits"))
 
 
 def with_resemblance(rows: DataFrame, pool: DataFrame, threshold: float, early_only: bool = True) -> DataFrame:
     """Rows (sid, a, upto, ...) with ``hit_idx`` and ``hits``, NULL where nothing resembles."""
-    probes = rows.select("sid", "a", "upto").distinct()
-    hits = resemblance(probes, pool, threshold, early_only)
+    hits = resemblance(rows.select("sid", "a", "upto").distinct(), pool, threshold, early_only)
     return rows.join(hits, ["sid", "a", "upto"], "left")
