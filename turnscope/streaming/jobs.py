@@ -13,6 +13,7 @@ from turnscope.operators import rules, state
 from turnscope.session import ROCKSDB, scratch_path
 from turnscope.sources import catalogue as C
 from turnscope.sources import raw, views
+from turnscope.sources.tail import tail_lines
 from turnscope.streaming import session
 
 SLICES = 3
@@ -167,15 +168,17 @@ def stream_dedupe(t) -> DataFrame:
     return replay(t.spark, doubled, dedupe, "dedupe").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def tail(spark: SparkSession, path: str) -> DataFrame:
-    """New complete lines of a growing folder of log files; broken ones are dropped.
+def tail(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """New complete lines of a growing folder of growing log files, parsed; broken ones are dropped."""
+    parsed = tail_lines(spark, path, **options).select("path", "at", "line", F.try_parse_json("line").alias("v"))
+    return parsed.where("v IS NOT NULL").select(
+        "path", "at", raw.variant("v", "$.type", "string").alias("type"), F.col("line").alias("value"))
 
-    Each file is taken once, as a whole; a rotated log is a new file. The checkpoint replaces
-    saved byte offsets.
-    """
-    lines = spark.readStream.format("text").option("maxFilesPerTrigger", 2).load(path)
-    parsed = lines.select("value", F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
-    return parsed.select(raw.variant("v", "$.type", "string").alias("type"), "value")
+
+def follow(spark: SparkSession, source: str, sink: str, checkpoint: str, **options: str) -> None:
+    """Take what has come since the last run into a table of files."""
+    tail(spark, source, **options).writeStream.format("parquet").option("path", sink).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def stream_tail(t) -> DataFrame:
@@ -185,9 +188,5 @@ def stream_tail(t) -> DataFrame:
     source, sink, checkpoint = (scratch_path(spark, n) for n in ("tail-in", "tail-out", "tail-checkpoint"))
     for part in ("place % 20 < 10", "place % 20 >= 10"):
         lines.where(part).select("line").write.mode("append").text(source)
-        query = (
-            tail(spark, source).writeStream.format("parquet").option("path", sink)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
+        follow(spark, source, sink, checkpoint)
     return spark.read.schema("type string, value string").parquet(sink).groupBy("type").agg(F.count("*").alias("lines"))
