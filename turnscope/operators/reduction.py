@@ -16,9 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnscope.plans.ordered import flag, scan, with_chunks
+from turnscope.sources.snapshots import file_digests
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 NATIVE_WORK_BYTES = 1 << 26
+BLOCK_BYTES = 1 << 20
+LINES_AT_ONCE = 4096
 # capture numbers are ordered as 16-digit text; hot sessions are cut every 10^4, 10^3 or 10^2
 NUMBER_WIDTHS = (12, 13, 14)
 
@@ -107,24 +110,57 @@ def base_contents(bases: DataFrame, captures: DataFrame) -> DataFrame:
 
 
 def running_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by (sid, epoch, bytes), each base before its offsets: one running digest per base.
+    """Rows come sorted by (sid, epoch, at, block first): one running digest per base over its blocks in order.
 
-    Only the base at hand is kept between batches, so every byte is hashed once, however many offsets there are.
+    Only the block at hand is kept, so a base may be of any size and every byte is hashed once, however many offsets
+    there are. A base with a gap between its blocks has no digest behind the gap.
     """
-    base, digest, done, lines = b"", hashlib.sha256(), 0, 0
+    base, block, start, digest, done, lines = None, b"", 0, hashlib.sha256(), 0, 0
+
+    def advance(end: int) -> None:
+        nonlocal done, lines
+        part = memoryview(block)[done - start:end - start]
+        digest.update(part)
+        lines += bytes(part).count(b"\n")
+        done += len(part)
+
     for batch in batches:
         rows = []
-        for sid, epoch, end, content in zip(batch["sid"], batch["epoch"], batch["bytes"], batch["base"], strict=True):
-            if end < 0:
-                base, digest, done, lines = content, hashlib.sha256(), 0, 0
+        for sid, epoch, at, body in zip(batch["sid"], batch["epoch"], batch["at"], batch["block"], strict=True):
+            if (sid, epoch) != base:
+                base, block, start, digest, done, lines = (sid, epoch), b"", 0, hashlib.sha256(), 0, 0
+            if body is not None:
+                advance(start + len(block))
+                if at == done:
+                    block, start = body, at
                 continue
-            digest.update(memoryview(base)[done:end])
-            lines += base.count(b"\n", done, end)
-            done = end
-            rows.append((sid, epoch, end, digest.copy().hexdigest(), lines))
+            advance(at)
+            if done == at:
+                rows.append((sid, epoch, at, digest.copy().hexdigest(), lines))
         yield pd.DataFrame(rows, columns=["sid", "epoch", "bytes", "prefix_sha", "prefix_lines"])
 
 
+def content_blocks(rows: DataFrame, content: str, size: int = BLOCK_BYTES) -> DataFrame:
+    """The rows with ``content`` cut into blocks: ``at`` and ``block`` instead of it."""
+    nth = F.sequence(F.lit(0), F.floor(F.greatest(F.octet_length(content) - 1, F.lit(0)) / size).cast("int"))
+    return rows.select("*", F.explode(nth).alias("_i")).select(
+        *[c for c in rows.columns if c != content], (F.col("_i") * F.lit(size).cast("long")).alias("at"),
+        F.substring(F.col(content), F.col("_i") * size + 1, F.lit(size)).alias("block"))
+
+
+def block_digests(blocks: DataFrame, offsets: DataFrame) -> DataFrame:
+    """SHA-256 and line feeds of prefixes: blocks (sid, epoch, at, block), offsets (sid, epoch, bytes).
+
+    Blocks and offsets meet sorted in one stream per base, since a digest is sequential.
+    """
+    wanted = offsets.select("sid", "epoch", F.col("bytes").alias("at")).distinct()
+    rows = blocks.select("sid", "epoch", "at", "block").unionByName(wanted.withColumn("block", F.lit(None).cast("binary")))
+    asks = F.col("block").isNull()
+    # an offset at which a block begins needs only the blocks before it
+    together = rows.repartition("sid", "epoch").sortWithinPartitions("sid", "epoch", "at", asks.desc())
+    return together.mapInPandas(running_digests, DIGESTS)
+
+
 DIGESTS = "sid string, epoch bigint, bytes bigint, prefix_sha string, prefix_lines bigint"
 
 
@@ -132,8 +168,8 @@ def prefix_digests(bases: DataFrame, offsets: DataFrame, native_bytes: int = NAT
     """SHA-256 and line feeds of base prefixes.
 
     bases: sid, epoch, base, base_bytes; offsets: sid, epoch, bytes. Where hashing every prefix on
-    its own is cheap (offsets x base bytes), ``sha2`` on a slice does it. Otherwise base and offsets
-    meet sorted in one task, and one running digest passes over the base once.
+    its own is cheap (offsets x base bytes), ``sha2`` on a slice does it. Otherwise one running digest passes over the
+    base's blocks once. Bases in files: ``sources.snapshots.file_digests``.
     """
     wanted = offsets.select("sid", "epoch", "bytes").distinct()
     counts = wanted.groupBy("sid", "epoch").agg(F.count("*").alias("_n"))
@@ -144,12 +180,9 @@ def prefix_digests(bases: DataFrame, offsets: DataFrame, native_bytes: int = NAT
         "sid", "epoch", "bytes", sha256(prefix).alias("prefix_sha"),
         newlines(prefix).cast("long").alias("prefix_lines"),
     )
-    large_bases = sized.where(~cheap)
-    due = wanted.join(large_bases.select("sid", "epoch", "base_bytes"), ["sid", "epoch"]).where("bytes <= base_bytes")
-    rows = large_bases.select("sid", "epoch", F.lit(-1).cast("long").alias("bytes"), "base").unionByName(
-        due.select("sid", "epoch", "bytes", F.lit(None).cast("binary").alias("base")))
-    together = rows.repartition("sid", "epoch").sortWithinPartitions("sid", "epoch", "bytes")
-    large = together.mapInPandas(running_digests, DIGESTS)
+    large = sized.where(~cheap)
+    due = wanted.join(large.select("sid", "epoch", "base_bytes"), ["sid", "epoch"]).where("bytes <= base_bytes")
+    large = block_digests(content_blocks(large.select("sid", "epoch", "base"), "base"), due)
     return small.unionByName(large)
 
 
@@ -157,9 +190,30 @@ def reduction_index(captures: DataFrame, native_bytes: int = NATIVE_WORK_BYTES)
     """One row per capture: where its bytes are kept and the digest that proves it."""
     plan = epoch_plan(listing(captures))
     bases = epoch_bases(plan)
-    digests = prefix_digests(
-        base_contents(bases, captures), plan.where("epoch IS NOT NULL AND exists AND bytes > 0"), native_bytes
-    )
+    digests = prefix_digests(base_contents(bases, captures), provable(plan), native_bytes)
+    return index_rows(plan, bases, digests)
+
+
+def reduction_index_of_files(listed: DataFrame) -> DataFrame:
+    """The same index of captures in files of any size (``snapshots.file_listing``): no content becomes a value."""
+    plan = epoch_plan(listed)
+    bases = epoch_bases(plan)
+    paths = listed.select("sid", F.col("count").alias("base_count"), "path")
+    asked = bases.join(paths, ["sid", "base_count"]).join(
+        provable(plan).select("sid", "epoch", "bytes").distinct(), ["sid", "epoch"]).where("bytes <= base_bytes")
+    read = file_digests(asked).select(
+        "path", "bytes", F.col("sha256").alias("prefix_sha"), F.col("newlines").alias("prefix_lines"))
+    digests = asked.join(read, ["path", "bytes"]).select("sid", "epoch", "bytes", "prefix_sha", "prefix_lines")
+    return index_rows(plan.drop("path"), bases, digests)
+
+
+def provable(plan: DataFrame) -> DataFrame:
+    """Captures that a base may cover."""
+    return plan.where("epoch IS NOT NULL AND exists AND bytes > 0")
+
+
+def index_rows(plan: DataFrame, bases: DataFrame, digests: DataFrame) -> DataFrame:
+    """Captures of a plan, settled by the digests of their base's prefixes."""
     rows = plan.join(bases, ["sid", "epoch"], "left").join(digests, ["sid", "epoch", "bytes"], "left")
     proven = F.coalesce(F.col("prefix_sha") == F.col("sha256"), F.lit(False))
     source = (
@@ -172,12 +226,39 @@ def reduction_index(captures: DataFrame, native_bytes: int = NATIVE_WORK_BYTES)
         source.alias("source"),
         F.when(F.col("exists"), F.col("sha256")).alias("sha256"),
         F.when(source == "epoch", F.col("prefix_lines")).when(F.col("exists"), F.col("lines")).alias("lines"),
-        (source == "full").alias("prefix_mismatch"),
+        F.col("lines").alias("file_lines"), (source == "full").alias("prefix_mismatch"),
         F.coalesce(compacting, F.lit(False)).alias("compaction"),
         F.when(source == "epoch", F.col("base_count")).alias("base_count"),
     )
 
 
+def extend_index(index: DataFrame, store: DataFrame, added: DataFrame, native_bytes: int = NATIVE_WORK_BYTES) -> DataFrame:
+    """The index after more captures came, equal to a new one of all captures; only ``added`` ones are read.
+
+    Epochs follow from the captures' events, which the index keeps, so the scan is resumed from its rows. What was
+    proven against a base stays so while the epoch keeps that base. An epoch that got a larger base has all its
+    captures proven again, by their digests in the index against prefixes of the new base; a new capture of an epoch
+    that keeps its base is proven against the stored one.
+    """
+    older = index.join(added.select("sid", "count"), ["sid", "count"], "left_anti")  # a missing file may have come
+    before = older.select("sid", "count", "event", "captured_us", (F.col("source") != "missing").alias("exists"), "bytes",
+                          "sha256", F.col("file_lines").alias("lines"), F.lit(False).alias("new"))
+    plan = epoch_plan(before.unionByName(listing(added).withColumn("new", F.lit(True))))
+    bases, old_bases = epoch_bases(plan), epoch_bases(index.withColumn("exists", F.col("source") != "missing"))
+    same = old_bases.select("sid", "epoch", "base_count", F.lit(True).alias("kept"))
+    settled = bases.join(same, ["sid", "epoch", "base_count"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    due = provable(plan).join(settled.select("sid", "epoch", "kept"), ["sid", "epoch"]).where("new OR NOT kept")
+    stored = store.where("kind = 'base'").select("sid", F.col("count").alias("base_count"), F.col("content").alias("base"))
+    fresh = added.select("sid", F.col("count").alias("base_count"), F.col("content").alias("base"))
+    contents = settled.where("kept").join(stored, ["sid", "base_count"]).unionByName(
+        settled.where("NOT kept").join(fresh, ["sid", "base_count"])).drop("kept")
+    digests = prefix_digests(contents, due, native_bytes)
+    known = older.where("source = 'epoch'").join(
+        settled.where("kept").select("sid", "epoch"), ["sid", "epoch"]).select(
+        "sid", "epoch", "bytes", F.col("sha256").alias("prefix_sha"), F.col("lines").alias("prefix_lines"))
+    return index_rows(plan.drop("new"), bases, digests.unionByName(known).distinct())
+
+
 def payload_facts(index: DataFrame, payloads: DataFrame) -> DataFrame:
     """Compaction facts only the event payload carries (sid, count, payload JSON text)."""
     p = F.col("payload")
@@ -305,9 +386,14 @@ def compaction_annotations(index: DataFrame, store: DataFrame) -> DataFrame:
     """Compaction records found in the base of each session's last epoch, with how many of the
     preserved ids resolve to a line of that base."""
     last = index.where("epoch IS NOT NULL AND base_count IS NOT NULL").groupBy("sid").agg(F.max("epoch").alias("epoch"))
-    lines = store.where("kind = 'base'").join(last, ["sid", "epoch"]).select(
-        "sid", "epoch", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line_index", "line"))
-    parsed = lines.select("sid", "epoch", "line_index", F.try_parse_json("line").alias("v"))
+    bases = store.where("kind = 'base'").join(last, ["sid", "epoch"])
+    return annotations_of_lines(content_lines(bases, "sid", "epoch"))
+
+
+def annotations_of_lines(lines: DataFrame) -> DataFrame:
+    """Compaction records among lines (sid, epoch, line_no, line) of one base per session."""
+    text = F.decode("line", "UTF-8")
+    parsed = lines.select("sid", "epoch", F.col("line_no").cast("int").alias("line_index"), F.try_parse_json(text).alias("v"))
 
     def field(path: str, kind: str) -> Column:
         return F.try_variant_get("v", path, kind)
@@ -332,6 +418,29 @@ def compaction_annotations(index: DataFrame, store: DataFrame) -> DataFrame:
     )
 
 
+def content_lines(rows: DataFrame, *keys: str) -> DataFrame:
+    """Lines of ``content`` with their ends: keys, line_no, at (byte), line. One row's lines come in bounded batches."""
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                content, at, found = row[-1] or b"", 0, []
+                number = 0
+                while at < len(content):
+                    end = content.find(b"\n", at) + 1 or len(content)
+                    found.append((*row[:-1], number, at, content[at:end]))
+                    at, number = end, number + 1
+                    if len(found) == LINES_AT_ONCE:
+                        yield pd.DataFrame(found, columns=names)
+                        found = []
+                if found:
+                    yield pd.DataFrame(found, columns=names)
+
+    kept = rows.select(*keys, "content")
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    names = [*keys, "line_no", "at", "line"]
+    return kept.mapInPandas(cut, f"{types}, line_no bigint, at bigint, line binary")
+
+
 def corpus_stats(files: DataFrame) -> DataFrame:
     """Sessions, snapshots and bytes of a file listing (path, length)."""
     name = F.element_at(F.split("path", "/"), -1)

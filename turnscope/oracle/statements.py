@@ -176,6 +176,11 @@ def captures_with(parts: str, select: str) -> str:
     return capture_query(", ").rstrip().rstrip(",") + ",\n" + parts.strip() + "\n" + select.strip()
 
 
+INDEX_ROWS = capture_query("""
+SELECT sid, count, event, bytes, epoch, in_flight, is_base, source, sha256,
+  CASE WHEN source = 'epoch' THEN length(content) - length(replace(content, chr(10), '')) ELSE lines END AS lines, source = 'full' AS prefix_mismatch FROM index_""")
+
+
 def conversations_json() -> str:
     """Compaction records written and read without JSON: the rows they must yield."""
     sid = "CAST(conv_id AS VARCHAR)"
@@ -416,9 +421,7 @@ def reduction() -> dict[str, str]:
 SELECT sid, epoch, bytes, sha256(unhex(h)) AS prefix_sha, len(list_filter(regexp_extract_all(h, '..'), lambda x: x = '0A')) AS prefix_lines
 FROM (SELECT DISTINCT p.sid, p.epoch, p.bytes, substr(hex(b.base), 1, 2 * p.bytes) AS h FROM plan p
   JOIN bases b ON b.sid = p.sid AND b.epoch = p.epoch WHERE p.bytes > 0 AND p.bytes <= b.base_bytes)"""),
-        "reduction_index": capture_query("""
-SELECT sid, count, event, bytes, epoch, in_flight, is_base, source, sha256,
-  CASE WHEN source = 'epoch' THEN length(content) - length(replace(content, chr(10), '')) ELSE lines END AS lines, source = 'full' AS prefix_mismatch FROM index_"""),
+        "reduction_index": INDEX_ROWS,
         "payload_facts": capture_query(f"""
 SELECT sid, count, event, CASE WHEN n % 2 = 0 THEN 'manual' END AS compact_trigger, n % 3 = 0 AS has_custom_instructions,
   CASE WHEN event = 'PostCompact' THEN CAST(length('summary of ' || count) AS INTEGER) END AS compact_summary_chars
@@ -427,6 +430,14 @@ FROM (SELECT *, {CONV} + count AS n FROM index_) WHERE event IN ('PreCompact', '
 SELECT i.sid, i.epoch, i.count, 'base' AS kind, CAST(i.bytes AS INTEGER) AS bytes, i.sha256 FROM index_ i WHERE i.source = 'epoch' AND i.count = i.base_count
 UNION ALL SELECT sid, epoch, count, source, CAST(bytes AS INTEGER), sha256 FROM index_ WHERE source IN ('inflight', 'full')"""),
         "reconstruct_capture": capture_query("SELECT sid, count, source, sha256 FROM index_ WHERE source <> 'missing'"),
+        "reduced_store_lines": capture_query("""
+SELECT DISTINCT sha256(line) AS address, CAST(strlen(line) AS INTEGER) AS bytes FROM (
+  SELECT part || CASE WHEN i < len(parts) THEN chr(10) ELSE '' END AS line FROM (
+    SELECT unnest(parts) AS part, generate_subscripts(parts, 1) AS i, parts FROM (
+      SELECT string_split(content, chr(10)) AS parts FROM index_ WHERE source IN ('inflight', 'full') OR (source = 'epoch' AND count = base_count))))
+WHERE line <> ''"""),
+        "reconstruct_from_lines": capture_query("SELECT sid, count, source, sha256 FROM index_ WHERE source <> 'missing'"),
+        "reduction_index_incremental": INDEX_ROWS,
         "compaction_annotations": conversations_json(),
         "verify_roundtrip": captures_with(TAMPERED, "SELECT source, coalesce(failure, 'ok') AS outcome, count(*) AS n FROM checks GROUP BY ALL"),
         "verify_against_source": captures_with(TAMPERED, "SELECT sid, count, sha256 = true_sha AS matches FROM tampered WHERE exists_ AND source <> 'missing'"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from turnscope.functions import text as X
 from turnscope.functions import vocab as V
-from turnscope.operators import coverage, labels, oplog, reduction, routing, rules, shape, state, trace, verdicts
+from turnscope.operators import coverage, labels, linegrain, oplog, reduction, routing, rules, shape, state, trace, verdicts
 from turnscope.session import materialize
 from turnscope.sources import catalogue as C
 from turnscope.sources import raw, views
@@ -150,6 +150,10 @@ class Tables:
     def store(self) -> DataFrame:
         return reduction.reduced_store(self.index, self.captures)
 
+    @cached_property
+    def line_store(self) -> linegrain.LineStore:
+        return linegrain.of_captures(self.index, self.captures)
+
     @cached_property
     def files(self) -> DataFrame:
         return views.capture_files(self.captures)
@@ -184,6 +188,13 @@ def partial_index(t: Tables) -> DataFrame:
     return t.index.where(~late)
 
 
+def grown_index(t: Tables) -> DataFrame:
+    """The index of all captures, made in two runs: the second reads only what came after the third of each session."""
+    early, late = t.captures.where("count <= 3"), t.captures.where("count > 3")
+    index = materialize(reduction.reduction_index(early), "early-index")
+    return index_rows(reduction.extend_index(index, reduction.reduced_store(index, early), late))
+
+
 def tampered_index(t: Tables) -> DataFrame:
     """An index with some digests, lengths and sources spoiled, to see that checks notice."""
     conv = F.expr("cast(split(sid, '-')[0] as bigint)")
@@ -374,6 +385,9 @@ REDUCTION: dict[str, Callable[[Tables], DataFrame]] = {
         "sid", "epoch", "count", "kind", F.octet_length("content").alias("bytes"), F.sha2("content", 256).alias("sha256")),
     "reconstruct_capture": lambda t: reduction.reconstruct_capture(t.index, t.store).select(
         "sid", "count", "source", F.sha2("content", 256).alias("sha256")),
+    "reduced_store_lines": lambda t: t.line_store.bodies.select("address", F.octet_length("line").alias("bytes")),
+    "reconstruct_from_lines": lambda t: linegrain.reconstruct_from_lines(t.index, t.line_store),
+    "reduction_index_incremental": grown_index,
     "compaction_annotations": compaction_rows,
     "verify_roundtrip": lambda t: check_counts(reduction.verify_roundtrip(tampered_index(t), t.store)),
     "verify_against_source": lambda t: reduction.verify_against_source(tampered_index(t), t.captures),
