@@ -115,9 +115,12 @@ def held_out() -> Column:
 def sample(documents: DataFrame, options: FitOptions) -> DataFrame:
     """lang, text: about ``texts`` texts of each language, chosen by a hash of the id; one per id."""
     labelled = documents.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).select("doc_id", "lang", "text")
-    share = labelled.groupBy("lang").agg((F.lit(float(options.texts)) / F.count("*")).alias("share"))
+    # a row per language, like the profiles themselves; a join by language would shuffle every text to find a few
+    shares = [x for r in labelled.groupBy("lang").count().collect() for x in (F.lit(r["lang"]), F.lit(options.texts / r["count"]))]
+    if not shares:
+        return labelled.select("lang", "text")
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(options.seed)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.join(share, "lang").where(drawn < F.col("share"))
+    chosen = labelled.where(drawn < F.element_at(F.create_map(*shares), F.col("lang")))
     return chosen.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x")).select("x.lang", "x.text")
 
 
