@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from turnscope.operators.reduction import block_digests, content_lines, reduced_store
 from turnscope.plans.ordered import flag, scan, widen, with_chunks
+from turnscope.session import materialize
 
 LINE_WIDTHS = (12, 13, 14)  # of a line number in 16 digits: hot captures are cut every 10^4, 10^3 or 10^2 lines
 
@@ -64,7 +65,7 @@ def line_store(index: DataFrame, lines: DataFrame) -> LineStore:
 
 def of_captures(index: DataFrame, captures: DataFrame) -> LineStore:
     contents = reduced_store(index, captures)
-    return line_store(index, content_lines(contents, "sid", "epoch", "count", "kind"))
+    return line_store(index, materialize(content_lines(contents, "sid", "epoch", "count", "kind"), "lines"))
 
 
 def rebuilt_lines(store: LineStore) -> DataFrame:
