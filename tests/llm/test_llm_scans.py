@@ -1,6 +1,7 @@
 """Personal data, secrets, quality rules and chat formatting against plain Python."""
 
 import hashlib
+import random
 import re
 import string
 
@@ -184,3 +185,26 @@ def test_events_fold_and_read_back(spark):
 
 def test_every_statement_has_a_query():
     assert set(oracle_sql()) <= set(queries())
+
+
+@pytest.mark.parametrize("size", [1_000, 20_000, 200_000])
+def test_one_long_candidate(spark, size):
+    """Mixed characters throughout: the whole run is one span, and a plain stretch inside parts it."""
+    rng = random.Random(size)
+    mixed = lambda n: "".join(rng.choice("abcdefghijkLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    text = f"é {mixed(size)} and {mixed(400)}{'a' * 60}{mixed(400)}"
+    (got,) = secrets.scan(documents(spark, [text])).collect()
+    spans = [(x.s, x.e) for x in got.spans if x.k == "entropy"]
+    assert spans[0] == (2, 2 + size) and len(spans) == 3
+    assert spans[1][0] == size + 7 and spans[2][1] == len(text)
+    assert size + 407 <= spans[1][1] < size + 427 and size + 447 < spans[2][0] <= size + 467
+
+
+def test_many_matches_in_one_text(spark):
+    count = 20_000
+    text = " ".join(f"10.{i % 250}.{i % 7}.{i % 99}" for i in range(count))
+    (got,) = pii.scan(documents(spark, [text])).collect()
+    assert [x.s for x in got.base] == [m.start() for m in re.finditer(r"\S+", text)]
+    text = " ".join(f"é token={i * 7919 + 10 ** 9:030x}x" for i in range(count))
+    (got,) = secrets.scan(documents(spark, [text])).collect()
+    assert [(x.s, x.e) for x in got.base if x.k == "assign"] == [m.span() for m in re.finditer(r"token=\w+", text)]

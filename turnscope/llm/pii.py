@@ -20,7 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnscope.llm.columns import count_of, let, matches, named, no_spans, overlaps, rendered, text_key, whole
+from turnscope.llm.columns import (
+    apart, chunks, count_of, let, matches, named, no_spans, piece, rendered, text_key, whole,
+)
 from turnscope.session import materialize
 
 # fixed values: the patterns of the contract. Possessive, and not begun inside a run that was tried already: neither
@@ -71,13 +73,15 @@ def identifier_tokens(text: Column) -> Column:
 
 def instances(docs: DataFrame) -> DataFrame:
     """One row per seed or candidate of every distinct text: key, kind (null: candidate), s, e, value, patterns."""
-    known = F.filter("tokens", lambda t: ~F.exists("base", lambda b: overlaps(t, b)))
+    known = F.when(F.size("base") > 0, apart(F.col("tokens"), F.col("base"))).otherwise(F.col("tokens"))
     every = F.concat("base", F.transform(known, lambda t: F.struct(
         F.lit(9).alias("o"), F.lit(None).cast("string").alias("k"), t["s"].alias("s"), t["e"].alias("e"))))
-    texts = docs.where(F.col("has")).select("key", "text", F.explode(every).alias("x"))
-    s, e, n = F.col("x.s"), F.col("x.e"), F.lit(CONTEXT)
-    before = F.substring("text", F.greatest(s - n, F.lit(0)) + 1, F.least(s, n))
-    after = F.substring("text", e + 1, n)
+    n = F.lit(CONTEXT)
+    around = let(chunks(F.col("text")), lambda parts: F.transform(every, lambda x: F.struct(
+        x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), piece(parts, x["s"], x["e"] - x["s"]).alias("value"),
+        piece(parts, F.greatest(x["s"] - n, F.lit(0)), F.least(x["s"], n)).alias("before"), piece(parts, x["e"], n).alias("after"))))
+    texts = docs.where(F.col("has")).select("key", F.explode(around).alias("x"))
+    before, after, s, e = F.col("x.before"), F.col("x.after"), F.col("x.s"), F.col("x.e")
     left = F.regexp_extract(F.lower(before), r"(\S+)\s+(\S+)\s*$", 0)
     word_left = F.regexp_extract(F.lower(before), r"(\S+)\s*$", 1)
     word_right = F.regexp_extract(F.lower(after), r"^\s*(\S+)", 1)
@@ -86,7 +90,7 @@ def instances(docs: DataFrame) -> DataFrame:
     patterns = F.transform(F.filter(F.arrays_zip(made.alias("p"), told.alias("ok")), lambda x: x["ok"]), lambda x: x["p"])
     return texts.select(
         "key", F.col("x.k").alias("kind"), s.alias("s"), e.alias("e"),
-        F.lower(F.substring("text", s + 1, e - s)).alias("value"), patterns.alias("patterns"))
+        F.lower("x.value").alias("value"), patterns.alias("patterns"))
 
 
 def bootstrap(found: DataFrame, options: BootstrapOptions) -> DataFrame:
