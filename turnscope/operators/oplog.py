@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnscope.functions import text as X
 from turnscope.operators import labels
+from turnscope.session import materialize
 
 
 def fires_summary(log: DataFrame) -> DataFrame:
@@ -21,41 +22,55 @@ def suppression_counts(log: DataFrame) -> DataFrame:
 
 
 def bands(values: DataFrame) -> DataFrame:
-    """Exact order statistics per ``band``: upper median, element int(0.95 n), maximum.
+    """Exact order statistics per ``band``: upper median, element int(0.95 n), maximum. ``values``: band, value
+    (NULL and NaN ignored).
 
-    Equal values collapse to counts first. Counts are summed per unit-wide bucket, the buckets
-    holding the wanted ranks are located, and only those are ranked: nothing sorts all values.
-    Logged times carry at most three decimals, so a bucket holds at most a thousand of them.
-    ``values``: band, value (NULLs ignored).
+    Selection by rounds: every round narrows the interval in which a wanted rank lies, by a histogram of it, until the
+    interval holds one value: about log(n) / log(64) rounds. A round is one sketch and one pre-aggregated count per
+    (band, wanted rank, cell), so nothing is sorted or ranked in one task, whatever the values and however many bands.
     """
-    freq = (
-        values.where("value IS NOT NULL").groupBy("band", "value").agg(F.count("*").alias("c"))
-        .withColumn("bucket", F.floor("value"))
-    )
-    sizes = freq.groupBy("band", "bucket").agg(F.sum("c").alias("c"), F.max("value").alias("top"))
-    upto = Window.partitionBy("band").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("band")
-    placed = sizes.select(
-        "band", "bucket", "c", F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("start"),
-        F.sum("c").over(whole).alias("n"), F.max("top").over(whole).alias("max"),
-    )
-    wanted = placed.select("band", "bucket", "start", "c", "n", "max", F.explode(F.array(
+    number = F.col("value").cast("double")
+    known = materialize(values.select("band", number.alias("value")).where("value IS NOT NULL AND NOT isnan(value)"), "values")
+    totals = known.groupBy("band").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    ranks = F.explode(F.array(
         F.struct(F.lit("median").alias("name"), F.floor(F.col("n") / 2).alias("rank")),
-        F.struct(F.lit("p95").alias("name"), F.floor(F.col("n") * F.lit(0.95)).alias("rank")),
-    )).alias("w")).where("w.rank >= start AND w.rank < start + c").select(
-        "band", "bucket", "start", "n", "max", "w.name", "w.rank")
-    inside = Window.partitionBy("band", "bucket", "name").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    picked = (
-        freq.join(wanted, ["band", "bucket"])
-        .withColumn("lo", F.col("start") + F.coalesce(F.sum("c").over(inside), F.lit(0)))
-        .where("rank >= lo AND rank < lo + c")
-    )
-    return picked.groupBy("band").agg(
-        F.max("n").alias("n"),
-        F.max(F.when(F.col("name") == "median", F.col("value"))).alias("median"),
-        F.max(F.when(F.col("name") == "p95", F.col("value"))).alias("p95"),
-        F.max("max").alias("max"),
-    )
+        F.struct(F.lit("p95").alias("name"), F.floor(F.col("n") * F.lit(0.95)).alias("rank"))))
+    wanted = totals.select("band", "n", F.col("high").alias("max"), "low", "high", ranks.alias("w")).select(
+        "band", "n", "max", "low", "high", "w.name", "w.rank")
+    while True:
+        wanted = materialize(wanted, "wanted")
+        if wanted.where("low < high").isEmpty():
+            break
+        wanted = narrowed(known, wanted)
+    return wanted.groupBy("band").agg(
+        F.max("n").alias("n"), F.max(F.when(F.col("name") == "median", F.col("low"))).alias("median"),
+        F.max(F.when(F.col("name") == "p95", F.col("low"))).alias("p95"), F.max("max").alias("max"))
+
+
+CUTS = 64
+
+
+def narrowed(known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted ranks with the least and greatest value of the cell of [low, high] in which each lies.
+
+    ``rank`` counts from the first value of the interval. The cuts between cells come from a mergeable sketch of what
+    the interval holds, so that a cell has about a ``CUTS``-th of it however the values are spread; a cut is a cell of
+    its own, so values that repeat end the search. The counts are exact, whatever the sketch says.
+    """
+    open_ = wanted.where("low < high")
+    inside = known.join(open_.select("band", "name", "low", "high"), "band").where("value BETWEEN low AND high")
+    cuts = inside.groupBy("band", "name").agg(
+        F.percentile_approx("value", [k / CUTS for k in range(CUTS + 1)], 1000).alias("cuts"))
+    below = F.size(F.filter("cuts", lambda c: c < F.col("value")))
+    cell = 2 * below + F.array_contains("cuts", F.col("value")).cast("int")
+    counts = inside.join(cuts, ["band", "name"]).groupBy("band", "name", cell.alias("cell")).agg(
+        F.count("*").alias("c"), F.min("value").alias("cell_low"), F.max("value").alias("cell_high"))
+    upto = Window.partitionBy("band", "name").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # few cells
+    placed = counts.withColumn("start", F.coalesce(F.sum("c").over(upto), F.lit(0)))
+    found = open_.drop("low", "high").join(placed, ["band", "name"]).where("rank >= start AND rank < start + c")
+    return wanted.where("low >= high").unionByName(found.select(
+        "band", "n", "max", F.col("cell_low").alias("low"), F.col("cell_high").alias("high"), "name",
+        (F.col("rank") - F.col("start")).alias("rank")))
 
 
 def latency_bands(log: DataFrame) -> DataFrame:

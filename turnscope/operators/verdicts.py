@@ -9,6 +9,7 @@ from turnscope.functions import text as X
 from turnscope.functions import vocab as V
 from turnscope.operators import state
 from turnscope.plans.ordered import scan
+from turnscope.session import materialize
 
 
 def latest(writes: DataFrame) -> DataFrame:
@@ -153,23 +154,20 @@ def uncached_requests(turns: DataFrame, writes: DataFrame, recheck: bool = False
 
 
 def global_rank(msgs: DataFrame) -> DataFrame:
-    """0-based position over all sessions in (sid, idx) order, without a single-task sort.
+    """0-based position over all sessions in (sid, idx) order.
 
-    Three levels of offsets: sid prefix, session within prefix, message within session. The first
-    level is a few thousand rows; the second is split by prefix and holds one row per session.
+    Rows are sorted by ranges and written; each range's rows are numbered as they lie, and what earlier ranges hold is
+    added from one count per range. Ranges are cut from the keys that occur, so neither a session nor ids of one
+    shared prefix gather in a task.
     """
-    per_session = msgs.groupBy("sid").agg(F.count("*").alias("n")).withColumn("head", F.substring("sid", 1, 3))
-    per_head = per_session.groupBy("head").agg(F.sum("n").alias("n"))
-    before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    heads = per_head.select("head", F.coalesce(
-        F.sum("n").over(before.orderBy("head")), F.lit(0)).alias("_a"))
-    inner = Window.partitionBy("head").orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        per_session.select("sid", "head", F.coalesce(F.sum("n").over(inner), F.lit(0)).alias("_b"))
-        .join(heads, "head")
-        .select("sid", (F.col("_a") + F.col("_b")).alias("_start"))
-    )
-    return msgs.join(starts, "sid").withColumn("pos", F.col("_start") + F.col("idx") - 1).drop("_start")
+    lying = F.monotonically_increasing_id()  # range number in the upper bits, place within it in the lower 33
+    ranged = materialize(msgs.repartitionByRange("sid", "idx").sortWithinPartitions("sid", "idx").withColumn("_at", lying), "ranges")
+    place = F.col("_at").bitwiseAND((1 << 33) - 1)
+    numbered = ranged.withColumn("_range", F.shiftright("_at", 33))
+    sizes = numbered.groupBy("_range").agg(F.count("*").alias("n"))  # as many rows as there were tasks
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    return numbered.join(starts, "_range").withColumn("pos", F.col("_start") + place).drop("_at", "_range", "_start")
 
 
 def systematic_sample(msgs: DataFrame, limit: int = 100) -> DataFrame:

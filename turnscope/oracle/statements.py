@@ -253,7 +253,7 @@ WHERE pos % step = 0 AND pos // step < 100"""),
 SELECT key, sid, idx, coalesce(nullif(previous, ''), {lit(V.FIRST_MESSAGE_PLACEHOLDER)}) AS previous, text AS message FROM previous"""),
         "uncached_requests": with_(PREVIOUS, f"""
 SELECT key, sid, idx, coalesce(nullif(previous, ''), {lit(V.FIRST_MESSAGE_PLACEHOLDER)}) AS previous, text AS message
-FROM previous WHERE key NOT IN (SELECT key FROM desync WHERE ord % 3 = 0)"""),
+FROM previous WHERE key NOT IN (SELECT key FROM desync)"""),
         "transcript_facts": query("""
 SELECT sid, kind, count(*) AS n FROM (
   SELECT sid, kind FROM facts WHERE kind IN ('message', 'queue', 'launch', 'question', 'notified', 'denial', 'api_error')
@@ -395,7 +395,7 @@ SELECT key, sid, idx, kind FROM located l WHERE idx IS NOT NULL AND NOT EXISTS (
   OR EXISTS (SELECT 1 FROM state_facts s WHERE s.sid = b.sid AND s.idx = b.idx)))"""),
         "marker_location": query("""
 SELECT count(*) AS markers, count(*) FILTER (here) AS located, count(*) FILTER (NOT here) AS unmatched
-FROM (SELECT key IN (SELECT key FROM msgs WHERE seq % 6 <> 1) AS here FROM markers)"""),
+FROM (SELECT key IN (SELECT key FROM msgs) AS here FROM markers)"""),
         "fact_lift": with_(BACK, """
 SELECT fact, before_share, base_share, before_share / base_share AS lift FROM (
   SELECT f.fact, (SELECT count(*) FROM back JOIN state_facts s USING (sid, idx) WHERE s.fact = f.fact) / (SELECT count(*) FROM back) AS before_share,
@@ -499,11 +499,27 @@ STREAM_RULES = "('R01', 'R02', 'R03', 'R04', 'R05', 'R07', 'R10', 'R11', 'R12',
 STREAMED = f"FROM (SELECT * FROM fires WHERE rule IN {STREAM_RULES}) f"
 
 
+TEN = 600_000_000  # microseconds of a window
+TIMED = """
+timed AS (SELECT f.sid, m.us, f.rule AS what FROM fires f JOIN msgs m USING (sid, idx) WHERE m.us IS NOT NULL
+  UNION ALL SELECT sid, us, 'error' FROM facts WHERE kind = 'api_error' AND us IS NOT NULL)
+"""
+
+
 def streaming() -> dict[str, str]:
     return {
         "stream_sequence": query("SELECT sid, seq, row_number() OVER (PARTITION BY sid ORDER BY ts, seq) AS n FROM facts"),
         "stream_dedupe": query("SELECT kind, count(*) AS n FROM facts GROUP BY ALL"),
         "stream_tail": line_counts(COPIES, ATTACHED),
+        "stream_windows": with_(TIMED, f"""
+SELECT 'tumbling' AS shape, NULL::VARCHAR AS sid, what, us // {TEN} * {TEN} AS start_us, us // {TEN} * {TEN} + {TEN} AS end_us, count(*) AS n
+FROM timed GROUP BY ALL
+UNION ALL SELECT 'sliding', NULL, what, start_us, start_us + {TEN}, count(*) FROM (
+  SELECT what, (us // {TEN // 2} - back) * {TEN // 2} AS start_us FROM timed, range(2) AS r(back)) GROUP BY ALL
+UNION ALL SELECT 'session', sid, what, min(us), max(us) + {TEN // 2}, count(*) FROM (
+  SELECT *, sum(begins) OVER (PARTITION BY sid, what ORDER BY us, place) AS nth FROM (
+    SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY sid, what ORDER BY us, place) < {TEN // 2} THEN 0 ELSE 1 END AS begins FROM (
+      SELECT *, row_number() OVER () AS place FROM timed))) GROUP BY sid, what, nth"""),
         "stream_rules": query(f"SELECT sid, idx, rule, key FROM fires WHERE rule IN {STREAM_RULES}"),
         "stream_routing": with_(ROUTED.replace("FROM fires f", STREAMED), "SELECT sid, idx, rule, key, surfaced, deduped, suppressed FROM routed"),
         "stream_verdicts": with_(PENDING.replace("FROM fires f", STREAMED), "SELECT sid, asked_idx, rule, key, verdict FROM settled"),

@@ -290,7 +290,7 @@ SHAPE: dict[str, Callable[[Tables], DataFrame]] = {
     "previous_turn": lambda t: t.turns.select("sid", "idx", "key", "previous"),
     "systematic_sample": lambda t: verdicts.systematic_sample(t.messages).select("sid", "idx", "pos"),
     "judgement_requests": lambda t: verdicts.judgement_requests(t.turns),
-    "uncached_requests": lambda t: verdicts.uncached_requests(t.turns, views.cached_verdicts(t.desync)),
+    "uncached_requests": lambda t: verdicts.uncached_requests(t.turns, t.desync),
     "transcript_facts": lambda t: shape.to_facts(t.share_lines().lines).groupBy("sid", "kind").agg(F.count("*").alias("n")),
 }
 
@@ -364,7 +364,7 @@ TRACE: dict[str, Callable[[Tables], DataFrame]] = {
     "rules_before_markers": lambda t: trace.rules_before_markers(t.messages, t.markers, t.active),
     "facts_before_markers": lambda t: trace.facts_before_markers(t.messages, t.markers, t.facts),
     "silent_markers": lambda t: trace.silent_markers(t.messages, t.markers, t.active, t.facts),
-    "marker_location": lambda t: trace.marker_location(views.kept_messages(t.messages), t.markers),
+    "marker_location": lambda t: trace.marker_location(t.messages, t.markers),
     "fact_lift": lambda t: trace.fact_lift(t.messages, t.markers, t.facts),
     "lookahead_rates": lambda t: trace.lookahead_rates(t.messages, t.directives, t.desync),
     "relative_risk": lambda t: trace.relative_risk(t.messages, t.directives, t.desync),
@@ -421,6 +421,7 @@ STREAMING: dict[str, Callable[[Tables], DataFrame]] = {
     "stream_rules": jobs.stream_rules,
     "stream_routing": jobs.stream_routing,
     "stream_verdicts": jobs.stream_verdicts,
+    "stream_windows": jobs.stream_windows,
 }
 
 GROUPS = (SOURCES, SHAPE, STATE, RULES, ROUTING, LABELS, COVERAGE, VERDICTS, TRACE, REDUCTION, OPLOG, STREAMING)

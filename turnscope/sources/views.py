@@ -449,13 +449,3 @@ def compaction_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("sid").agg(F.encode(body, "UTF-8").alias("content")).select(
         "sid", F.lit(1).cast("long").alias("count"), F.lit("Stop").alias("event"),
         F.lit(EPOCH_US).alias("captured_us"), "content")
-
-
-def cached_verdicts(desync: DataFrame) -> DataFrame:
-    """A cache that lacks two thirds of the verdicts."""
-    return desync.where("ord % 3 = 0")
-
-
-def kept_messages(messages: DataFrame) -> DataFrame:
-    """A corpus in which a sixth of the messages is gone, so that some markers cannot be located."""
-    return messages.where("seq % 6 <> 1")

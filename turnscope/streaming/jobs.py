@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from turnscope.functions import text as X
 from turnscope.functions import vocab as V
 from turnscope.operators import rules, state
-from turnscope.session import ROCKSDB, scratch_path
+from turnscope.session import ROCKSDB, materialize, scratch_path
 from turnscope.sources import catalogue as C
 from turnscope.sources import raw, views
 from turnscope.sources.tail import tail_lines
@@ -42,18 +42,29 @@ def catalogue_roundtrip(spark: SparkSession, catalogue: DataFrame) -> DataFrame:
     return C.scan_catalogue(spark, path)
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Append rows as JSON lines below a date folder."""
-    dated = rows.withColumn("date", F.substring("ts", 1, 10))
-    dated.write.mode("append").partitionBy("date").json(path)
+def append_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that appends a batch of log rows as JSON lines below its own folder, by date.
+
+    A batch that is written again, after a failure between write and checkpoint, replaces what it wrote before.
+    """
+    def write(rows: DataFrame, batch: int) -> None:
+        dated = rows.withColumn("date", F.substring("ts", 1, 10))
+        dated.write.mode("overwrite").partitionBy("date").json(f"{path}/batch={batch}")
+    return write
+
+
+def read_log(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).json(path).select(*[f.name for f in schema])
 
 
 def append_and_read(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """Append the log in two steps and read it back."""
-    path = scratch_path(spark, "fires")
-    append_log(rows.where("idx % 2 = 0"), path)
-    append_log(rows.where("idx % 2 = 1"), path)
-    return spark.read.schema(rows.schema).json(path).select(*rows.columns)
+    """Append the log as a stream in two runs and read it back."""
+    source, path, checkpoint = (scratch_path(spark, n) for n in ("fires-in", "fires", "fires-checkpoint"))
+    for half in (0, 1):
+        rows.where(f"idx % 2 = {half}").write.mode("append").parquet(source)
+        spark.readStream.schema(rows.schema).parquet(source).writeStream.foreachBatch(append_batch(path)).option(
+            "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return read_log(spark, path, rows.schema)
 
 
 # ---- streams ----------------------------------------------------------------------------------
@@ -190,3 +201,37 @@ def stream_tail(t) -> DataFrame:
         lines.where(part).select("line").write.mode("append").text(source)
         follow(spark, source, sink, checkpoint)
     return spark.read.schema("type string, value string").parquet(sink).groupBy("type").agg(F.count("*").alias("lines"))
+
+
+# ---- windows over the fire log ----------------------------------------------------------------
+
+WINDOW, SLIDE, GAP, DELAY = "10 minutes", "5 minutes", "5 minutes", "10 minutes"
+END = "end"  # a row behind the last one closes the windows that are open
+
+
+def windowed(stream: DataFrame, shape: str) -> DataFrame:
+    """Counts of what (a rule, or an error) per tumbling or sliding window, or per session window of a conversation.
+
+    A window is told once, when the watermark has passed its end; rows that come later than that are not counted.
+    """
+    timed = stream.withColumn("at", F.timestamp_micros("us")).withWatermark("at", DELAY)
+    window = {"tumbling": F.window("at", WINDOW), "sliding": F.window("at", WINDOW, SLIDE), "session": F.session_window("at", GAP)}[shape]
+    keys = ["sid"] if shape == "session" else []
+    counted = timed.groupBy(window.alias("w"), *keys, "what").agg(F.count("*").alias("n"))
+    sid = F.col("sid") if keys else F.lit(None).cast("string")
+    return counted.select(
+        F.lit(shape).alias("shape"), sid.alias("sid"), "what", F.unix_micros("w.start").alias("start_us"),
+        F.unix_micros("w.end").alias("end_us"), "n")
+
+
+def stream_windows(t) -> DataFrame:
+    stateful(t.spark)
+    fires = t.fires.select("sid", "us", F.col("rule").alias("what"))
+    errors = t.log.where("kind = 'api_error'").select("sid", "us", F.lit("error").alias("what"))
+    rows = materialize(fires.unionByName(errors).where("us IS NOT NULL"), "timed")
+    after = rows.agg((F.max("us") + 3_600_000_000).alias("us")).where("us IS NOT NULL").select(
+        F.lit("").alias("sid"), "us", F.lit(END).alias("what"))
+    ended = materialize(rows.unionByName(after), "timed")
+    shapes = [replay(t.spark, ended, lambda s, shape=shape: windowed(s, shape), f"windows-{shape}")
+              for shape in ("tumbling", "sliding", "session")]
+    return shapes[0].unionByName(shapes[1]).unionByName(shapes[2]).where(F.col("what") != END)
