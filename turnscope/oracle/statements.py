@@ -494,11 +494,6 @@ UNION ALL SELECT *, 'right' FROM (SELECT {CATALOGUE_COLUMNS} FROM refreshed EXCE
     }
 
 
-# R06 and R08 need tables beside the log and are evaluated in batch
-STREAM_RULES = "('R01', 'R02', 'R03', 'R04', 'R05', 'R07', 'R10', 'R11', 'R12', 'R13')"
-STREAMED = f"FROM (SELECT * FROM fires WHERE rule IN {STREAM_RULES}) f"
-
-
 TEN = 600_000_000  # microseconds of a window
 TIMED = """
 timed AS (SELECT f.sid, m.us, f.rule AS what FROM fires f JOIN msgs m USING (sid, idx) WHERE m.us IS NOT NULL
@@ -520,9 +515,9 @@ UNION ALL SELECT 'session', sid, what, min(us), max(us) + {TEN // 2}, count(*) F
   SELECT *, sum(begins) OVER (PARTITION BY sid, what ORDER BY us, place) AS nth FROM (
     SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY sid, what ORDER BY us, place) < {TEN // 2} THEN 0 ELSE 1 END AS begins FROM (
       SELECT *, row_number() OVER () AS place FROM timed))) GROUP BY sid, what, nth"""),
-        "stream_rules": query(f"SELECT sid, idx, rule, key FROM fires WHERE rule IN {STREAM_RULES}"),
-        "stream_routing": with_(ROUTED.replace("FROM fires f", STREAMED), "SELECT sid, idx, rule, key, surfaced, deduped, suppressed FROM routed"),
-        "stream_verdicts": with_(PENDING.replace("FROM fires f", STREAMED), "SELECT sid, asked_idx, rule, key, verdict FROM settled"),
+        "stream_rules": query("SELECT sid, idx, rule, key FROM fires"),
+        "stream_routing": with_(ROUTED, "SELECT sid, idx, rule, key, surfaced, deduped, suppressed FROM routed"),
+        "stream_verdicts": with_(PENDING, "SELECT sid, asked_idx, rule, key, verdict FROM settled"),
     }
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from turnscope.functions import text as X
 from turnscope.functions import vocab as V
 from turnscope.operators import rules, state
+from turnscope.plans.ordered import scan, with_chunks
 from turnscope.session import ROCKSDB, materialize, scratch_path
 from turnscope.sources import catalogue as C
 from turnscope.sources import raw, views
@@ -111,26 +112,56 @@ def sequence(stream: DataFrame) -> DataFrame:
         session.Sequence(), "sid string, seq bigint, n bigint", "Append", "None")
 
 
-def session_features(facts: DataFrame) -> DataFrame:
-    """Fact columns the session processor reads, text rules and reply verdict included."""
+def down_times(probes: DataFrame) -> DataFrame:
+    """url, since, until: when the latest probe says that a URL does not answer; ``until`` NULL while it stays so."""
+    placed = with_chunks(probes.select("url", "ts", "seq", "serves"), key="url", order="ts")
+    turns = scan(placed, ["url"], ["ts", "seq"], nexts={"next": F.struct("ts")})
+    return turns.where("serves = false").select("url", F.col("ts").alias("since"), F.col("next.ts").alias("until"))
+
+
+def faults_of_messages(facts: DataFrame, known: DataFrame, down: DataFrame) -> DataFrame:
+    """References no inventory knows and URLs that did not answer at the time, as facts placed before their message.
+
+    Joins of the stream with tables: what a message cites is looked up as it comes, and nothing is kept.
+    """
+    said = facts.where("kind = 'message'").select("sid", "ts", "seq", "us", "text")
+    place = ["sid", "ts", "seq", "us"]
+    cited = said.select(*place, F.explode(X.references("text", V.PATH, V.REPO)).alias("ref"))
+    missing = cited.join(known.select("ref"), "ref", "left_anti").select(*place, F.lit(session.MISSING).alias("kind"), "ref")
+    urls = said.select(*place, F.explode(X.references("text", V.URL)).alias("url"))
+    dead = urls.join(down, "url").where("ts >= since AND (until IS NULL OR ts < until)").select(
+        *place, F.lit(session.DEAD).alias("kind"), F.col("url").alias("ref"))
+    return missing.unionByName(dead)
+
+
+def session_features(
+    facts: DataFrame, params: dict[tuple[str, str], float], known: DataFrame | None = None, down: DataFrame | None = None,
+) -> DataFrame:
+    """Fact columns the session processor reads, text rules and reply verdict included. ``known`` and ``down`` are the
+    tables beside the log; without them R06 and R08 stay silent, as in batch."""
     fires = F.array_compact(F.array(*[
         F.when((F.col("kind") == "message") & condition, F.struct(F.lit(rule).alias("rule"), key.alias("key")))
         for rule, (condition, key) in ((r, make()) for r, make in rules.TEXT_RULES.items())
     ]))
-    long_enough = F.length("text") >= int(V.DEFAULT_PARAMS["R01", "min_chars"])
+    long_enough = F.length("text") >= int(params["R01", "min_chars"])
     draft = state.human_queue_op() & (F.col("op") == "remove") & long_enough
-    return facts.select(
+    features = facts.select(
         "sid", "ts", "seq", "us", "kind", "ref", "op",
         fires.alias("text_fires"), X.reply_verdict("text").alias("reply"), "text",
         F.when(draft, F.col("text")).alias("draft"),
-        rules.iso_offset("us").alias("stamp"),
+        rules.iso_offset("us").alias("stamp"), F.lit(1).alias("turn"),
     )
+    if known is None or down is None:
+        return features
+    faults = faults_of_messages(facts, known, down).withColumn("turn", F.lit(0))
+    return features.unionByName(faults, allowMissingColumns=True)
 
 
 def route_session(
     stream: DataFrame, policies: dict[str, session.Policy], budget: int, params: dict[tuple[str, str], float] = V.DEFAULT_PARAMS,
+    known: DataFrame | None = None, down: DataFrame | None = None,
 ) -> DataFrame:
-    return session_features(stream).groupBy("sid").transformWithStateInPandas(
+    return session_features(stream, params, known, down).groupBy("sid").transformWithStateInPandas(
         session.Session(policies, budget, params), session.OUT, "Append", "None")
 
 
@@ -144,7 +175,10 @@ def routed_stream(t) -> DataFrame:
     stateful(t.spark)
     facts = t.log.select("sid", "ts", "seq", "us", "kind", "ref", "op", "text")
     policies, params = catalogue_policies(t.catalogue), C.params_of(t.catalogue)
-    return replay(t.spark, facts, lambda stream: route_session(stream, policies, C.ask_budget(), params), "session")
+    known = materialize(t.inputs.known_refs, "refs")  # tables beside the log, read again with every micro-batch
+    down = materialize(down_times(t.inputs.url_probes), "down")
+    return replay(
+        t.spark, facts, lambda stream: route_session(stream, policies, C.ask_budget(), params, known, down), "session")
 
 
 def stream_rules(t) -> DataFrame:

@@ -24,7 +24,7 @@ HEAD = (
     "dequeues array<struct<stamp string, us bigint>>, causes array<struct<key string, rule string>>, "
     "pending array<struct<key string, rule string>>, drafts array<string>, last_text string, last_us bigint"
 )
-WINDOW_US = 90_000_000
+MISSING, DEAD = "missing_ref", "dead_url"  # facts about the message at the same place, which come before it
 COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
 
@@ -65,6 +65,7 @@ class Session(StatefulProcessor):
 
     def __init__(self, policies: dict[str, Policy], budget: int, params: dict[tuple[str, str], float]):
         self.policies, self.budget, self.params = policies, budget, params
+        self.window_us = int(params["R12", "window_s"] * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         # what is open now: read and written once per micro-batch
@@ -84,6 +85,8 @@ class Session(StatefulProcessor):
         self.tasks, self.dequeues = dict(head[3]), dict(head[4])
         self.causes, self.pending = dict(head[5]), dict(head[6])
         self.drafts, self.last_text, self.last_us = list(head[7]), head[8], head[9]
+        # what was found wrong with the message that comes next
+        self.missing, self.dead = set(), set()
 
     def save(self) -> None:
         self.head.update((
@@ -93,7 +96,7 @@ class Session(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         self.load()
-        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        batch = pd.concat(list(rows)).sort_values(["ts", "seq", "turn"])
         out: list[tuple] = []
         for r in batch.itertuples(index=False):
             if r.kind == "message":
@@ -109,7 +112,11 @@ class Session(StatefulProcessor):
 
     def note(self, r) -> None:
         """Take in one fact."""
-        if r.kind == "launch" and not self.ended.containsKey((r.ref,)):
+        if r.kind == MISSING:
+            self.missing.add(r.ref)
+        elif r.kind == DEAD:
+            self.dead.add(r.ref)
+        elif r.kind == "launch" and not self.ended.containsKey((r.ref,)):
             self.tasks[r.ref] = r.us
         elif r.kind in ("notified", "ended") and r.ref:
             self.ended.updateValue((r.ref,), (r.us,))
@@ -121,18 +128,18 @@ class Session(StatefulProcessor):
         elif r.kind == "api_error":
             self.error_us = r.us
             for stamp, us in self.dequeues.items():
-                if r.us - us <= WINDOW_US:
+                if r.us - us <= self.window_us:
                     self.causes[f"lost:{stamp}"] = "R12"
             # later errors lie further away still
             self.dequeues.clear()
         elif r.kind == "queue" and r.op == "remove" and r.draft:
             self.drafts.append(r.draft)
         elif r.kind == "queue" and r.op == "dequeue":
-            if self.error_us is not None and r.us - self.error_us <= WINDOW_US:
+            if self.error_us is not None and r.us - self.error_us <= self.window_us:
                 self.causes[f"lost:{r.stamp}"] = "R12"
             else:
                 # only those that a coming error can still reach are kept
-                self.dequeues = {s: us for s, us in self.dequeues.items() if r.us - us <= WINDOW_US}
+                self.dequeues = {s: us for s, us in self.dequeues.items() if r.us - us <= self.window_us}
                 self.dequeues[r.stamp] = r.us
 
     def settle(self, sid, r) -> list[tuple]:
@@ -155,6 +162,10 @@ class Session(StatefulProcessor):
         found += [("R01", f"retraction:{sha12(d)}") for d in dict.fromkeys(self.drafts) if self.unlike_all(d, r.text)]
         if self.repeats_last(r):
             found.append(("R07", f"dup:{sha12(self.last_text)}:{sha12(r.text)}"))
+        for rule, name, refs in (("R06", "refs", self.missing), ("R08", "urls", self.dead)):
+            if refs:
+                found.append((rule, f"{name}:{sha12('|'.join(sorted(refs)))}"))
+                refs.clear()
         causes, self.causes = self.causes, {}
         # a cause already shown is not raised again
         found += [(rule, k) for k, rule in causes.items() if not self.seen.containsKey((k,))]
