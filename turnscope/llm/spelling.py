@@ -107,7 +107,9 @@ def rotations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def neighbours(words: DataFrame) -> DataFrame:
     """no, n_near, best (less: minus its uses, no) of every word with a near one."""
-    posted = words.mapInArrow(rotations, "stem string, no long, less long, full boolean, first boolean")
+    # a word becomes some twenty rows, which its few bytes on disk do not tell: the number of tasks is stated
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posted = words.repartition(tasks, "no").mapInArrow(rotations, "stem string, no long, less long, full boolean, first boolean")
     groups = posted.groupBy("stem").agg(
         F.array_sort(F.collect_list(F.struct("less", "no", "full", "first"))).alias("members")).where(F.size("members") > 1)
     near = lambda x: ((x["no"] != F.col("me.no")) & ~(x["full"] & F.col("me.full"))
