@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnscope.functions import text as X
 from turnscope.functions import vocab as V
-from turnscope.operators import similar, state
+from turnscope.operators import overlap, similar, state
 from turnscope.plans.ordered import scan
 
 VALID = ("applies", "does-not-apply")
@@ -36,14 +36,6 @@ def labels_latest(rows: DataFrame) -> DataFrame:
     )
 
 
-def pairs_of(c: str) -> Column:
-    """All two-element combinations of a sorted array."""
-    tail = lambda i: F.slice(c, i + 2, F.greatest(F.size(c) - i - 1, F.lit(0)))
-    return F.flatten(F.transform(c, lambda x, i: F.transform(
-        tail(i), lambda y: F.struct(x.alias("t1"), y.alias("t2"))
-    )))
-
-
 def correction_messages(msgs: DataFrame, markers: DataFrame) -> DataFrame:
     """Messages that correct something: the marked ones, or, while nothing at all is marked, those
     with correction wording."""
@@ -59,9 +51,7 @@ def correction_messages(msgs: DataFrame, markers: DataFrame) -> DataFrame:
 def later_correction(fires: DataFrame, msgs: DataFrame, markers: DataFrame) -> DataFrame:
     """First strictly later correction that shares two vocabulary items with the fire's subject.
 
-    Sharing two items means sharing some pair of items, so fires and corrections meet on
-    (session, pair) and the next correction is found by an ordered scan: no fire is ever compared
-    with all later messages. Corrections keep only items that occur in some subject.
+    Corrections keep only items that occur in some subject of their session.
     """
     asked = fires.where("us IS NOT NULL AND size(subject) >= 2").select(
         "sid", "ts", "seq", "us", "chunk", "idx", "rule", "key", "subject"
@@ -72,32 +62,18 @@ def later_correction(fires: DataFrame, msgs: DataFrame, markers: DataFrame) -> D
         .select("sid", "ts", "seq", "us", "chunk", "idx", F.explode(X.tokens("text")).alias("tok"))
         .join(vocabulary, ["sid", "tok"], "left_semi")
         .groupBy("sid", "ts", "seq", "us", "chunk", "idx")
-        .agg(F.array_sort(F.collect_set("tok")).alias("toks"))
-    )
-    said = spoken.select(
-        "sid", "ts", "seq", "us", "chunk", "idx", F.explode(pairs_of("toks")).alias("p"),
-        F.lit(0).alias("turn"),
-    )
-    wanted = asked.select(
-        "sid", "ts", "seq", "us", "chunk", "idx", "rule", "key",
-        F.explode(pairs_of("subject")).alias("p"), F.lit(1).alias("turn"),
-    )
-    both = wanted.unionByName(said, allowMissingColumns=True).select("*", "p.t1", "p.t2").drop("p")
-    # corrections sort before fires of the same instant, so "next" is strictly later
-    found = scan(
-        both, ["sid", "t1", "t2"], ["ts", "turn", "seq"],
-        nexts={"hit": F.when(F.col("turn") == 0, F.struct("ts", "idx", "us"))},
-    ).where("turn = 1 AND hit IS NOT NULL")
-    first = found.groupBy("sid", "idx", "rule", "key").agg(F.min("hit").alias("hit"))
+        .agg(F.array_sort(F.collect_set("tok")).alias("items"))
+    )
+    wanted = asked.select(*overlap.PLACE, "rule", "key", F.array_sort(F.array_distinct("subject")).alias("items"))
+    first = overlap.first_overlap(wanted, spoken)
     texts = msgs.select("sid", F.col("idx").alias("hit_idx"), F.col("text").alias("hit_text"))
     shared = F.array_intersect("subject", X.tokens("hit_text"))
     return (
         asked.join(first, ["sid", "idx", "rule", "key"])
-        .withColumn("hit_idx", F.col("hit.idx"))
         .join(texts, ["sid", "hit_idx"])
         .select(
             "sid", "idx", "rule", "key", "hit_idx",
-            F.bround((F.col("hit.us") - F.col("us")) / 1e6, 0).cast("long").alias("gap_seconds"),
+            F.bround((F.col("hit_us") - F.col("us")) / 1e6, 0).cast("long").alias("gap_seconds"),
             F.array_join(F.slice(F.array_sort(shared), 1, 4), "/").alias("shared"),
             F.substring(X.squash("hit_text"), 1, 110).alias("quote"),
         )
