@@ -72,6 +72,23 @@ def test_classifier_on_held_out_rows(spark):
     assert byte_cnn.score(documents(spark, []), network).count() == 0
 
 
+def test_classifier_sample_is_bounded(spark, monkeypatch):
+    """Rows that share an id teach once, and the texts that are brought together fit the stated bytes."""
+    taught = []
+    monkeypatch.setattr(byte_cnn, "train", lambda texts, labels, options: taught.append((texts, labels.tolist())))
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    docs = documents(spark, [(i, f"{j} " * 50) for i in ids for j in range(4)] + [(ids[0], None), (ids[1], "")])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] * 3, "doc_id long, quality int, toxic int")
+    byte_cnn.fit(docs, labels)
+    byte_cnn.fit(docs.repartition(7), labels)
+    assert taught[0] == taught[1] and taught[0][1] == [i % 2 for i in ids]
+    for size in (1000, 0):
+        byte_cnn.fit(docs, labels, byte_cnn.FitOptions(max_bytes=size))
+    some, none = taught[2][0], taught[3][0]
+    assert 0 < len(some) < len(ids) and 900 <= sum(map(len, some)) <= 1000
+    assert sum(map(len, none)) == 0
+
+
 def segmentations(chunk, vocabulary):
     """All ways to spell a chunk of ASCII with pieces, with their log weights."""
     byte_ids = set(vocabulary.byte_ids.tolist())

@@ -4,12 +4,13 @@ A text is read as bytes, whole, in overlapping chunks of two segments. Learned f
 chunk keeps the maximum of each filter. The maxima over all chunks and their mean over the chunks are
 combined by one logistic unit into the probability that the label is 1.
 
-The network is fitted on at most about ``max_rows`` labelled texts, drawn by a hash of the id, by Adam on mini-batches;
-gradients flow through the positions of the maxima only. Scoring is one pass over the texts without a shuffle; pairs
+The network is fitted on at most about ``max_rows`` labelled texts, drawn by a hash of the id, of ``max_bytes`` together,
+by Adam on mini-batches; gradients flow through the positions of the maxima only. Scoring is one pass over the texts without a shuffle; pairs
 of bytes are looked up in folded filter tables.
 
 Defined results: a null or empty text is one chunk of padding; labels that are null, or have no document, are
-ignored; without labels the score is 0.5 everywhere; repeated rows get equal scores; only id and text are read.
+ignored; without labels the score is 0.5 everywhere; repeated rows get equal scores; of rows that share an id one text
+teaches, that of the least hash; only id and text are read.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnscope.llm import hashing as H
+from turnscope.session import materialize
 
 WIDTH = 6  # bytes a filter sees
 SEGMENT = 256  # a chunk is two neighbouring segments
@@ -32,6 +34,7 @@ THRESHOLD = 0.3
 @dataclass(frozen=True)
 class FitOptions:
     max_rows: int = 6_000
+    max_bytes: int = 256_000_000  # of whole texts on the driver; in the order of the ids' hashes those that fit teach
     filters: int = 16
     epochs: int = 14
     batch: int = 32
@@ -169,10 +172,16 @@ def fit(docs: DataFrame, labels: DataFrame, options: FitOptions = FitOptions())
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(
         F.max("quality").alias("quality"))
     share = min(1.0, options.max_rows / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending")])
-    return train(H.texts_of(rows["text"]), np.array(rows["quality"].to_pylist(), float), options)
+    turn = F.xxhash64("doc_id")
+    chosen = known.where(F.pmod(turn, F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
+    one = F.min(F.struct(F.xxhash64("text"), "text")).alias("least")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(one)
+    rows = materialize(rows.select("doc_id", "quality", "least.text", turn.alias("turn")), "teachers")
+    sizes = rows.select("turn", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).toArrow().sort_by("turn")
+    fits = np.cumsum(sizes["bytes"].to_numpy().astype(np.int64)) <= options.max_bytes
+    last = sizes["turn"].to_numpy()[fits].max() if fits.any() else None
+    taught = rows.where(F.lit(False) if last is None else F.col("turn") <= int(last)).toArrow().sort_by("doc_id")
+    return train(H.texts_of(taught["text"]), np.array(taught["quality"].to_pylist(), float), options)
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:
