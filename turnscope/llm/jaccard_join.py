@@ -105,7 +105,9 @@ def fresh_buckets(signed: DataFrame, depth: int, before: int | None, options: Jo
     """(bucket, tree, n, key) for the members of buckets that may hold a pair that has not met before."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(options.trees - 1)))
     member = signed.select("key", "sig", tree.alias("tree"))
-    member = member.select("key", "tree", F.xxhash64("tree", prefix("sig", F.col("tree"), depth, options)).alias("bucket"))
+    # the prefix itself, marked by its tree, is the bucket: no two prefixes ever share one
+    named = F.concat(F.unhex(F.format_string("%02x", "tree")), prefix("sig", F.col("tree"), depth, options))
+    member = member.select("key", "tree", named.alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("leader")).where("n > 1")
     members = materialize(member.join(shared, "bucket"), "members")
     leaders = signed.select(F.col("key").alias("leader"), F.col("sig").alias("leader_sig"))
