@@ -159,10 +159,14 @@ def session_features(
 
 def route_session(
     stream: DataFrame, policies: dict[str, session.Policy], budget: int, params: dict[tuple[str, str], float] = V.DEFAULT_PARAMS,
-    known: DataFrame | None = None, down: DataFrame | None = None,
+    known: DataFrame | None = None, down: DataFrame | None = None, idle_s: float | None = None, delay: str = "10 minutes",
 ) -> DataFrame:
+    """Fires and verdicts of a stream of facts. With ``idle_s`` sessions end that long after their last row, by a watermark
+    that lags by ``delay``; the rows go on without the watermark's column, so none is dropped as late."""
+    if idle_s is not None:
+        stream = stream.withColumn("at", F.timestamp_micros("us")).withWatermark("at", delay)
     return session_features(stream, params, known, down).groupBy("sid").transformWithStateInPandas(
-        session.Session(policies, budget, params), session.OUT, "Append", "None")
+        session.Session(policies, budget, params, idle_s), session.OUT, "Append", "None" if idle_s is None else "EventTime")
 
 
 def catalogue_policies(catalogue: DataFrame) -> dict[str, session.Policy]:

@@ -61,13 +61,20 @@ class Policy:
 
 
 class Session(StatefulProcessor):
-    """Rules over running state, routing and reply verdicts for one session."""
+    """Rules over running state, routing and reply verdicts for one session.
 
-    def __init__(self, policies: dict[str, Policy], budget: int, params: dict[tuple[str, str], float]):
-        self.policies, self.budget, self.params = policies, budget, params
+    With ``idle_s`` a session ends once the watermark has passed its last row by so many seconds, and all that was kept
+    of it goes; rows that come after that begin it anew, from message 1. Sessions without any time do not end.
+    """
+
+    def __init__(
+        self, policies: dict[str, Policy], budget: int, params: dict[tuple[str, str], float], idle_s: float | None = None,
+    ):
+        self.policies, self.budget, self.params, self.idle_s = policies, budget, params, idle_s
         self.window_us = int(params["R12", "window_s"] * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         # what is open now: read and written once per micro-batch
         self.head = handle.getValueState("head", HEAD)
         # what is known for good: looked up by key, never listed
@@ -108,8 +115,25 @@ class Session(StatefulProcessor):
             else:
                 self.note(r)
         self.save()
+        if self.idle_s is not None:
+            self.put_off(batch["us"].max())
         yield pd.DataFrame(out, columns=COLUMNS)
 
+    def put_off(self, us: float) -> None:
+        """Move the session's end to ``idle_s`` after its latest row."""
+        if us == us and us is not None:
+            timers = [t for t in self.handle.listTimers()]
+            end = int(us // 1000 + self.idle_s * 1000)
+            if not timers or end > max(timers):
+                for t in timers:
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(end)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for kept in (self.head, self.ended, self.asked, self.seen, self.said):
+            kept.clear()
+        yield pd.DataFrame([], columns=COLUMNS)
+
     def note(self, r) -> None:
         """Take in one fact."""
         if r.kind == MISSING:
