@@ -4,8 +4,10 @@ import difflib
 import random
 
 import numpy as np
+from test_models import log_of
 
-from turnscope.operators import similar
+from turnscope.functions import text
+from turnscope.operators import rules, similar
 
 
 def longest(a, b):
@@ -58,3 +60,18 @@ def test_sessions_of_several_blocks(spark):
     for block in (8, 2048):
         got = {tuple(r) for r in similar.resemblance(probes, entries, 0.55, True, block).collect()}
         assert got == expected
+
+
+def test_two_decimals_of_ties(spark):
+    shares = sorted({2 * m / n for n in range(2, 420) for m in range(n // 2 + 1)})
+    rows = spark.createDataFrame([(x,) for x in shares], "x double").select("x", text.two_decimals("x").alias("said")).collect()
+    assert {x: said for x, said in rows} == {x: f"{x:.2f}" for x in shares}  # 0.975 was 0.98
+
+
+def test_repetition_at_a_tie(spark):
+    """39 of 40 characters agree, and the double of 0.975 lies below the tie."""
+    first, second = ("a" * 20 + x + "d" * 19 for x in "bc")
+    log = log_of(spark, [("s", 0, "message", None, None, first), ("s", 5, "message", None, None, second)])
+    fires = rules.rule_r07(rules.Inputs(log)).select("detail").collect()
+    assert difflib.SequenceMatcher(None, first, second).ratio() == 0.975
+    assert [r.detail for r in fires] == ["similarity 0.97"]
