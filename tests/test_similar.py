@@ -4,6 +4,7 @@ import difflib
 import random
 
 import numpy as np
+import pyarrow as pa
 from test_models import log_of
 
 from turnscope.functions import text
@@ -75,3 +76,36 @@ def test_repetition_at_a_tie(spark):
     fires = rules.rule_r07(rules.Inputs(log)).select("detail").collect()
     assert difflib.SequenceMatcher(None, first, second).ratio() == 0.975
     assert [r.detail for r in fires] == ["similarity 0.97"]
+
+
+def test_enough_hits_spare_comparisons(spark):
+    """The earliest hit stays exact, and so does whether there are enough; the measure runs on fewer pairs."""
+    said = [f"please open the long report number {n} today" for n in range(40)] + ["abcdefgh ijkl mnop"]
+    runs = {}
+    for enough in (None, 1, 2):
+        measured = []
+
+        class Counting(similar.Measure):
+            def alike(self, a, b, i, j):
+                measured.append(len(i))
+                return super().alike(a, b, i, j)
+
+        rows = pa.RecordBatch.from_pydict({
+            "sid": ["s", "t", "u"],
+            "probes": [[{"a": said[0], "upto": 30}, {"a": "zzz qqq", "upto": 30}], [{"a": said[-1], "upto": 41}], [{"a": "none", "upto": 3}]],
+            "pool": [[{"b": x, "first_idx": 40 - n} for n, x in enumerate(said[:40])], [{"b": x, "first_idx": n} for n, x in enumerate(said)], []],
+        }, schema=pa.schema([
+            ("sid", pa.string()), ("probes", pa.list_(pa.struct([("a", pa.string()), ("upto", pa.int64())]))),
+            ("pool", pa.list_(pa.struct([("b", pa.string()), ("first_idx", pa.int64())])))]))
+        plain, similar.Measure = similar.Measure, Counting
+        try:
+            found = [r for part in similar.compared(0.55, True, enough)(iter([rows])) for r in part.to_pylist()]
+        finally:
+            similar.Measure = plain
+        runs[enough] = {(r["sid"], r["a"]): (r["hit_idx"], r["hits"]) for r in found}, sum(measured)
+    all_hits, all_pairs = runs[None]
+    assert all_hits == {("s", said[0]): (1, 30), ("t", said[-1]): (40, 1)}
+    for enough in (1, 2):
+        hits, pairs = runs[enough]
+        assert {k: v[0] for k, v in hits.items()} == {k: v[0] for k, v in all_hits.items()} and pairs < all_pairs
+        assert all((hits[k][1] >= enough) == (all_hits[k][1] >= enough) for k in hits)

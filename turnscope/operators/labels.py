@@ -101,7 +101,7 @@ def label_r10(fires: DataFrame, msgs: DataFrame, threshold: float = 0.7, n_chars
     texts = family.groupBy("sid", "b").agg(F.count("*").alias("n"), F.lit(0).alias("first_idx"))
     probes = texts.select("sid", F.col("b").alias("a"), F.lit(0).alias("upto"), "n")
     # a text always resembles itself: a second hit, or a second message with it, is "another"
-    found = similar.with_resemblance(probes, texts.drop("n"), threshold)
+    found = similar.with_resemblance(probes, texts.drop("n"), threshold, enough=2)
     verdicts = found.select(
         "sid", F.col("a").alias("b"), ((F.col("n") > 1) | (F.col("hits") > 1)).alias("auto_label"))
     return (

@@ -17,7 +17,8 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,24 +60,31 @@ class Texts:
 
     def __init__(self, texts: list[str]):
         self.texts = texts
-        self.codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % BINS for t in texts]
-        self.lengths = np.array([len(c) for c in self.codes])
-        self.counts = np.array([np.bincount(c, minlength=BINS) for c in self.codes], np.int32).reshape(-1, BINS)
+        self.lengths = np.array([len(t) for t in texts], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) % BINS
+        owner = np.repeat(np.arange(len(texts)), self.lengths)
+        self.counts = np.bincount(owner * BINS + self.codes, minlength=len(texts) * BINS).astype(np.int32).reshape(-1, BINS)
+
+    def spread(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every character of some texts: its row, its place in the text, its code."""
+        sizes = self.lengths[which]
+        row = np.repeat(np.arange(len(which)), sizes)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return row, at, self.codes[self.starts[which][row] + at]
 
     def padded(self, which: np.ndarray) -> np.ndarray:
         """Codes of some texts, one row each; BINS behind the end."""
+        row, at, code = self.spread(which)
         out = np.full((len(which), max(1, self.lengths[which].max())), BINS, np.int64)
-        for row, i in enumerate(which):
-            out[row, :self.lengths[i]] = self.codes[i]
+        out[row, at] = code
         return out
 
     def masks(self, which: np.ndarray) -> np.ndarray:
         """(word, text, character): where a character stands in each text; none stands behind the end."""
-        words = max(1, -(-int(self.lengths[which].max()) // 64))
-        out = np.zeros((words, len(which), BINS + 1), np.uint64)
-        for row, i in enumerate(which):
-            at = np.arange(self.lengths[i])
-            np.bitwise_or.at(out[:, row], (at >> 6, self.codes[i]), np.uint64(1) << (at & 63).astype(np.uint64))
+        row, at, code = self.spread(which)
+        out = np.zeros((max(1, -(-int(self.lengths[which].max()) // 64)), len(which), BINS + 1), np.uint64)
+        np.bitwise_or.at(out, (at >> 6, row, code), np.uint64(1) << (at & 63).astype(np.uint64))
         return out
 
 
@@ -106,54 +114,127 @@ def common_subsequence(a: Texts, b: Texts, i: np.ndarray, j: np.ndarray) -> np.n
     return 64 * len(masks) - np.bitwise_count(state).sum(axis=0, dtype=np.int64)
 
 
+def bounded(a: Texts, b: Texts, i: np.ndarray, j: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those of the pairs a[i], b[j] that neither lengths nor the two bounds rule out."""
+    fits = admitted(np.minimum(a.lengths[i], b.lengths[j]), a.lengths[i] + b.lengths[j], threshold)
+    i, j = i[fits], j[fits]
+    order = np.lexsort((a.lengths[i], b.lengths[j] // 64))  # texts of like size together
+    for start in range(0, len(order), PAIRS):
+        p, q = i[order[start:start + PAIRS]], j[order[start:start + PAIRS]]
+        sizes = a.lengths[p] + b.lengths[q]
+        fits = admitted(np.minimum(a.counts[p], b.counts[q]).sum(axis=1), sizes, threshold)
+        p, q, sizes = p[fits], q[fits], sizes[fits]
+        if len(p):
+            fits = admitted(common_subsequence(a, b, p, q), sizes, threshold)
+            yield p[fits], q[fits]
+
+
 def likely(a: Texts, b: Texts, allowed: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs that neither bound rules out. ``allowed`` (a, b) says which may count at all."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def bounded() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        i, j = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        order = np.lexsort((a.lengths[i], b.lengths[j] // 64))  # texts of like size together
-        for start in range(0, len(order), PAIRS):
-            p, q = i[order[start:start + PAIRS]], j[order[start:start + PAIRS]]
-            fits = admitted(common_subsequence(a, b, p, q), a.lengths[p] + b.lengths[q], threshold)
-            yield p[fits], q[fits]
+    step = max(1, 16 * PAIRS // max(1, len(b.texts)))
+    for start in range(0, len(a.texts), step):
+        i, j = np.nonzero(allowed[start:start + step])
+        yield from bounded(a, b, start + i, j, threshold)
+
+
+def together(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of neighbours (from, to) whose sizes sum to ``most`` at the most; a larger one stands alone."""
+    start, held = 0, 0
+    for at, size in enumerate(sizes.tolist()):
+        if at > start and held + size > most:
+            yield start, at
+            start, held = at, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def crossed(probes: np.ndarray, pool: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs inside rows that hold so many probes and entries each, a bounded number at a time.
+
+    The texts of all rows stand one after the other; a row of many pairs is cut by its probes.
+    """
+    row = np.repeat(np.arange(len(probes)), probes)  # of each probe
+    first = np.cumsum(pool) - pool
+    for start, stop in together(pool[row], 16 * PAIRS):
+        others = pool[row[start:stop]]
+        i = np.repeat(np.arange(start, stop), others)
+        within = np.arange(len(i)) - np.repeat(np.cumsum(others) - others, others)
+        yield i, first[row[i]] + within
 
-    for i in range(len(a.texts)):
-        sizes = a.lengths[i] + b.lengths
-        j = np.flatnonzero(allowed[i] & admitted(np.minimum(a.lengths[i], b.lengths), sizes, threshold))
-        j = j[admitted(np.minimum(b.counts[j], a.counts[i]).sum(axis=1), sizes[j], threshold)]
-        held.append((np.full(len(j), i), j))
-        if sum(len(x[0]) for x in held) >= 16 * PAIRS:
-            yield from bounded()
-    if held:
-        yield from bounded()
-
-
-def compared(threshold: float, early_only: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows of two blocks to the probes with a hit: sid, a, upto, hit_idx, hits."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for sid, probes, pool in zip(rows.sid, rows.probes, rows.pool):
-                a, b = Texts([p["a"] for p in probes]), Texts([p["b"] for p in pool])
-                upto, first = np.array([p["upto"] for p in probes]), np.array([p["first_idx"] for p in pool])
-                allowed = first[None, :] <= upto[:, None] if early_only else np.ones((len(upto), len(first)), bool)
-                found: dict[int, list[int]] = {}
-                matcher, last = difflib.SequenceMatcher(), None
-                for i, j in likely(a, b, allowed, threshold):
-                    for p, q in sorted(zip(i.tolist(), j.tolist()), key=lambda x: x[1]):
-                        if a.texts[p] != b.texts[q]:
-                            if q != last:
-                                matcher.set_seq2(b.texts[q])
-                                last = q
-                            matcher.set_seq1(a.texts[p])
-                            if matcher.ratio() < threshold:
-                                continue
-                        found.setdefault(p, []).append(int(first[q]))
-                out += [(sid, a.texts[p], int(upto[p]), min(hits), len(hits))
-                        for p, hits in found.items()]
-            yield pd.DataFrame(out, columns=["sid", "a", "upto", "hit_idx", "hits"])
+
+class Measure:
+    """The full measure, once per different pair of texts."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.known, self.matcher = threshold, {}, difflib.SequenceMatcher()
+
+    def alike(self, a: Texts, b: Texts, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        pairs = [(b.texts[q], a.texts[p]) for p, q in zip(i.tolist(), j.tolist())]
+        last = None
+        for other, own in sorted(set(pairs).difference(self.known)):
+            if own != other:
+                if other != last:
+                    self.matcher.set_seq2(other)
+                    last = other
+                self.matcher.set_seq1(own)
+            self.known[other, own] = own == other or self.matcher.ratio() >= self.threshold
+        return np.array([self.known[pair] for pair in pairs], bool)
+
+
+HITS = pa.schema([("sid", pa.string()), ("a", pa.string()), ("upto", pa.int64()), ("hit_idx", pa.int64()), ("hits", pa.int64())])
+
+
+def compared(
+    threshold: float, early_only: bool, enough: int | None = None,
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of two blocks to the probes with a hit: sid, a, upto, hit_idx, hits.
+
+    The pairs of many small sessions are bounded at once; a bounded number of texts is taken at a time. A probe meets
+    its entries from the earliest on, so with ``enough`` the first hit is still the earliest.
+    """
+    def hits_of(rows: pa.RecordBatch) -> pa.RecordBatch:
+        probes, pool = rows["probes"], rows["pool"]
+        n_probes, n_pool = (pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (probes, pool))
+        probes, pool = probes.flatten(), pool.flatten()
+        texts, upto = probes.field("a"), probes.field("upto").to_numpy(zero_copy_only=False)
+        first = pool.field("first_idx").to_numpy(zero_copy_only=False)
+        a, b = Texts(texts.to_pylist()), Texts(pool.field("b").to_pylist())
+        measure = Measure(threshold)
+        hit, hits = np.full(len(upto), np.iinfo(np.int64).max), np.zeros(len(upto), np.int64)
+        for i, j in crossed(n_probes, n_pool):
+            if early_only:
+                seen = first[j] <= upto[i]
+                i, j = i[seen], j[seen]
+            kept = list(bounded(a, b, i, j, threshold))
+            if not kept:
+                continue
+            p, q = (np.concatenate(x) for x in zip(*kept))
+            order = np.lexsort((first[q], p))
+            p, q = p[order], q[order]
+            rank = np.arange(len(p)) - np.searchsorted(p, p)
+            upto_rank, more = (len(p), 0) if enough is None else (enough, enough)
+            while len(p):
+                now = rank < upto_rank
+                fits = now.copy()
+                fits[now] = measure.alike(a, b, p[now], q[now])
+                np.minimum.at(hit, p[fits], first[q[fits]])
+                np.add.at(hits, p[fits], 1)
+                left = ~now if enough is None else ~now & (hits[p] < enough)
+                p, q, rank = p[left], q[left], rank[left]
+                more *= 2
+                upto_rank += more
+        found = np.flatnonzero(hits)
+        owner = np.repeat(np.arange(len(n_probes)), n_probes)[found]
+        return pa.RecordBatch.from_arrays([
+            rows["sid"].take(pa.array(owner)), texts.take(pa.array(found)), pa.array(upto[found], pa.int64()),
+            pa.array(hit[found]), pa.array(hits[found])], schema=HITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = sum(pc.list_value_length(batch[side]).to_numpy(zero_copy_only=False).astype(np.int64) for side in ("probes", "pool"))
+            for start, stop in together(sizes, 16 * BLOCK):
+                yield hits_of(batch.slice(start, stop - start))
     return run
 
 
@@ -170,12 +251,15 @@ def in_blocks(rows: DataFrame, parts: DataFrame, text: str, other: str, name: st
         F.collect_list(F.struct(*[c for c in rows.columns if c != "sid"])).alias(name))
 
 
-def resemblance(probes: DataFrame, pool: DataFrame, threshold: float, early_only: bool, block: int = BLOCK) -> DataFrame:
+def resemblance(
+    probes: DataFrame, pool: DataFrame, threshold: float, early_only: bool, block: int = BLOCK, enough: int | None = None,
+) -> DataFrame:
     """Per probe (sid, a, upto): ``hit_idx``, the earliest pool entry that equals or resembles it, and ``hits``, how
     many do. Probes without any are absent.
 
     probes: sid, a, upto (distinct); pool: sid, b, first_idx (distinct per sid, b). ``early_only`` looks no further
-    than first_idx <= upto. Only sessions of more than ``block`` texts are cut.
+    than first_idx <= upto. Only sessions of more than ``block`` texts are cut. Who only asks for the earliest hit, or
+    whether there are ``enough``, spares the comparisons after them: ``hits`` is then exact below that number only.
     """
     counted = probes.select("sid", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
         pool.select("sid", F.lit(0).alias("a"), F.lit(1).alias("b"))).groupBy("sid").agg(
@@ -184,11 +268,13 @@ def resemblance(probes: DataFrame, pool: DataFrame, threshold: float, early_only
     left = in_blocks(probes.where("a IS NOT NULL").select("sid", "a", "upto"), parts, "a", "b", "probes")
     right = in_blocks(pool.where("b IS NOT NULL").select("sid", "b", "first_idx"), parts, "b", "a", "pool")
     pairs = left.join(right, ["sid", "block", "opposite"]).select("sid", "probes", "pool")
-    hits = pairs.mapInPandas(compared(threshold, early_only), "sid string, a string, upto bigint, hit_idx bigint, hits bigint")
+    hits = pairs.mapInArrow(compared(threshold, early_only, enough), "sid string, a string, upto bigint, hit_idx bigint, hits bigint")
     return hits.groupBy("sid", "a", "upto").agg(F.min("hit_idx").alias("hit_idx"), F.sum("hits").alias("hits"))
 
 
-def with_resemblance(rows: DataFrame, pool: DataFrame, threshold: float, early_only: bool = True) -> DataFrame:
+def with_resemblance(
+    rows: DataFrame, pool: DataFrame, threshold: float, early_only: bool = True, enough: int | None = None,
+) -> DataFrame:
     """Rows (sid, a, upto, ...) with ``hit_idx`` and ``hits``, NULL where nothing resembles."""
-    hits = resemblance(rows.select("sid", "a", "upto").distinct(), pool, threshold, early_only)
+    hits = resemblance(rows.select("sid", "a", "upto").distinct(), pool, threshold, early_only, enough=enough)
     return rows.join(hits, ["sid", "a", "upto"], "left")
