@@ -324,3 +324,9 @@ def test_stream_dedupe_keeps_rows_of_every_file(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert [(r.kind, r.n) for r in got] == [("queue", len(rows))]
+
+
+def test_notifications_order_the_lines_once(spark):
+    """Attached and typed notifications come from one pass: the plan reads and sorts the lines in one branch."""
+    plan = shape.task_notifications(registry.Tables(spark, SF_DIR).lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("min_by") == 1

@@ -119,17 +119,21 @@ def queue_operations(events: DataFrame) -> DataFrame:
 
 
 def task_notifications(events: DataFrame) -> DataFrame:
-    """Notifications from attachments and from user text; the attachment's own time is preferred."""
-    attached = events.where(
-        (line_type() == "attachment") & (variant("v", "$.attachment.type", "string") == "queued_command")
-    ).select(
+    """Notifications from attachments and from user text; the attachment's own time is preferred.
+
+    One pass over the lines: a line is of one type, so both forms are told apart in the row. Two branches would order
+    the lines twice, and share the tasks of a stage between them, each task with twice the lines to sort.
+    """
+    attached = (line_type() == "attachment") & (variant("v", "$.attachment.type", "string") == "queued_command")
+    typed = (line_type() == "user") & ~is_meta()
+    own = F.coalesce(F.nullif(variant("v", "$.attachment.timestamp", "string"), F.lit("")), "ts")
+    prompt = F.coalesce(variant("v", "$.attachment.prompt", "string"), F.lit(""))
+    notes = events.select(
         "sid", "ts", "seq", "chunk",
-        F.coalesce(F.nullif(variant("v", "$.attachment.timestamp", "string"), F.lit("")), "ts").alias("when"),
-        F.coalesce(variant("v", "$.attachment.prompt", "string"), F.lit("")).alias("text"),
+        F.when(attached, own).otherwise(F.col("ts")).alias("when"),
+        F.when(attached, prompt).when(typed, X.strip(text_of(content()))).alias("text"),
     )
-    typed = user_lines(events).select("sid", "ts", "seq", "chunk", F.col("ts").alias("when"), "text")
-    both = attached.unionByName(typed)
-    return both.where(F.startswith(X.strip("text"), F.lit(V.NOTIFICATION_TAG))).select(
+    return notes.where(F.startswith(X.strip("text"), F.lit(V.NOTIFICATION_TAG))).select(
         "sid", "ts", "seq", "chunk", "when",
         X.group1("text", V.TOOL_USE_ID).alias("tool_use_id"), X.group1("text", V.TASK_ID).alias("task_id"),
     )
