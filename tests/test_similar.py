@@ -1,5 +1,6 @@
 """The bounds of the similarity search against plain versions, and sessions of several blocks against all pairs."""
 
+import datetime
 import difflib
 import random
 
@@ -109,3 +110,31 @@ def test_enough_hits_spare_comparisons(spark):
         hits, pairs = runs[enough]
         assert {k: v[0] for k, v in hits.items()} == {k: v[0] for k, v in all_hits.items()} and pairs < all_pairs
         assert all((hits[k][1] >= enough) == (all_hits[k][1] >= enough) for k in hits)
+
+
+def test_close_ratio_is_the_full_measure(spark):
+    rng = random.Random(6)
+    first = texts(rng, 80, [1, 25, 60, 210])
+    second = ["".join(c for c in x if rng.random() < 0.9) or "x" for x in first]
+    pairs = [*zip(first, second), *zip(first, reversed(second)), *zip(first, first), ("ab" * 20, "ba" * 20), ("é" * 30, "é" * 29 + "e")]
+    rows = spark.createDataFrame(pairs * 2, "a string, b string").select("a", "b", similar.close_ratio("a", "b", 0.85).alias("x"))
+    expected = {(a, b): difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs}
+    assert {(a, b): x for a, b, x in rows.collect()} == {pair: x if x >= 0.85 else None for pair, x in expected.items()}
+    assert rows.where("false").collect() == []
+
+
+def test_repetitions_are_bounded_outside_the_plan(spark, capsys):
+    """The plan had 54 passes over the letters of every pair."""
+    log = log_of(spark, [("s", 0, "message", None, None, "a" * 30), ("s", 5, "message", None, None, "a" * 31)])
+    fires = rules.rule_r07(rules.Inputs(log))
+    fires.explain()
+    assert "translate(" not in capsys.readouterr().out
+    assert fires.count() == 1
+
+
+def test_iso_text_of_any_time(spark):
+    times = [0, 1, 999_999, 86_399_999_999, 86_400_000_000, 1_704_067_200_000_000, 1_709_210_096_123_456, -1, -86_400_000_000]
+    start = datetime.datetime(1970, 1, 1)
+    said = spark.createDataFrame([(t,) for t in times], "us long").select("us", text.iso("us").alias("iso")).collect()
+    # a time before 1970 had negative parts
+    assert dict(said) == {t: (start + datetime.timedelta(microseconds=t)).strftime("%Y-%m-%dT%H:%M:%S.%fZ") for t in times}

@@ -17,10 +17,12 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnscope.functions import text as X
 
@@ -39,22 +41,6 @@ def reach(threshold: float) -> int:
     return math.ceil(math.log((2 - threshold) / threshold) / math.log(BUCKET_BASE))
 
 
-LETTERS = "abcdefghijklmnopqrstuvwxyz "
-
-
-def letter_counts(c: str) -> Column:
-    """How often each letter occurs, and how many characters are none of them."""
-    counts = [F.length(c) - F.length(F.translate(c, x, "")) for x in LETTERS]
-    return F.array(*counts, F.length(F.translate(c, LETTERS, "")))
-
-
-def shared_bound(a: str, b: str) -> Column:
-    """An upper bound on similarity: no more characters can match than both texts hold."""
-    common = F.aggregate(
-        F.zip_with(letter_counts(a), letter_counts(b), lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    return 2.0 * common / F.greatest(F.length(a) + F.length(b), F.lit(1))
-
-
 class Texts:
     """Texts as numbers: lengths, codes, counts per character, and on demand a bit mask per character."""
 
@@ -92,6 +78,11 @@ def admitted(common: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndar
     return 2.0 * common / np.maximum(sizes, 1) >= threshold
 
 
+def in_common(a: Texts, b: Texts, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs a[i], b[j] have enough characters in common, in whatever order."""
+    return admitted(np.minimum(a.counts[i], b.counts[j]).sum(axis=1), a.lengths[i] + b.lengths[j], threshold)
+
+
 def common_subsequence(a: Texts, b: Texts, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Length of the longest common subsequence of a[i] and b[j], for all pairs at once.
 
@@ -122,7 +113,7 @@ def bounded(a: Texts, b: Texts, i: np.ndarray, j: np.ndarray, threshold: float)
     for start in range(0, len(order), PAIRS):
         p, q = i[order[start:start + PAIRS]], j[order[start:start + PAIRS]]
         sizes = a.lengths[p] + b.lengths[q]
-        fits = admitted(np.minimum(a.counts[p], b.counts[q]).sum(axis=1), sizes, threshold)
+        fits = in_common(a, b, p, q, threshold)
         p, q, sizes = p[fits], q[fits], sizes[fits]
         if len(p):
             fits = admitted(common_subsequence(a, b, p, q), sizes, threshold)
@@ -182,6 +173,23 @@ class Measure:
         return np.array([self.known[pair] for pair in pairs], bool)
 
 
+def close_ratio(a: str, b: str, threshold: float) -> Column:
+    """The similarity of the two texts of a row; NULL where it lies below the threshold.
+
+    Characters in common are counted for a batch at once, and a pair of texts that many rows hold is measured once.
+    """
+    def ratios(left: pd.Series, right: pd.Series) -> pd.Series:
+        place, pairs = pd.factorize(pd.Series(list(zip(left, right)), dtype=object))
+        first, second = ([pair[side] for pair in pairs] for side in (0, 1))
+        each = np.arange(len(pairs))
+        fits = in_common(Texts(first), Texts(second), each, each, threshold)
+        known = pd.array([X.ratio(*pair) if fit else 0.0 for pair, fit in zip(pairs, fits.tolist())], "Float64")
+        known[known < threshold] = None
+        return pd.Series(known[place])
+
+    return F.pandas_udf(ratios, T.DoubleType())(a, b)
+
+
 HITS = pa.schema([("sid", pa.string()), ("a", pa.string()), ("upto", pa.int64()), ("hit_idx", pa.int64()), ("hits", pa.int64())])
 
 
