@@ -116,7 +116,7 @@ def test_close_ratio_is_the_full_measure(spark):
     rng = random.Random(6)
     first = texts(rng, 80, [1, 25, 60, 210])
     second = ["".join(c for c in x if rng.random() < 0.9) or "x" for x in first]
-    pairs = [*zip(first, second), *zip(first, reversed(second)), *zip(first, first), ("ab" * 20, "ba" * 20), ("é" * 30, "é" * 29 + "e")]
+    pairs = [*zip(first, second), *zip(first, reversed(second)), *zip(first, first), ("ab" * 20, "ba" * 20), ("é" * 30, "é" * 29 + "e"), ("ab " * 900, "ab " * 890 + "c")]
     rows = spark.createDataFrame(pairs * 2, "a string, b string").select("a", "b", similar.close_ratio("a", "b", 0.85).alias("x"))
     expected = {(a, b): difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs}
     assert {(a, b): x for a, b, x in rows.collect()} == {pair: x if x >= 0.85 else None for pair, x in expected.items()}

@@ -30,6 +30,7 @@ BUCKET_BASE = 1.25
 BLOCK = 1024  # texts of a session that stay together
 BINS = 64  # characters are told apart modulo this; merging some only loosens a bound
 PAIRS = 16_384  # compared at once
+SHORT = 1024  # characters of a text of a single pair that is bounded by its common subsequence
 
 
 def bucket(c: str) -> Column:
@@ -176,14 +177,19 @@ class Measure:
 def close_ratio(a: str, b: str, threshold: float) -> Column:
     """The similarity of the two texts of a row; NULL where it lies below the threshold.
 
-    Characters in common are counted for a batch at once, and a pair of texts that many rows hold is measured once.
+    A batch is bounded at once, and a pair of texts that many rows hold is measured once. Long texts are bounded by their
+    characters only: a common subsequence costs their square, and so much memory for every short text beside them.
     """
     def ratios(left: pd.Series, right: pd.Series) -> pd.Series:
         place, pairs = pd.factorize(pd.Series(list(zip(left, right)), dtype=object))
         first, second = ([pair[side] for pair in pairs] for side in (0, 1))
-        each = np.arange(len(pairs))
-        fits = in_common(Texts(first), Texts(second), each, each, threshold)
-        known = pd.array([X.ratio(*pair) if fit else 0.0 for pair, fit in zip(pairs, fits.tolist())], "Float64")
+        a, b = Texts(first), Texts(second)
+        is_short = np.maximum(a.lengths, b.lengths) <= SHORT
+        short, long = np.flatnonzero(is_short), np.flatnonzero(~is_short)
+        kept = [long[in_common(a, b, long, long, threshold)], *(i for i, _ in bounded(a, b, short, short, threshold))]
+        known = pd.array(np.zeros(len(pairs)), "Float64")
+        for i in np.concatenate(kept).tolist():
+            known[i] = X.ratio(*pairs[i])
         known[known < threshold] = None
         return pd.Series(known[place])
 
