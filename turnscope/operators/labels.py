@@ -11,6 +11,7 @@ from turnscope.operators import overlap, similar, state
 from turnscope.plans.ordered import scan
 
 VALID = ("applies", "does-not-apply")
+STRATEGIES = ("R04", "R05", "R06", "R07", "R10", "R12")  # rules whose fires are judged without a hand
 
 
 def labels_resolved(rows: DataFrame) -> DataFrame:
@@ -42,9 +43,8 @@ def correction_messages(msgs: DataFrame, markers: DataFrame) -> DataFrame:
     keyed = msgs.withColumn("key", X.message_key("sid", "text"))
     marked = keyed.join(markers.select("key").distinct(), "key", "left_semi")
     any_marker = markers.agg(F.count("*").alias("n"))
-    worded = keyed.where(F.col("text").rlike(V.CORRECTION)).where(
-        any_marker.select("n").scalar() == 0
-    )
+    # the count is asked first: where anything is marked, no text is searched
+    worded = keyed.where(any_marker.select("n").scalar() == 0).where(F.col("text").rlike(V.CORRECTION))
     return marked.unionByName(worded.select(*marked.columns)).drop("key")
 
 
@@ -137,9 +137,11 @@ def labelled_fires(fires: DataFrame, msgs: DataFrame, markers: DataFrame, label_
         .unionByName(hindsight)
     )
     hand = labels_resolved(label_rows).select("rule", F.col("fire_key").alias("key"), F.col("applies").alias("hand"))
+    judged = F.col("rule").isin(*STRATEGIES)
+    told = fires.where(judged).join(auto, ["sid", "idx", "rule", "key"], "left").unionByName(
+        fires.where(~judged).withColumn("auto_label", F.lit(None).cast("boolean")))
     return (
-        fires.join(auto, ["sid", "idx", "rule", "key"], "left")
-        .join(hand, ["rule", "key"], "left")
+        told.join(hand, ["rule", "key"], "left")
         .select(
             "sid", "ts", "seq", "idx", "rule", "key", "why", "detail",
             basis_of(F.col("rule")).alias("basis"), "hand",

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import difflib
 import math
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -155,6 +156,18 @@ def crossed(probes: np.ndarray, pool: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield i, first[row[i]] + within
 
 
+def surely_alike(other: str, own: str, threshold: float) -> bool:
+    """Whether a common beginning or end alone reaches the threshold: the longest block is no shorter than it.
+
+    Texts of 200 characters and more have frequent characters left out of the search for blocks, so nothing is sure there.
+    """
+    if len(other) >= 200:
+        return False
+    size = len(other) + len(own)
+    return any(
+        2.0 * len(os.path.commonprefix(pair)) / max(size, 1) >= threshold for pair in ([other, own], [other[::-1], own[::-1]]))
+
+
 class Measure:
     """The full measure, once per different pair of texts."""
 
@@ -165,12 +178,13 @@ class Measure:
         pairs = [(b.texts[q], a.texts[p]) for p, q in zip(i.tolist(), j.tolist())]
         last = None
         for other, own in sorted(set(pairs).difference(self.known)):
-            if own != other:
+            sure = own == other or surely_alike(other, own, self.threshold)
+            if not sure:
                 if other != last:
                     self.matcher.set_seq2(other)
                     last = other
                 self.matcher.set_seq1(own)
-            self.known[other, own] = own == other or self.matcher.ratio() >= self.threshold
+            self.known[other, own] = sure or self.matcher.ratio() >= self.threshold
         return np.array([self.known[pair] for pair in pairs], bool)
 
 
