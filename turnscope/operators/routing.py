@@ -37,11 +37,13 @@ def fire_routing(
         .agg(F.min("idx").alias("idx"))
         .withColumn("_first", F.lit(True))
     )
-    rows = acted.join(firsts, ["sid", "rule", "key", "idx"], "left")
+    rows = acted.where(~silent).join(firsts, ["sid", "rule", "key", "idx"], "left")
     first = F.coalesce("_first", F.lit(False)) & ~silent
     can_ask = first & (F.col("action") != "log") & F.lit(phase >= 3)
     eligible = can_ask & F.col("template").isNotNull()
-    counted = scan(rows, ["sid"], PLACE, sums={"_asked": flag(eligible)})
+    # silent fires are most of all; they neither ask nor count, so they take no part in the order
+    quiet = acted.where(silent).select("*", F.lit(None).cast("boolean").alias("_first"), F.lit(0).cast("long").alias("_asked"))
+    counted = scan(rows, ["sid"], PLACE, sums={"_asked": flag(eligible)}).unionByName(quiet)
     suppressed = (
         F.when(F.col("action") == "skip", "not-in-catalogue")
         .when(F.col("action") == "augment", None)
