@@ -16,47 +16,72 @@ import sentencepiece
 from turnscope.llm import hashing as H
 
 MARK = "\N{LOWER ONE EIGHTH BLOCK}"
+NEAR = 650.0  # a product of weights down to exp(-NEAR) is a normal double
 
 
 @dataclass
-class Table:
-    """The pieces of one length by hash. Two small tables rule out most places before any search: which pairs of first
-    and last byte occur, and which leading bits of hashes."""
+class Trie:
+    """The pieces by their bytes. A node is a place in the arrays: a byte leads from ``node`` to ``step[node] + byte``
+    if ``parent`` names the node there. ``ids`` holds the piece that ends at a node, or -1."""
 
-    hashes: np.ndarray
+    step: np.ndarray
+    parent: np.ndarray
     ids: np.ndarray
-    edges: np.ndarray
-    leads: np.ndarray
 
     @classmethod
-    def of(cls, surfaces: list[bytes], ids: np.ndarray) -> Table:
-        length = len(surfaces[0])
-        body = np.frombuffer(b"".join(surfaces), np.uint8)
-        starts = np.arange(len(ids)) * length
-        hashes = H.range_hashes(H.BYTE_VALUES[body], starts, starts + length)
-        order = np.argsort(hashes)
-        edges, leads = np.zeros(65536, bool), np.zeros(65536, bool)
-        edges[body[starts].astype(np.int64) << 8 | body[starts + length - 1]] = True
-        leads[hashes >> np.uint64(48)] = True
-        return cls(hashes[order], ids[order], edges, leads)
-
-    def find(self, places: np.ndarray, length: int, body: np.ndarray, values: H.Sums) -> tuple[np.ndarray, np.ndarray]:
-        """The places where a piece of this length begins, and the pieces."""
-        places = places[self.edges[body[places].astype(np.int64) << 8 | body[places + length - 1]]]
-        keys = values.of(places, places + length)
-        likely = self.leads[keys >> np.uint64(48)]
-        places, keys = places[likely], keys[likely]
-        spot = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
-        hit = self.hashes[spot] == keys
-        return places[hit], self.ids[spot[hit]]
+    def of(cls, surfaces: list[bytes], ids: list[int]) -> Trie:
+        ends = dict(zip(surfaces, ids, strict=True))
+        below: dict[bytes, set[int]] = {b"": set()}
+        for surface in surfaces:
+            for n in range(len(surface), 0, -1):
+                known = surface[: n - 1] in below
+                below.setdefault(surface[: n - 1], set()).add(surface[n - 1])
+                if known:
+                    break
+        # nodes of many bytes are placed first, all over a table that stays two thirds empty, so few tries are needed
+        room = 3 * sum(map(len, below.values())) + 512
+        taken, steps = bytearray(room), {}
+        taken[0] = 1
+        for turn, prefix in enumerate(sorted(below, key=lambda x: (-len(below[x]), x))):
+            base = turn * 0x9E3779B1 % (room - 512)
+            while any(taken[base + byte] for byte in below[prefix]):
+                base = (base + 1) % (room - 256)
+            steps[prefix] = base
+            for byte in below[prefix]:
+                taken[base + byte] = 1
+        step, parent, found = np.zeros(room, np.int32), np.full(room, -1, np.int32), np.full(room, -1, np.int32)
+        place = {b"": 0}
+        for prefix in sorted(below, key=len):
+            node, base = place[prefix], steps[prefix]
+            step[node] = base
+            for byte in below[prefix]:
+                child = prefix + bytes([byte])
+                parent[base + byte], found[base + byte] = node, ends.get(child, -1)
+                place[child] = base + byte
+        return cls(step, parent, found)
+
+    def find(self, body: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For every length from 1 on, the places where a piece of it begins, and the pieces. A newline is in no piece and
+        ends the body."""
+        out, places, node = [], np.arange(len(body)), np.zeros(len(body), np.int32)
+        length = 0
+        while len(places):
+            after = self.step[node] + body[places + length]
+            on = np.flatnonzero(self.parent[after] == node)
+            places, node = places[on], after[on]
+            piece = self.ids[node]
+            hit = np.flatnonzero(piece >= 0)
+            out.append((places[hit], piece[hit]))
+            length += 1
+        return out
 
 
 @dataclass
 class Vocabulary:
-    """Surface bytes of every id and the log weight of the ids that may be used, with lookup tables by length."""
+    """Surface bytes of every id and the log weight of the ids that may be used, with a trie of those."""
 
     surfaces: list[bytes]
-    tables: dict[int, Table]  # by length
+    trie: Trie
     weights: np.ndarray
     byte_ids: np.ndarray
     letters: frozenset[str]  # characters that are pieces
@@ -94,12 +119,9 @@ class Vocabulary:
         bad = [i for i in usable if b" " in surfaces[i].lstrip(b" ") or b"\n" in surfaces[i]]
         if bad:
             raise ValueError("pieces may not span words or lines")
-        by_length: dict[int, list[int]] = {}
-        for i in usable:
-            by_length.setdefault(len(surfaces[i]), []).append(i)
-        tables = {n: Table.of([surfaces[i] for i in ids], np.array(ids, np.int32)) for n, ids in sorted(by_length.items())}
+        trie = Trie.of([surfaces[i] for i in usable], usable)
         letters = frozenset(x for i in usable if len(x := surfaces[i].decode()) == 1)
-        return cls(surfaces, tables, weights, byte_ids, letters)
+        return cls(surfaces, trie, weights, byte_ids, letters)
 
 
 def chunks_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -129,48 +151,51 @@ class Lattice:
     """
 
     def __init__(self, chunks: list[bytes], vocabulary: Vocabulary):
+        # a newline behind every chunk stands for its end; no edge starts there
         sizes = np.array([len(c) for c in chunks], np.int64)
-        self.ends = np.cumsum(sizes)
+        self.ends = np.cumsum(sizes + 1) - 1
         self.starts = self.ends - sizes
-        body = np.frombuffer(b"".join(chunks), np.uint8)
-        limit = np.repeat(self.ends, sizes)
-        start, length, piece = self._edges(body, limit, chunks, vocabulary)
-        # each length's starts ascend, so this merges a few sorted runs
-        order = np.argsort(start, kind="stable")
-        self.start, self.piece = start[order], piece[order]
-        self.end = self.start + length[order]
-        self.first = np.zeros(len(body) + 1, np.int64)
-        np.cumsum(np.bincount(self.start, minlength=len(body)), out=self.first[1:])
+        body = np.frombuffer(b"\n".join(chunks) + b"\n", np.uint8)
+        degree = self._edges(body, chunks, vocabulary)
         weight = vocabulary.weights[self.piece]
-        below = self._completions(weight, limit)
-        logp = weight + below[self.end] * (self.end < limit[self.start]) - below[self.start]
-        degree = np.diff(self.first)
-        self.logp = np.where(degree[self.start] == 1, 0.0, np.minimum(logp, 0.0))
-        running = np.cumsum(np.exp(self.logp))
+        below = self._completions(weight, degree, sizes)
+        logp = weight + below[self.end]
+        logp -= np.repeat(below[:-1], degree)
+        np.minimum(logp, 0.0, out=logp)
+        logp[self.first[:-1][degree == 1]] = 0.0
+        self.logp = logp
+        running = np.cumsum(np.exp(logp))
         base = np.concatenate(([0.0], running))[self.first[:-1]]
-        self.choice = (running - base[self.start]).astype(np.float32)
-        self.choice[self.first[1:] - 1] = np.inf  # the last edge takes what rounding leaves
-
-    def _edges(self, body: np.ndarray, limit: np.ndarray, chunks: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, ...]:
-        at = np.arange(len(body))
-        values = H.Sums(H.BYTE_VALUES[body])
-        found = []
-        room = limit - at
-        for length, table in sorted(vocabulary.tables.items(), reverse=True):
-            places = np.flatnonzero(room >= length)
-            if not len(places):
-                continue
-            places, piece = table.find(places, length, body, values)
-            found.append((places.astype(np.int32), np.full(len(places), length, np.int32), piece))
+        running -= np.repeat(base, degree)
+        self.choice = running.astype(np.float32)
+        self.choice[self.first[1:][degree > 0] - 1] = np.inf  # the last edge takes what rounding leaves
+
+    def _edges(self, body: np.ndarray, chunks: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
+        """Finds the edges, and returns their number for each position."""
         spelled = self._spelled(body, chunks, vocabulary)
-        found.append((spelled, np.ones(len(spelled), np.int32), vocabulary.byte_ids[body[spelled]]))
-        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+        found = [(spelled, vocabulary.byte_ids[body[spelled]], 1)]
+        found += [(places, piece, n) for n, (places, piece) in enumerate(vocabulary.trie.find(body), 1)]
+        degree = np.zeros(len(body), np.int64)
+        for places, _, _ in found:
+            degree[places] += 1
+        self.first = np.zeros(len(body) + 1, np.int64)
+        np.cumsum(degree, out=self.first[1:])
+        self.start = np.repeat(np.arange(len(body), dtype=np.int32), degree)
+        self.end, self.piece = np.empty(self.first[-1], np.int32), np.empty(self.first[-1], np.int32)
+        free = self.first[:-1].copy()
+        for places, piece, length in reversed(found):
+            slot = free[places]
+            self.end[slot], self.piece[slot] = places + length, piece
+            free[places] = slot + 1
+        return degree
 
     def _spelled(self, body: np.ndarray, chunks: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
         """Positions of the bytes of characters that are no pieces."""
         places = []
         plain = np.array([chr(b) in vocabulary.letters for b in range(128)] + [False] * 128)
-        doubtful = np.flatnonzero(~np.logical_and.reduceat(plain[body], self.starts)) if len(chunks) else ()
+        fine = plain[body]
+        fine[self.ends] = True
+        doubtful = np.flatnonzero(~np.logical_and.reduceat(fine, self.starts)) if len(chunks) else ()
         for i in doubtful:
             text, at = chunks[i].decode(), int(self.starts[i])
             if vocabulary.letters.issuperset(text):
@@ -182,29 +207,39 @@ class Lattice:
                 at += size
         return np.array(places, np.int32)
 
-    def _completions(self, weight: np.ndarray, limit: np.ndarray) -> np.ndarray:
-        """Log of the summed weights of all paths from each position to the end of its chunk.
+    def _completions(self, weight: np.ndarray, degree: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Log of the summed weights of all paths from each position to the end of its chunk; 0 at that end.
 
-        Positions are taken by their distance from that end, so each step needs only earlier ones.
+        Positions are taken by their distance from that end, so each step needs only earlier ones. Near it the sums
+        themselves are in the range of doubles, so no logarithms are taken on the way.
         """
-        below = np.zeros(len(limit) + 1)
-        distance = limit - np.arange(len(limit))
+        distance = np.repeat(self.ends, sizes + 1) - np.arange(len(degree))
+        distance[degree == 0] = 0  # an end, or no piece starts inside a character
         small = distance.astype(np.uint16) if distance.max(initial=0) < 65536 else distance
-        by_distance = np.argsort(small, kind="stable")
-        turns = np.concatenate(([0], np.flatnonzero(np.diff(distance[by_distance])) + 1, [len(limit)]))
+        places = np.argsort(small, kind="stable")
+        turns = np.append(np.flatnonzero(np.diff(distance[places])) + 1, len(places))
+        count = degree[places]
+        behind = np.cumsum(count)
+        begins = behind - count
+        edges = np.repeat(self.first[places] - begins, count) + np.arange(len(weight))
+        end, weight = self.end[edges], weight[edges]
+        share = np.exp(weight)
+        mass = np.zeros(len(degree) + 1)
+        mass[self.ends] = 1.0
+        near = NEAR / max(1.0, -float(weight.min(initial=0.0)))
+        below = None
         for a, b in zip(turns[:-1], turns[1:], strict=True):
-            places = by_distance[a:b]
-            count = self.first[places + 1] - self.first[places]
-            places, count = places[count > 0], count[count > 0]  # no piece starts inside a character
-            if not len(places):
+            some, low, high = places[a:b], begins[a], behind[b - 1]
+            of_place = begins[a:b] - low
+            if distance[some[0]] <= near:
+                mass[some] = np.add.reduceat(share[low:high] * mass[end[low:high]], of_place)
                 continue
-            begins = np.cumsum(count) - count
-            edges = np.repeat(self.first[places] - begins, count) + np.arange(count.sum())
-            end = self.end[edges]
-            value = weight[edges] + below[end] * (end < np.repeat(limit[places], count))
-            most = np.maximum.reduceat(value, begins)
-            below[places] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, count)), begins))
-        return below
+            if below is None:
+                below = np.log(mass, out=np.zeros_like(mass), where=mass > 0)
+            value = weight[low:high] + below[end[low:high]]
+            most = np.maximum.reduceat(value, of_place)
+            below[some] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, count[a:b])), of_place))
+        return np.log(mass, out=np.zeros_like(mass), where=mass > 0) if below is None else below
 
     def walk(self, position: np.ndarray, stop: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Samples a path from each position to its stop; edges of all paths one after the other, and their numbers."""
