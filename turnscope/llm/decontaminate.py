@@ -236,9 +236,8 @@ def item_groups(items: DataFrame, options: SearchOptions) -> Iterator[tuple[list
 
 
 def batch_matches(texts: pa.Array, index: ItemIndex) -> Iterator[tuple[int, int, float]]:
-    plained = [plain(t) for t in H.texts_of(texts)]
-    for a, b in H.blocks(plained, BLOCK):
-        for text, item, value in index.matches(plained[a:b]):
+    for a, _, some in H.text_blocks(texts, BLOCK):
+        for text, item, value in index.matches([plain(t) for t in some]):
             yield a + text, item, value
 
 
@@ -256,7 +255,7 @@ def find_items(docs: DataFrame, items: DataFrame, options: SearchOptions = Searc
                      pa.array([ids[r[1]] for r in rows], None if rows else pa.int64()),
                      pa.array([round(r[2], 9) for r in rows], pa.float64())], names=["doc_id", "item_id", "similarity"])
 
-        found = found.unionByName(docs.select("doc_id", "text").mapInArrow(search, schema))
+        found = found.unionByName(docs.select("doc_id", "text").mapInArrow(lambda it, search=search: H.released(search(it)), schema))
     return found
 
 
@@ -269,7 +268,7 @@ def without_items(docs: DataFrame, items: DataFrame, options: SearchOptions = Se
                 stays[[text for text, _, _ in batch_matches(batch["text"], index)]] = False
                 yield batch.filter(pa.array(stays))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(lambda it, clean=clean: H.released(clean(it)), docs.schema)
     return docs
 
 

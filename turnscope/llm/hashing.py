@@ -6,10 +6,13 @@ bounded by the longest text.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 1 << 19
 U64 = np.uint64
@@ -65,16 +68,27 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed:
     return Sums(values, seed).of(starts, ends)
 
 
-def blocks(texts: list[bytes], size: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts that together hold about ``size`` bytes."""
+def ranges(sizes: list[int], size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive sizes, each of which comes to about ``size``."""
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > size:
+    for i, own in enumerate(sizes):
+        if held and held + own > size:
             yield start, i
             start, held = i, 0
-        held += len(text) + 1
-    if start < len(texts):
-        yield start, len(texts)
+        held += own + 1
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def blocks(texts: list[bytes], size: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts that together hold about ``size`` bytes."""
+    return ranges([len(t) for t in texts], size)
+
+
+def text_blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, list[bytes]]]:
+    """The ranges of ``blocks`` with their texts. No more than one range is taken out of the column at a time."""
+    for a, b in ranges(pc.binary_length(column).fill_null(0).to_pylist(), size):
+        yield a, b, texts_of(column.slice(a, b - a))
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,3 +127,12 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The texts as UTF-8, null ones as empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches. After the last one, what they left free goes back to the system: a worker is kept for later tasks
+    and would hold it beside all that the executor does without Python."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)

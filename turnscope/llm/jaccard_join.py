@@ -79,8 +79,7 @@ def signatures(texts: list[bytes], options: JoinOptions) -> list[bytes | None]:
 
 def sign_batches(batches: Iterator[pa.RecordBatch], options: JoinOptions) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = H.texts_of(batch["text"])
-        signed = [s for a, b in H.blocks(texts) for s in signatures(texts[a:b], options)]
+        signed = [s for _, _, texts in H.text_blocks(batch["text"]) for s in signatures(texts, options)]
         yield pa.RecordBatch.from_arrays([batch["key"], pa.array(signed, pa.binary())], names=["key", "sig"])
 
 
@@ -208,10 +207,10 @@ def verify_batches(batches: Iterator[pa.RecordBatch], depth: int, before: int |
         return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
 
     for batch in batches:
-        texts, out = H.texts_of(batch["text"]), []
+        out = []
         rows = batch.drop_columns("text").to_pylist()
-        for a, b in H.blocks(texts):
-            shingles, offsets = shingles_of(texts[a:b], options.words)
+        for a, b, texts in H.text_blocks(batch["text"]):
+            shingles, offsets = shingles_of(texts, options.words)
             for i in range(a, b):
                 same = held and all(held[0][c] == rows[i][c] for c in ("bucket", "lo", "hi"))
                 if not same:
@@ -241,7 +240,7 @@ def similar(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
     """One row per different text with words: key, id (its least), rows, copies, root (the key of its class), links to
     documents of other texts and to other texts."""
     keyed = docs.select(F.col("doc_id").alias("id"), F.unhex(F.md5(whole(F.col("text")))).alias("key"), "text")
-    signed = keyed.select("key", "text").mapInArrow(lambda it: sign_batches(it, options), "key binary, sig binary")
+    signed = keyed.select("key", "text").mapInArrow(lambda it: H.released(sign_batches(it, options)), "key binary, sig binary")
     once = signed.where("sig is not null").groupBy("key").agg(F.first("sig").alias("sig"))
     known = materialize(once.join(classes(keyed.select("key", "id")), "key"), "signatures")
     links, before = None, None
@@ -272,7 +271,7 @@ def verified(keyed: DataFrame, known: DataFrame, depth: int, before: int | None,
     same_id = F.col("id").eqNullSafe(F.col("_id"))
     texts = keyed.withColumnRenamed("id", "_id").join(wanted, "key").where(same_id).select("key", "copies", "sig", "text")
     meeting = spread.join(texts, "key").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return meeting.mapInArrow(lambda it: verify_batches(it, depth, before, options), LINKS)
+    return meeting.mapInArrow(lambda it: H.released(verify_batches(it, depth, before, options)), LINKS)
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

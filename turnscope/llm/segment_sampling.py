@@ -194,11 +194,10 @@ def sample(docs: DataFrame, vocabulary: Vocabulary, options: SampleOptions = Sam
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = H.texts_of(batch["text"])
             keys = batch["key"].to_numpy().view(U64)
-            for a, b in H.blocks(texts, BLOCK):
+            for a, b, texts in H.text_blocks(batch["text"], BLOCK):
                 row, rank, ids, logs, values, shares = [], [], [], [], [], []
-                for i, (found, threshold, lattice) in enumerate(sample_block(texts[a:b], keys[a:b], vocabulary, options)):
+                for i, (found, threshold, lattice) in enumerate(sample_block(texts, keys[a:b], vocabulary, options)):
                     for r, drawn in enumerate(found, 1):
                         row.append(a + i)
                         rank.append(r)
@@ -217,7 +216,7 @@ def sample(docs: DataFrame, vocabulary: Vocabulary, options: SampleOptions = Sam
                 yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select("doc_id", "text", F.xxhash64(F.lit(options.seed), F.col("doc_id")).alias("key"))
-    return rows.mapInArrow(encode, f"doc_id {kind}, {SAMPLE}" + ", decoded string" * read_back)
+    return rows.mapInArrow(lambda it: H.released(encode(it)), f"doc_id {kind}, {SAMPLE}" + ", decoded string" * read_back)
 
 
 def text_of(ids: np.ndarray, vocabulary: Vocabulary) -> str:
