@@ -82,3 +82,10 @@ def test_the_measure_is_spared_where_a_beginning_decides():
     a, b = similar.Texts(["look at case 17 please"]), similar.Texts(["look at case 18 please", "nothing of the kind"])
     measure.matcher.set_seq1 = None  # a call would raise
     assert measure.alike(a, b, *map(similar.np.array, ([0], [0]))).tolist() == [True]
+
+
+def test_only_listed_fires_are_labelled(spark, duck):
+    tables = registry.Tables(spark, SF_DIR)
+    assert_same(PLANS["fire_list"](tables), duck, SQL["fire_list"])
+    assert not {"causes", "labelled"} & set(vars(tables))
+    assert tables.listed.groupBy("rule").count().agg(F.max("count")).head()[0] == 25

@@ -185,14 +185,27 @@ def review_queue(fires: DataFrame, label_rows: DataFrame, limit: int | None = No
     return ordered.limit(limit) if limit else ordered
 
 
-def fire_list(labelled: DataFrame, per_rule: int = 25) -> DataFrame:
-    """The first fires of each rule with a TP / FP / ?? mark."""
+def listed(fires: DataFrame, per_rule: int = 25) -> DataFrame:
+    """The first fires of each rule, numbered ``n``."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("rule").orderBy("sid", "idx", "key")
+    return fires.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_rule)
+
+
+def labelled_some(fires: DataFrame, msgs: DataFrame, markers: DataFrame, label_rows: DataFrame) -> DataFrame:
+    """``labelled_fires`` for a few of the fires: a label depends on the fire, its session's messages, the markers and
+    the verdicts on its key, so nothing of other sessions and keys is prepared."""
+    own = msgs.join(fires.select("sid").distinct(), "sid", "left_semi")
+    keys = fires.select("rule", F.col("key").alias("fire_key")).distinct()
+    return labelled_fires(fires, own, markers, label_rows.join(keys, ["rule", "fire_key"], "left_semi"))
+
+
+def fire_list(labelled: DataFrame, per_rule: int = 25) -> DataFrame:
+    """The first fires of each rule with a TP / FP / ?? mark."""
     mark = F.when(F.col("label"), "TP").when(~F.col("label"), "FP").otherwise("??")
     return (
-        labelled.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_rule)
+        listed(labelled, per_rule)
         .select("rule", "n", mark.alias("mark"), X.message_id("sid", "idx").alias("message"), "key")
     )
 
