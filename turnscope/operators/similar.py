@@ -15,7 +15,7 @@ from __future__ import annotations
 import difflib
 import math
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -168,6 +168,48 @@ def surely_alike(other: str, own: str, threshold: float) -> bool:
         2.0 * len(os.path.commonprefix(pair)) / max(size, 1) >= threshold for pair in ([other, own], [other[::-1], own[::-1]]))
 
 
+def common_characters(text: str, places: dict[str, int], size: int) -> int:
+    """Length of the longest common subsequence of a text and another, of ``size`` characters, given as a whole number
+    per character whose bits say where it stands."""
+    every = (1 << size) - 1
+    state = every
+    for c in text:
+        hit = state & places.get(c, 0)
+        state = (state + hit | state - hit) & every
+    return size - state.bit_count()
+
+
+def resembles_any(text: str, others: Iterable[str], threshold: float) -> bool:
+    """Whether any other text reaches the threshold, one after the other; the measure is taken where no bound decides.
+
+    As in ``close_ratio``, long texts are bounded by their characters only.
+    """
+    places: dict[str, int] = {}
+    if len(text) <= SHORT:
+        for at, c in enumerate(text):
+            places[c] = places.get(c, 0) | 1 << at
+    for other in others:
+        if text == other:
+            return True
+        size = len(text) + len(other)
+        if 2.0 * min(len(text), len(other)) / size < threshold:
+            continue
+        matcher = difflib.SequenceMatcher(None, text)
+        if max(len(text), len(other)) > SHORT:
+            matcher.set_seq2(other)
+            alike = X.reaches(matcher, threshold)
+        elif 2.0 * common_characters(other, places, len(text)) / size < threshold:
+            continue
+        else:
+            alike = surely_alike(other, text, threshold)
+            if not alike:
+                matcher.set_seq2(other)
+                alike = matcher.ratio() >= threshold
+        if alike:
+            return True
+    return False
+
+
 class Measure:
     """The full measure, once per different pair of texts."""
 
